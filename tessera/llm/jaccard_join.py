@@ -268,3 +268,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result = full.unionByName(empty)
     null_back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return result.select(null_back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), null_back("component_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those of a component that isn't named after them.
+
+    Rows that a Bloom filter of the dropped ids passes go to an exact anti join; the others aren't shuffled at all.
+    """
+    found = written(jaccard_components(docs, id_col, text_col, settings), "components")
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
+    bloom = Bloom(settings.bloom_blocks)
+    flagged = bloom.flagged(docs.withColumn("_id", F.col(id_col).cast("long")), bloom.build(dropped, "_dropped"), "_id", "_maybe")
+    unsure = flagged.where("_maybe").join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")
+    return flagged.where("NOT _maybe").select(*docs.columns).unionByName(unsure.select(*docs.columns))

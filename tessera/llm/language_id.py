@@ -124,30 +124,48 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, space: Space = Space(
     return [r["lang"] for r in rows], np.array([r["vector"] for r in rows]).reshape(len(rows), space.dimensions)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", space: Space = Space()) -> DataFrame:
+def predicted(values: pa.Array, model: tuple[list[str], np.ndarray], space: Space) -> Iterator[tuple[int, list[str], list[float]]]:
+    """Of each piece of the texts: the first one's place, languages and scores."""
     langs, prototypes = model
+    vectors = gram_vectors(space)
+    for first, m, doc, gram, n in grams(values):
+        bounds = np.searchsorted(doc, np.arange(m + 1)).tolist()
+        weights = n.astype(np.float32)
+        pred, score = ["und"] * m, [0.0] * m
+        for k in range(m):
+            a, b = bounds[k], bounds[k + 1]
+            if a < b and langs:
+                total = np.zeros(space.dimensions)
+                for c in range(a, b, 2048):
+                    e = min(b, c + 2048)
+                    total += weights[c:e] @ vectors[gram[c:e]].astype(np.float32)
+                cos = prototypes @ total / (np.linalg.norm(total) or 1)
+                best = int(np.argmax(cos))
+                pred[k], score[k] = langs[best], float(min(1.0, max(0.0, cos[best])))
+        yield first, pred, score
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", space: Space = Space()) -> DataFrame:
+    """doc_id, lang_pred and score of each row."""
 
     def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        vectors = gram_vectors(space)
-        for first, m, doc, gram, n in grams(batch.column(1)):
-            bounds = np.searchsorted(doc, np.arange(m + 1)).tolist()
-            weights = n.astype(np.float32)
-            pred, score = ["und"] * m, [0.0] * m
-            for k in range(m):
-                a, b = bounds[k], bounds[k + 1]
-                if a < b and langs:
-                    total = np.zeros(space.dimensions)
-                    for c in range(a, b, 2048):
-                        e = min(b, c + 2048)
-                        total += weights[c:e] @ vectors[gram[c:e]].astype(np.float32)
-                    cos = prototypes @ total / (np.linalg.norm(total) or 1)
-                    best = int(np.argmax(cos))
-                    pred[k], score[k] = langs[best], float(min(1.0, max(0.0, cos[best])))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[first : first + m], "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
+        for first, pred, score in predicted(batch.column(1), model, space):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[first : first + len(pred)], "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(arrow(judge), SCHEMA)
 
 
+def recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text", space: Space = Space()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is recognised with a score of ``least`` or more."""
+    at = docs.columns.index(text_col)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = list(predicted(batch.column(at), model, space))
+        yield batch.filter(pa.array([p != "und" and s >= least for _, pred, score in found for p, s in zip(pred, score)]))
+
+    return docs.mapInArrow(arrow(keep), docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that are not learnt from: crc32 of the id as text leaves 2 when divided by 4 (false where the id is null)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -152,24 +152,39 @@ def repetition(block: Block, window: int, min_repeat: int) -> dict[str, np.ndarr
     return out | {"n_repeats": repeats, "longest_repeat": top}
 
 
+def judged(values: pa.Array, limits: Limits) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Of each block of texts: the first one's place, and all counts and verdicts by column."""
+    for block in blocks(values):
+        b, n_words = block.word_bounds, np.diff(block.word_bounds)
+        inside = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum((block.data & 0xC0) != 0x80, out=inside[1:])
+        chars = np.zeros(len(block.starts) + 1, np.int64)
+        np.cumsum(inside[block.ends] - inside[block.starts], out=chars[1:])
+        dup = []
+        for k in range(len(block)):
+            lines = [x for x in block.text(k).split(b"\n") if x.strip()]
+            dup.append(len(lines) - len(set(lines)))
+        rep = repetition(block, limits.window, limits.min_repeat)
+        failed = (n_words < limits.min_words) | (100 * rep["n_repeat_words"] > limits.max_repeated_percent * n_words)
+        kept = ~failed & (100 * rep["covered_words"] <= limits.max_covered_percent * n_words) & (rep["longest_repeat"] <= limits.max_longest)
+        yield block.first, {"n_words": n_words, "word_chars": chars[b[1:]] - chars[b[:-1]], "n_symbols": per_text(SYMBOLS[block.data], block.bounds), "n_dup_lines": np.array(dup, np.int64), **rep, "base_failed": failed, "kept": kept}
+
+
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, ``base_failed`` and ``kept`` (see the module's text for defined results)."""
 
     def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batch.column(1)):
-            b, n_words = block.word_bounds, np.diff(block.word_bounds)
-            inside = np.zeros(len(block.data) + 1, np.int64)
-            np.cumsum((block.data & 0xC0) != 0x80, out=inside[1:])
-            chars = np.zeros(len(block.starts) + 1, np.int64)
-            np.cumsum(inside[block.ends] - inside[block.starts], out=chars[1:])
-            dup = []
-            for k in range(len(block)):
-                lines = [x for x in block.text(k).split(b"\n") if x.strip()]
-                dup.append(len(lines) - len(set(lines)))
-            rep = repetition(block, limits.window, limits.min_repeat)
-            failed = (n_words < limits.min_words) | (100 * rep["n_repeat_words"] > limits.max_repeated_percent * n_words)
-            kept = ~failed & (100 * rep["covered_words"] <= limits.max_covered_percent * n_words) & (rep["longest_repeat"] <= limits.max_longest)
-            out = {"n_words": n_words, "word_chars": chars[b[1:]] - chars[b[:-1]], "n_symbols": per_text(SYMBOLS[block.data], block.bounds), "n_dup_lines": np.array(dup, np.int64), **rep, "base_failed": failed, "kept": kept}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[block.first : block.first + len(block)], **{k: pa.array(v) for k, v in out.items()}})
+        for first, out in judged(batch.column(1), limits):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[first : first + len(out["kept"])], **{k: pa.array(v) for k, v in out.items()}})
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]).mapInArrow(arrow(judge), SCHEMA)
+
+
+def good_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    at = docs.columns.index(text_col)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(np.concatenate([out["kept"] for _, out in judged(batch.column(at), limits)])))
+
+    return docs.mapInArrow(arrow(keep), docs.schema)
