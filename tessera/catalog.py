@@ -11,9 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.queries import ORACLE_SQL, QUERIES, ana_daily
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "ship", "shipped"]
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -42,4 +43,6 @@ def shipped(query: Query) -> Query:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Events by day, days without events included."""
+    ship(spark)
+    return ana_daily(spark, sf_dir)

@@ -39,7 +39,7 @@ def display_name(token: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The parts of a comma list that aren't blank, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def display_names(text: Column) -> Column:
@@ -70,7 +70,7 @@ def normalized_tags(text: Column) -> Column:
 
 def custom_names(html: Column) -> Column:
     """Texts of anchors, else the parts of a comma list."""
-    anchors = F.filter(F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), F.trim), lambda t: t != "")
+    anchors = F.filter(F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(F.size(anchors) > 0, anchors).otherwise(tokens(html))
 
 

@@ -92,7 +92,7 @@ def town_line(text: Column) -> Column:
 
 def combined_address(text: Column) -> Column:
     """Struct (street, city, postal, country) of ``Street, City[, Postal][, COUNTRY]``."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda p: p != "")
     last, before = F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2)
     is_country = (F.size(parts) > 2) & (last.rlike(r"^[A-Z][A-Z .'-]{2,}$") | (last.rlike("^[A-Z]{2}$") & before.rlike(r"\d")))
     rest = F.slice(parts, 1, F.size(parts) - F.when(is_country, 1).otherwise(0))
