@@ -157,7 +157,8 @@ class LibraryVocabulary(Vocabulary):
         self.is_last[[i for i, s in self.names.items() if s.endswith(self.suffix)]] = True
 
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = ends - starts
+        counts, filled = np.zeros(len(starts), np.int64), ends > starts  # special tokens stand as empty pre-tokens
+        starts, sizes = starts[filled], (ends - starts)[filled]
         text = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
         to = np.cumsum(sizes + 1) - sizes - 1
         text[ranges(to, sizes)] = data[ranges(starts, sizes)]
@@ -167,7 +168,8 @@ class LibraryVocabulary(Vocabulary):
         last = np.flatnonzero(self.is_last[ids])
         if len(last) != len(sizes):
             raise ValueError("the vocabulary doesn't mark the ends of words")
-        return ids, np.diff(np.append(-1, last))
+        counts[filled] = np.diff(np.append(-1, last))
+        return ids, counts
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], EncodeWo
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(docs_), "n_ids": len(ids), "n_bytes": len(data)}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
-            for block in blocks(batch.column(1), 8 << 20):
+            for block in blocks(batch.column(1), min(8 << 20, 4 * file_ids)):
                 ids, bounds = encoded(block, encode)
                 whole = np.insert(ids, bounds[1:], end_id)
                 names = batch.column(0)[block.first : block.first + len(block)].fill_null(NULL_ID).to_numpy(zero_copy_only=False)
