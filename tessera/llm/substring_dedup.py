@@ -220,8 +220,8 @@ def removed_words(block: Block, ids: np.ndarray, marks: list[tuple[np.ndarray, .
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece_words: int = 1_500_000) -> DataFrame:
     """The input's rows and columns with n_words, n_removed and kept_text (kept words joined by one blank)."""
     parts = partitions(docs.sparkSession)
-    groups = prime_from(4 * parts)
-    bits = 8 + max(0, (parts - 1).bit_length() - 6)
+    groups = prime_from(2 * parts)
+    bits = max(8, (parts - 1).bit_length())  # buckets times groups bounds the rows of packed marks
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     marks = _marks(docs.select(ids.alias("doc_id"), F.col(text_col).alias("text")), window, groups, bits, piece_words)
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept_text")]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
