@@ -452,3 +452,22 @@ def geo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = grid(spark)
     p = places(spark, sf_dir).select((F.floor((F.col("lat") + 90) / 20) * 20 - 90).cast("double").alias("south"), (F.floor((F.col("lon") + 180) / 20) * 20 - 180).cast("double").alias("west"))
     return p.join(boxes, ["south", "west"]).groupBy("south", "west").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) :: BIGINT AS n_events FROM events GROUP BY 1", False)
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events as S
+
+    source = S.stream(spark, f"{sf_dir}/events.parquet*", EVENT_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.latest(spark, S.daily_counts(source), "day", S.scratch(spark, "daily")).withColumn("n_events", F.col("n_events").cast("long"))
+
+
+@query(f"SELECT {KEY} AS store, count(*) :: BIGINT AS n FROM events GROUP BY 1", False)
+def stream_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events as S
+
+    source = S.stream(spark, f"{sf_dir}/events.parquet*", EVENT_SCHEMA)
+    return S.latest(spark, S.store_counts(source), "store", S.scratch(spark, "stores"))
