@@ -9,6 +9,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 Fetch = Callable[[str], str]
 
@@ -69,7 +70,5 @@ def fetched(requests: DataFrame, fetch: Fetch, paging: Paging = Paging(), url_co
                     row = batch.slice(k, 1)
                     yield pa.RecordBatch.from_arrays([*row.columns, pa.array([page], pa.int32()), pa.array([body]), pa.array([cut])], [*batch.schema.names, "page", "body", "cut"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType(list(requests.schema.fields)).add("page", "int").add("body", "string").add("cut", "boolean")
+    schema = T.StructType(list(requests.schema.fields)).add("page", T.IntegerType()).add("body", T.StringType()).add("cut", T.BooleanType())
     return requests.mapInArrow(run, schema)
