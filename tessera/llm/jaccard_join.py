@@ -3,13 +3,15 @@
 A document is the set of its distinct word shingles (64-bit hashes). Documents with equal sets are one node. Then:
 
 1. Order. Shingles are ordered by how common they are (counts of all shingles in a sketch of fixed size, by powers of
-   two), rare ones first. Linked sets share a shingle among the first |x| - ceil(t|x|) + 1 of each (prefix filter); the
-   order need not be exact for that, just the same everywhere.
+   two), rare ones first. Linked sets x and y share at least min(m(x), m(y)) shingles among the first
+   |x| - ceil(t|x|) + m(x) of each, where m(x) = floor(a|x|) + 1 (extended prefix filter). The order need not be exact
+   for that, just the same everywhere. As |y| >= t|x|, a node needs floor(a * t|x|) + 1 shared prefix shingles to be
+   linked with anything, and that many in common with a group to be linked with a member.
 2. Groups. Nodes are partitioned into groups of similar ones: those whose most shared prefix shingle is the same, of like
    size, in blocks of bounded total size. The matrix holds (shingle, group) for the groups' prefix shingles once, so a
    family of near copies is a few entries, not one for each copy.
-3. Candidates. A node queries the groups that hold one of its prefix shingles and sets of fitting size. Rows are (node,
-   group), never pairs of nodes. One of two groups queries the other.
+3. Candidates. A node queries the groups that hold enough of its prefix shingles and sets of fitting size. Rows are
+   (node, group), never pairs of nodes. One of two groups queries the other.
 4. Bound, then open. A task gets a group and some of its queries, builds the union of the members' shingles, and drops
    queries that share less than t|x| with the union; for the others it counts exact intersections with the members.
    Links within a task are reduced to a forest. Hubs come first: what links with the same hub needn't be compared.
@@ -45,12 +47,14 @@ PROFILE = "doc_id long, n long, hi long, lo long, chunk int, part binary"
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words in a shingle. percent: least Jaccard similarity. sketch_bits: logarithm of the sketch's cells.
+    """shingle: words in a shingle. percent: least Jaccard similarity. more_percent: the prefix is longer by this share
+    of the set, and as much must be shared (a, in percent). sketch_bits: logarithm of the sketch's cells.
     block_tokens and chunk_tokens: shingles of a group's members, and of its queries, in a task. bloom_blocks: rows of
     the Bloom filter of candidates' ids."""
 
     shingle: int = 5
     percent: int = 75
+    more_percent: int = 10
     sketch_bits: int = 22
     block_tokens: int = 1 << 18
     chunk_tokens: int = 1 << 20
@@ -85,8 +89,8 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def prefix_length(n: int, percent: int, more_percent: int) -> int:
+    return min(n, n - -(-percent * n // 100) + more_percent * n // 100 + 1) if n else 0
 
 
 class Group:
@@ -195,7 +199,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(tokens) and sig not in seen:  # copies meet here, before the shuffle
                     seen.add(sig)
                     order = np.argsort(level[(tokens >> shift).astype(np.int64)], kind="stable")
-                    held.append(tokens[order[: prefix_length(len(tokens), s.percent)]])
+                    held.append(tokens[order[: prefix_length(len(tokens), s.percent, s.more_percent)]])
                     sigs.append(sig)
             if len(seen) > 1_000_000:
                 seen = set()
@@ -208,8 +212,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = written(dealt.join(shared, "tok").distinct(), "entries")
 
     reps = known.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"))
-    keys = entries.groupBy(F.col("sig").alias("hi")).agg(F.max(F.struct("c", "tok")).getField("tok").alias("key"))
-    sized = reps.join(keys, "hi").withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / s.percent)))).cast("int"))
+    keys = entries.groupBy(F.col("sig").alias("hi")).agg(F.max(F.struct("c", "tok")).getField("tok").alias("key"), F.count(F.lit(1)).alias("in_common"))
+    enough = F.expr(f"{s.more_percent * s.percent} * n div 10000 + 1")  # fewer shared prefix shingles link with nothing
+    sized = reps.join(keys, "hi").where(F.col("in_common") >= enough).withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / s.percent)))).cast("int"))
     totals = sized.groupBy("key", "cls").agg(F.sum("n").alias("total"))
     blocked = sized.join(totals, ["key", "cls"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / s.block_tokens)))
     nodes = written(blocked.select("node", "hi", "lo", "n", F.xxhash64("key", "cls", "blk").alias("gid")), "nodes")
@@ -219,7 +224,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = matrix.groupBy("tok").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).where("a < b").select("tok")
     columns = matrix.join(several, "tok").select("tok", F.col("gid").alias("to"), "lo_n", "hi_n")
     fits = (F.col("to") > F.col("gid")) & (100 * F.col("hi_n") >= s.percent * F.col("n")) & (s.percent * F.col("lo_n") <= 100 * F.col("n"))
-    queries = written(held.join(columns, "tok").where(fits).select("node", "n", "to").distinct(), "queries")
+    asked_for = held.join(columns, "tok").where(fits).groupBy("node", "n", "to").agg(F.count(F.lit(1)).alias("in_common"))
+    queries = written(asked_for.where(F.col("in_common") >= enough).select("node", "n", "to"), "queries")
 
     asked = queries.groupBy(F.col("to").alias("gid")).agg(F.sum("n").alias("q"))
     groups = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).join(asked, "gid", "left").where("m > 1 OR q > 0")
