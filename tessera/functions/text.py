@@ -210,3 +210,25 @@ def boolean_word(text: Column, default: bool = False) -> Column:
     word = F.lower(F.trim(text.cast("string")))
     yes, no = word.isin("true", "1", "yes", "y", "on", "active", "t"), word.isin("false", "0", "no", "n", "off", "inactive", "f")
     return F.when(yes, F.lit("TRUE")).when(no, F.lit("FALSE")).otherwise(F.lit(str(default).upper()))
+
+
+def decode_escapes(text: Column) -> Column:
+    """Characters for ``\\uXXXX`` and ``/uXXXX`` (the JSON reader of the engine decodes them; other backslashes stay)."""
+    t = F.regexp_replace(text, r"[\\/]u([0-9a-fA-F]{4})", "\uE000u$1")
+    quoted = F.replace(F.to_json(F.struct(t.alias("t"))), F.lit("\uE000"), F.lit("\\"))
+    return F.when(text.rlike(r"[\\/]u[0-9a-fA-F]{4}"), F.coalesce(F.get_json_object(quoted, "$.t"), text)).otherwise(text)
+
+
+def by_rules(text: Column, rules: dict[str, str]) -> Column:
+    """The value of the first pattern (in order) that the lower-case text matches."""
+    out = F.lit(None).cast("string")
+    for pattern, value in reversed(rules.items()):
+        out = F.when(F.lower(text).rlike(pattern), F.lit(value)).otherwise(out)
+    return out
+
+
+def cell_text(value: Column) -> Column:
+    """A JSON value as text: the first three filled items of a list, a usual key of an object, else as it is."""
+    listed = F.array_join(F.slice(F.filter(F.from_json(value, "array<string>"), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), 1, 3), ", ")
+    keyed = F.coalesce(*[F.get_json_object(value, f"$.{k}") for k in ("display", "value", "number", "raw", "formatted")])
+    return F.coalesce(F.when(value.startswith("["), listed).when(value.startswith("{"), keyed).otherwise(F.trim(value)), F.lit(""))

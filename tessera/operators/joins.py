@@ -110,3 +110,10 @@ def probes(incoming: DataFrame, places: DataFrame, cap: int = 40) -> DataFrame:
     every = tier1.unionByName(tier2).unionByName(tier3).unionByName(tier4)
     best = every.groupBy("handle").agg(F.min(F.struct("tier", "meters", "match")).alias("m"))
     return best.select("handle", F.col("m.match").alias("match"), F.col("m.tier").alias("tier"), F.col("m.meters").alias("meters"))
+
+
+def filled(df: DataFrame, details: DataFrame, columns: tuple[str, ...], key: str = "handle") -> DataFrame:
+    """Blank columns filled from detail rows (one for each key)."""
+    d = details.select(key, *[F.col(c).alias(f"_d_{c}") for c in columns])
+    out = df.join(d, key, "left")
+    return out.withColumns({c: F.coalesce(X.present(F.col(c)), F.col(f"_d_{c}")) for c in columns}).select(*df.columns)

@@ -99,3 +99,29 @@ def distinct_brands(df: DataFrame) -> DataFrame:
 
 def distinct_countries(df: DataFrame) -> DataFrame:
     return df.select("country").distinct().select(normalized_country(F.col("country")).alias("country")).where("country <> ''").distinct().orderBy("country")
+
+
+def autocomplete(df: DataFrame, text: str, n: int = 8) -> DataFrame:
+    return search(df, text, ("name", "line1"), n)
+
+
+def missing_data(df: DataFrame) -> DataFrame:
+    """Places without a phone or an address, with the number of them and of all."""
+    lacks = (F.coalesce(F.trim("phone"), F.lit("")) == "") | (F.coalesce(F.trim("line1"), F.lit("")) == "")
+    return df.agg(F.count(F.lit(1)).cast("long").alias("total"), F.count_if(lacks).cast("long").alias("incomplete"))
+
+
+def logs(df: DataFrame, upload: str, kind: str | None = None) -> DataFrame:
+    """Log rows of an upload by row number (rows without one last), then time."""
+    out = df.where(F.col("upload_id") == upload)
+    return (out.where(F.col("log_type") == kind) if kind else out).orderBy(F.asc_nulls_last("row_number"), "created_at")
+
+
+def run_stats(df: DataFrame, status: str, states: tuple[str, ...], rows: str) -> DataFrame:
+    """Runs by state and all their rows."""
+    return df.agg(F.count(F.lit(1)).cast("long").alias("total"), *[F.count_if(F.col(status) == s).cast("long").alias(s) for s in states], F.coalesce(F.sum(rows), F.lit(0)).cast("long").alias("rows"))
+
+
+def by_locale(df: DataFrame, column: str) -> DataFrame:
+    """Sorted by the language-neutral, case-insensitive collation."""
+    return df.orderBy(F.collate(F.col(column), "UNICODE_CI"), column)

@@ -212,3 +212,33 @@ def test_streams(spark, sf_dir, tmp_path):
     S.upsert_stream(S.stream(spark, f"{tmp_path}/in", kind), f"{tmp_path}/t", f"{tmp_path}/c2").awaitTermination()
     got = {r.handle: (r.name, r.brands, r.phone, r.is_premium) for r in spark.read.parquet(f"{tmp_path}/t/v=00000001").collect()}
     assert got == {"a": ("B", "X, Y", "+1", True), "b": ("C", None, "+3", False)}
+
+
+def test_inference(spark):
+    from tessera.operators import inference
+
+    docs = [json.dumps({"store": {"name": f"n{k}", "geo": {"lat": 10.0 + k, "lng": 120.0 + k}}, "tel": "+41 22 123 45 67", "mail": "a@b.co", "city": "X" if k else None}) for k in range(4)] + ["broken"]
+    found = inference.paths(spark.createDataFrame([(d,) for d in docs], "record string").limit(4))
+    assert {r.path: r.share for r in found.collect()}["city"] == 0.75
+    chosen = {r.field: r.path for r in inference.mapping(found).collect()}
+    assert chosen == {"Name": "store.name", "Latitude": "store.geo.lat", "Longitude": "store.geo.lng", "City": "city", "Phone": "tel", "Email": "mail"}
+    assert inference.confidence(inference.mapping(found)).first().level == "medium"
+
+
+def test_small_reads(spark):
+    from tessera.functions import text as X
+    from tessera.operators import reads
+
+    df = table(spark, [place("a"), place("b", line1="")]).withColumn("phone", F.lit("1"))
+    assert tuple(reads.missing_data(df).first()) == (2, 1) and reads.autocomplete(df, "MAIN").count() == 1
+    assert [r.name for r in reads.by_locale(spark.createDataFrame([("b",), ("A",), ("é",), ("E",)], "name string"), "name").collect()] == ["A", "b", "E", "é"]
+    logs = spark.createDataFrame([("u", "e", None, 1), ("u", "w", 5, 2), ("u", "e", 2, 3), ("v", "e", 1, 1)], "upload_id string, log_type string, row_number int, created_at int")
+    assert [r.row_number for r in reads.logs(logs, "u").collect()] == [2, 5, None] and reads.logs(logs, "u", "w").count() == 1
+    assert tuple(reads.run_stats(logs, "log_type", ("e", "w"), "created_at").first()) == (4, 3, 1, 7)
+    filled = joins.filled(spark.createDataFrame([("a", " "), ("b", "x")], "handle string, phone string"), spark.createDataFrame([("a", "1"), ("b", "2")], "handle string, phone string"), ("phone",))
+    assert {r.handle: r.phone for r in filled.collect()} == {"a": "1", "b": "x"}
+    t = spark.createDataFrame([("caf\\u00e9 \\x /u0041",), ("plain \\ text",)], "t string")
+    assert [r[0] for r in t.select(X.decode_escapes(F.col("t"))).collect()] == ["café \\x A", "plain \\ text"]
+    cells = spark.createDataFrame([('["a", "", "b", "c", "d"]',), ('{"value": "v"}',), (" x ",), (None,)], "t string")
+    assert [r[0] for r in cells.select(X.cell_text(F.col("t"))).collect()] == ["a, b, c", "v", "x", ""]
+    assert spark.createDataFrame([("Bahnhofstrasse Zürich",), ("?",)], "t string").select(X.by_rules(F.col("t"), {"strasse": "Germany", "z.rich": "Switzerland"})).first()[0] == "Germany"
