@@ -16,6 +16,7 @@ from ..functions.generate import grid
 from ..operators import analytics, audits, dedupe, joins, ranking, reads, upsert, validation
 from .places import NOW, places
 from .places import sql as places_sql
+from .work import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -462,7 +463,7 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import events as S
 
     source = S.stream(spark, f"{sf_dir}/events.parquet*", EVENT_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
-    return S.latest(spark, S.daily_counts(source), "day", S.scratch(spark, "daily")).withColumn("n_events", F.col("n_events").cast("long"))
+    return S.latest(spark, S.daily_counts(source), "day", new_path(spark, "daily")).withColumn("n_events", F.col("n_events").cast("long"))
 
 
 @query(f"SELECT {KEY} AS store, count(*) :: BIGINT AS n FROM events GROUP BY 1", False)
@@ -470,4 +471,4 @@ def stream_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import events as S
 
     source = S.stream(spark, f"{sf_dir}/events.parquet*", EVENT_SCHEMA)
-    return S.latest(spark, S.store_counts(source), "store", S.scratch(spark, "stores"))
+    return S.latest(spark, S.store_counts(source), "store", new_path(spark, "stores"))

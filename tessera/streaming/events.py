@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.records import property_or
 from ..operators.upsert import upserted
-from ..plans.work import shared_dir
 
 
 def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -59,9 +58,3 @@ def upsert_stream(changes: DataFrame, root: str, checkpoint: str) -> StreamingQu
         upserted(existing, batch.dropDuplicates(["handle"])).write.mode("overwrite").parquet(f"{root}/v={n + 1:08d}")
 
     return each_batch(changes, "append", checkpoint, apply)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
