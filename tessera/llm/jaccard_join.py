@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import array_parts, arrow, merged_array, partitions, written
-from .components import components
 from .textblocks import BASE, MIX1, MIX2, MIX3, U, blocks, mix
 from .url_filter import Bloom
 

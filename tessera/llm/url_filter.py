@@ -45,12 +45,12 @@ class Bloom:
 
     def flagged(self, rows: DataFrame, bloom: DataFrame, key: str, flag: str) -> DataFrame:
         """``rows`` with a boolean: might the key be one of the filter's? (False for null.)"""
-        keyed = rows.withColumn("_block", self._block(F.col(key)))
-        hit = F.col("w0").isNotNull() & F.col(key).isNotNull()
+        hit = F.col("_bloom_0").isNotNull() & F.col(key).isNotNull()
         for k in range(WORDS):
             mask = self._mask(F.col(key), k)
-            hit = hit & (F.col(f"w{k}").bitwiseAND(mask) == mask)
-        joined = keyed.join(F.broadcast(bloom.withColumnRenamed("block", "_block")), "_block", "left")
+            hit = hit & (F.col(f"_bloom_{k}").bitwiseAND(mask) == mask)
+        words = bloom.select(F.col("block").alias("_bloom_block"), *[F.col(f"w{k}").alias(f"_bloom_{k}") for k in range(WORDS)])
+        joined = rows.join(F.broadcast(words), self._block(F.col(key)) == F.col("_bloom_block"), "left")
         return joined.select(*[F.col(c) for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
 
 
