@@ -97,10 +97,15 @@ def share_number(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(street_numbers(a), street_numbers(b)), F.lit(False))
 
 
+def keys_align(line_a: Column, line_b: Column, plain_a: Column, plain_b: Column, key_a: Column, key_b: Column) -> Column:
+    """Two street lines are the same or one extends the other; ``plain`` is :func:`alnum`, ``key`` is :func:`address_key`."""
+    equal = (F.lower(F.trim(line_a)) == F.lower(F.trim(line_b))) & ~blank(line_a)
+    same = ((key_a == key_b) & (F.length(key_a) >= 6)) | ((plain_a == plain_b) & (plain_a != ""))
+    return F.coalesce(equal | same | key_contains(key_a, key_b) | key_contains(plain_a, plain_b), F.lit(False))
+
+
 def addresses_align(a: Column, b: Column) -> Column:
-    x, y, p, q = alnum(a), alnum(b), address_key(a), address_key(b)
-    equal = (F.lower(F.trim(a)) == F.lower(F.trim(b))) & ~blank(a)
-    return F.coalesce(equal | ((p == q) & (F.length(p) >= 6)) | key_contains(p, q) | ((x == y) & (x != "")) | key_contains(x, y), F.lit(False))
+    return keys_align(a, b, alnum(a), alnum(b), address_key(a), address_key(b))
 
 
 def word_key(text: Column) -> Column:

@@ -61,18 +61,28 @@ def survivors(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*rank_key()))).where("_r = 1").drop("_r")
 
 
+def with_keys(df: DataFrame) -> DataFrame:
+    """Names, addresses, cities and countries as keys, computed once before rows are paired."""
+    line = F.col("line1")
+    keys = {"k_country": F.lower(normalized_country(F.col("country"))), "k_city": X.alnum(F.col("city")), "k_addr": X.address_key(line), "k_line": X.alnum(line), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)}
+    return df.withColumns(keys)
+
+
 def match_edges(df: DataFrame) -> DataFrame:
-    """(u, v, rule): pairs taken for the same place by any of five rules, each an equality join; u < v."""
-    keyed = df.withColumns({"k_country": F.lower(normalized_country(F.col("country"))), "k_city": X.alnum(F.col("city")), "k_addr": X.address_key(F.col("line1")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
+    """(u, v, rule): pairs taken for the same place by any of five rules, each an equality join; u < v.
+
+    Rules: the same rounded coordinates; the same address key and city; the same source key; and within 300 m an aligned
+    address with the same city or an equal or similar name. All ask for the same country.
+    """
+    keyed = with_keys(df)
     usable = keyed.where(~geo.unusable(F.col("lat"), F.col("lon")))
     a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
-    alike = (X.alnum(a("name")) == X.alnum(b("name"))) | X.names_similar(a("name"), b("name"))
-    aligned = X.addresses_align(a("line1"), b("line1"))
+    alike = (a("k_name") == b("k_name")) | X.names_similar(a("k_name"), b("k_name"))
+    aligned = X.keys_align(a("line1"), b("line1"), a("k_line"), b("k_line"), a("k_addr"), b("k_addr"))
     rules = {
         "coordinates": block_pairs(usable, ["k_country", "lat5", "lon5"], F.lit(True)),
         "address": block_pairs(keyed.where(F.length("k_addr") >= 6), ["k_country", "k_city", "k_addr"], F.lit(True)),
-        "aligned": near_pairs(keyed, 300, aligned & (a("k_city") == b("k_city")), ("k_country",)).drop("meters"),
-        "triplet": near_pairs(keyed, 300, alike & aligned, ("k_country",)).drop("meters"),
+        "near": near_pairs(keyed, 300, aligned & ((a("k_city") == b("k_city")) | alike), ("k_country",)).drop("meters"),
     }
     if "source_key" in df.columns:
         rules["source"] = block_pairs(keyed.where(~X.blank(F.col("source_key"))), ["k_country", "source_key"], F.lit(True))
