@@ -27,12 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
-    state, seen = written(directed(edges), "edges"), None
-    while True:
+    def stars(e: DataFrame) -> bool:
+        """Every node has one edge down, and what that leads to has none: each component hangs on its smallest node."""
+        n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
+        return n["n"] == n["u"] and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+    state = written(directed(edges), "edges")
+    while not stars(state):
         state = written(small(large(state)), "edges")
-        mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h"), F.sum(F.xxhash64("v", "u") % F.lit(1 << 40)).alias("g")).first()
-        if mark == seen or not mark["n"]:
-            break
-        seen = mark
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
