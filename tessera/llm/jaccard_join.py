@@ -169,16 +169,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sketch = np.zeros(cells, np.uint32)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "n", "hi", "lo", "chunk", "part"]
+
+        def count(held: list[np.ndarray]) -> None:
+            np.add.at(sketch, (np.concatenate(held) >> shift).astype(np.int64), 1)
+            held.clear()
+
         for batch in batches:
-            sizes, sigs, held = [], [], []
+            sizes, sigs, held, n = [], [], [], 0
             for _, tokens in shingle_sets(batch.column(1), s.shingle):
                 sizes.append(len(tokens))
                 sigs.append(signature(tokens))
                 held.append(tokens)
+                n += len(tokens)
+                if n > 1 << 19:
+                    count(held)
+                    n = 0
+            if held:
+                count(held)
             if sizes:
-                hashed = np.concatenate(held)
-                for k in range(0, len(hashed), 1 << 20):
-                    np.add.at(sketch, (hashed[k : k + (1 << 20)] >> shift).astype(np.int64), 1)
                 none = [None] * len(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((sizes, [a for a, _ in sigs], [b for _, b in sigs], none, none), types[1:])]], names)
         ids, data = array_parts(sketch)
@@ -192,8 +200,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
+        def pairs(held: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"tok": pa.array(np.concatenate(held).view(np.int64)), "sig": pa.array(np.repeat(np.array(sigs, np.int64), [len(h) for h in held]))})
+
         for batch in batches:
-            held, sigs = [], []
+            held, sigs, n = [], [], 0
             for _, tokens in shingle_sets(batch.column(1), s.shingle):
                 sig = signature(tokens)[0]
                 if len(tokens) and sig not in seen:  # copies meet here, before the shuffle
@@ -201,10 +212,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     order = np.argsort(level[(tokens >> shift).astype(np.int64)], kind="stable")
                     held.append(tokens[order[: prefix_length(len(tokens), s.percent, s.more_percent)]])
                     sigs.append(sig)
+                    n += len(held[-1])
+                    if n > 1 << 19:
+                        yield pairs(held, sigs)
+                        held, sigs, n = [], [], 0
             if len(seen) > 1_000_000:
                 seen = set()
             if held:
-                yield pa.RecordBatch.from_pydict({"tok": pa.array(np.concatenate(held).view(np.int64)), "sig": pa.array(np.repeat(np.array(sigs, np.int64), [len(h) for h in held]))})
+                yield pairs(held, sigs)
 
     # One shuffle of prefix shingles; the aggregate and the join below both use it.
     dealt = rows.mapInArrow(prefixes, "tok long, sig long").repartition(parts, "tok")
