@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, with SQL functions only.
 
-A text is cut into sentences (at a full stop, question or exclamation mark before white space, and at line ends unless the next line goes on
-in lower case). A sentence is normalised: lower case, runs of anything but a-z, 0-9 and full stops become one blank, no
-blanks or full stops at the ends. Known normalised sentences have identifiers; a text's identifiers, in order, are
+A text's boundaries are hard (a full stop, question or exclamation mark before white space, unless it is the dot of ``v. 2``; lines
+without letters or digits) or soft (other line ends, unless the next line goes on in lower case, and semicolons). A sentence stands between two
+boundaries and may run over soft ones, so the lines of a wrapped notice join where they make up a known sentence, whatever their case, while a
+line of its own is still one; the longest known sentence counts. A sentence is normalised: lower case, runs of anything but a-z, 0-9 and full
+stops become one blank, no blanks or full stops at the ends. Known normalised sentences have identifiers; a text's identifiers, in order, are
 matched against ordered rules: a rule that finds its sequence of neighbours gives its licence and uses these up, so later
 (more general) rules don't see them. One row for each input row, no shuffle.
 
@@ -71,7 +73,16 @@ RULES = (
 )
 #: Every known sentence has one of these, so other sentences need no normalising.
 CUES = ("licen", "permission", "redistribut", "warrant", "copyright", "rights reserved", "noninfringement")
-WRAPPED, ENDS = "\n[ \t#*/;]*([a-z])", "[.!?]+[ \t\r\n]+|\n+"
+WRAPPED = "\n[ \t#*/;]*([a-z])"
+#: In lower case, hard boundaries become E, and anything else but soft ones (line ends, semicolons) a blank.
+HARD = r"\n[^a-z0-9\n]*\n|(?:(?<!\bv)|(?!\.[ \t\r\n]+[0-9]))[.!?][ \t\r\n]+"
+OTHER = "[^a-z0-9.E\n;]+"
+
+
+def _known() -> str:
+    """Known sentences between boundaries, the longest first."""
+    longest = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
+    return "(?:^|[\nE;])[ .]*(" + "|".join(s.replace(".", "\\.").replace(" ", "[ \n;]+") for s in longest) + ")[ .]*(?=$|[\nE;])"
 
 
 def _sequence(ids: tuple[str, ...]) -> str:
@@ -85,16 +96,18 @@ def _cue(text: Column) -> Column:
     return found
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+", " "), F.lit(" ."))
+def found_sentences(text: Column) -> Column:
+    """Known sentences in order, normalised."""
+    marked = F.regexp_replace(F.lower(F.regexp_replace(text, WRAPPED, " $1")), HARD, "E")
+    found = F.regexp_extract_all(F.regexp_replace(marked, OTHER, " "), F.lit(_known()), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, "[ \n;]+", " "))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses, n_unmatched (known sentences that no rule has used)."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     text = F.col(text_col)
-    sentences = F.split(F.regexp_replace(text, WRAPPED, " $1"), ENDS, -1)
-    ids = F.filter(F.transform(F.filter(sentences, lambda s: _cue(F.lower(s))), lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    ids = F.transform(found_sentences(text), lambda s: F.try_element_at(known, s))
     found = F.when(_cue(F.lower(text)), ids).otherwise(F.array().cast("array<string>"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in RULES])
     start = F.struct(F.concat(F.lit(""), F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))).alias("left"), F.array().cast("array<string>").alias("names"))
@@ -116,7 +129,7 @@ def _quote(text: str) -> str:
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL: a step for each rule."""
+    """The same in DuckDB's SQL for sentences on one line or wrapped in lower case: a step for each rule."""
     known = "MAP {" + ", ".join(f"{_quote(s)}: {_quote(n)}" for n, s in SENTENCES.items()) + "}"
     steps = ["s0 AS (SELECT doc_id, ids, coalesce(list_reduce(list_prepend('', list_transform(ids, lambda i: '<' || i || '>')), lambda a, b: a || b), '') AS l, [] :: VARCHAR[] AS names FROM found)"]
     for k, (name, seq) in enumerate(RULES):
