@@ -1,4 +1,7 @@
-"""Country names: aliases, codes and inference from addresses. Tables are parameters; the defaults cover common cases."""
+"""Country names: aliases, codes and inference from addresses.
+
+Tables are parameters; the defaults hold the reference's aliases and project codes, and all of ISO 3166-1.
+"""
 
 from __future__ import annotations
 
@@ -18,19 +21,63 @@ ALIASES = {
     "russian federation": "Russia", "iran, islamic republic of": "Iran", "syrian arab republic": "Syria", "viet nam": "Vietnam", "rsa": "South Africa",
     "brasil": "Brazil", "belgique": "Belgium", "brunei darussalam": "Brunei", "kingdom of saudi arabia": "Saudi Arabia", "macedonia": "North Macedonia",
     "suisse": "Switzerland", "bahamas, the": "Bahamas", "curacao": "Curaçao", "burma": "Myanmar", "deutschland": "Germany", "espana": "Spain", "italia": "Italy",
+    "hong kong sar. china": "Hong Kong", "hong kong sar china": "Hong Kong", "macau sar, china": "Macau", "macau sar. china": "Macau", "macao sar, china": "Macau",
+    "macao sar. china": "Macau", "macau, china": "Macau", "peoples republic of china": "China", "the people's republic of china": "China", "taiwan province of china": "Taiwan",
+    "taiwan, china": "Taiwan", "taiwan region": "Taiwan", "taiwan region. china": "Taiwan", "taiwan region, china": "Taiwan", "united states virgin islands": "Virgin Islands, U.S.",
+    "u.s. virgin islands": "Virgin Islands, U.S.", "saint-barthelemy": "Saint Barthélemy", "saint martin": "Saint Martin (French part)",
+    "caribbean netherlands": "Bonaire, Sint Eustatius and Saba", "bahamas (the)": "Bahamas", "dominican republic": "Dominican Republic", "myanmar (burma)": "Myanmar",
+    "saudia arabia": "Saudi Arabia", "untied states": "United States", "turkiye": "Turkey", "türkiye": "Turkey", "the netherlands": "Netherlands",
 }
-#: Two-letter codes.
+#: Two-letter codes of the project's own list, whose names come first.
 CODES = {
-    "AE": "United Arab Emirates", "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BG": "Bulgaria", "BH": "Bahrain", "BR": "Brazil",
-    "CA": "Canada", "CH": "Switzerland", "CL": "Chile", "CN": "China", "CO": "Colombia", "CY": "Cyprus", "CZ": "Czech Republic", "DE": "Germany", "DK": "Denmark",
-    "DZ": "Algeria", "EG": "Egypt", "ES": "Spain", "ET": "Ethiopia", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GR": "Greece", "HK": "Hong Kong",
-    "HR": "Croatia", "HU": "Hungary", "ID": "Indonesia", "IE": "Ireland", "IL": "Israel", "IN": "India", "IQ": "Iraq", "IR": "Iran", "IS": "Iceland", "IT": "Italy",
-    "JO": "Jordan", "JP": "Japan", "KE": "Kenya", "KR": "South Korea", "KW": "Kuwait", "LB": "Lebanon", "LU": "Luxembourg", "MA": "Morocco", "MC": "Monaco",
-    "MO": "Macau", "MX": "Mexico", "MY": "Malaysia", "MZ": "Mozambique", "NL": "Netherlands", "NO": "Norway", "NZ": "New Zealand", "OM": "Oman", "PA": "Panama",
-    "PE": "Peru", "PH": "Philippines", "PL": "Poland", "PT": "Portugal", "QA": "Qatar", "RO": "Romania", "RS": "Serbia", "RU": "Russia", "SA": "Saudi Arabia",
-    "SE": "Sweden", "SG": "Singapore", "SI": "Slovenia", "SK": "Slovakia", "TH": "Thailand", "TN": "Tunisia", "TR": "Turkey", "TW": "Taiwan", "UA": "Ukraine",
-    "US": "United States", "VN": "Vietnam", "ZA": "South Africa",
+    "AE": "United Arab Emirates", "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BD": "Bangladesh", "BE": "Belgium", "BG": "Bulgaria",
+    "BH": "Bahrain", "BN": "Brunei", "BR": "Brazil", "BY": "Belarus", "CA": "Canada", "CH": "Switzerland", "CL": "Chile", "CN": "China", "CO": "Colombia",
+    "CR": "Costa Rica", "CY": "Cyprus", "CZ": "Czech Republic", "DE": "Germany", "DK": "Denmark", "EC": "Ecuador", "EE": "Estonia", "EG": "Egypt",
+    "ES": "Spain", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GH": "Ghana", "GR": "Greece", "GT": "Guatemala", "HK": "Hong Kong",
+    "HR": "Croatia", "HU": "Hungary", "ID": "Indonesia", "IE": "Ireland", "IL": "Israel", "IN": "India", "IS": "Iceland", "IT": "Italy", "JO": "Jordan",
+    "JP": "Japan", "KE": "Kenya", "KH": "Cambodia", "KR": "South Korea", "KW": "Kuwait", "KZ": "Kazakhstan", "LA": "Laos", "LB": "Lebanon", "LK": "Sri Lanka",
+    "LT": "Lithuania", "LU": "Luxembourg", "LV": "Latvia", "MA": "Morocco", "MM": "Myanmar", "MT": "Malta", "MX": "Mexico", "MY": "Malaysia", "NG": "Nigeria",
+    "NL": "Netherlands", "NO": "Norway", "NZ": "New Zealand", "OM": "Oman", "PA": "Panama", "PE": "Peru", "PH": "Philippines", "PK": "Pakistan",
+    "PL": "Poland", "PT": "Portugal", "PY": "Paraguay", "QA": "Qatar", "RO": "Romania", "RU": "Russia", "SA": "Saudi Arabia", "SE": "Sweden",
+    "SG": "Singapore", "SI": "Slovenia", "SK": "Slovakia", "TH": "Thailand", "TN": "Tunisia", "TR": "Turkey", "TW": "Taiwan", "UA": "Ukraine",
+    "US": "United States", "UY": "Uruguay", "VE": "Venezuela", "VN": "Vietnam", "ZA": "South Africa",
+}
+#: The other codes of ISO 3166-1 (and Kosovo's), with the usual short names.
+ISO = {
+    "AD": "Andorra", "AF": "Afghanistan", "AG": "Antigua and Barbuda", "AI": "Anguilla", "AL": "Albania", "AM": "Armenia", "AO": "Angola", "AQ": "Antarctica",
+    "AS": "American Samoa", "AW": "Aruba", "AX": "Åland Islands", "AZ": "Azerbaijan", "BA": "Bosnia and Herzegovina", "BB": "Barbados", "BF": "Burkina Faso",
+    "BI": "Burundi", "BJ": "Benin", "BL": "Saint Barthélemy", "BM": "Bermuda", "BO": "Bolivia", "BQ": "Bonaire, Sint Eustatius and Saba", "BS": "Bahamas",
+    "BT": "Bhutan", "BV": "Bouvet Island", "BW": "Botswana", "BZ": "Belize", "CC": "Cocos (Keeling) Islands", "CD": "Congo, The Democratic Republic of the",
+    "CF": "Central African Republic", "CG": "Congo", "CI": "Côte d'Ivoire", "CK": "Cook Islands", "CM": "Cameroon", "CU": "Cuba", "CV": "Cabo Verde",
+    "CW": "Curaçao", "CX": "Christmas Island", "DJ": "Djibouti", "DM": "Dominica", "DO": "Dominican Republic", "DZ": "Algeria", "EH": "Western Sahara",
+    "ER": "Eritrea", "ET": "Ethiopia", "FJ": "Fiji", "FK": "Falkland Islands (Malvinas)", "FM": "Micronesia, Federated States of", "FO": "Faroe Islands",
+    "GA": "Gabon", "GD": "Grenada", "GE": "Georgia", "GF": "French Guiana", "GG": "Guernsey", "GI": "Gibraltar", "GL": "Greenland", "GM": "Gambia",
+    "GN": "Guinea", "GP": "Guadeloupe", "GQ": "Equatorial Guinea", "GS": "South Georgia and the South Sandwich Islands", "GU": "Guam", "GW": "Guinea-Bissau",
+    "GY": "Guyana", "HM": "Heard Island and McDonald Islands", "HN": "Honduras", "HT": "Haiti", "IM": "Isle of Man", "IO": "British Indian Ocean Territory",
+    "IQ": "Iraq", "IR": "Iran", "JE": "Jersey", "JM": "Jamaica", "KG": "Kyrgyzstan", "KI": "Kiribati", "KM": "Comoros", "KN": "Saint Kitts and Nevis",
+    "KP": "North Korea", "KY": "Cayman Islands", "LC": "Saint Lucia", "LI": "Liechtenstein", "LR": "Liberia", "LS": "Lesotho", "LY": "Libya", "MC": "Monaco",
+    "MD": "Moldova", "ME": "Montenegro", "MF": "Saint Martin (French part)", "MG": "Madagascar", "MH": "Marshall Islands", "MK": "North Macedonia",
+    "ML": "Mali", "MN": "Mongolia", "MO": "Macau", "MP": "Northern Mariana Islands", "MQ": "Martinique", "MR": "Mauritania", "MS": "Montserrat",
+    "MU": "Mauritius", "MV": "Maldives", "MW": "Malawi", "MZ": "Mozambique", "NA": "Namibia", "NC": "New Caledonia", "NE": "Niger", "NF": "Norfolk Island",
+    "NI": "Nicaragua", "NP": "Nepal", "NR": "Nauru", "NU": "Niue", "PF": "French Polynesia", "PG": "Papua New Guinea", "PM": "Saint Pierre and Miquelon",
+    "PN": "Pitcairn", "PR": "Puerto Rico", "PS": "Palestine, State of", "PW": "Palau", "RE": "Réunion", "RS": "Serbia", "RW": "Rwanda",
+    "SB": "Solomon Islands", "SC": "Seychelles", "SD": "Sudan", "SH": "Saint Helena, Ascension and Tristan da Cunha", "SJ": "Svalbard and Jan Mayen",
+    "SL": "Sierra Leone", "SM": "San Marino", "SN": "Senegal", "SO": "Somalia", "SR": "Suriname", "SS": "South Sudan", "ST": "Sao Tome and Principe",
+    "SV": "El Salvador", "SX": "Sint Maarten (Dutch part)", "SY": "Syria", "SZ": "Eswatini", "TC": "Turks and Caicos Islands", "TD": "Chad",
+    "TF": "French Southern Territories", "TG": "Togo", "TJ": "Tajikistan", "TK": "Tokelau", "TL": "Timor-Leste", "TM": "Turkmenistan", "TO": "Tonga",
+    "TT": "Trinidad and Tobago", "TV": "Tuvalu", "TZ": "Tanzania", "UG": "Uganda", "UM": "United States Minor Outlying Islands", "UZ": "Uzbekistan",
+    "VA": "Holy See (Vatican City State)", "VC": "Saint Vincent and the Grenadines", "VG": "Virgin Islands, British", "VI": "Virgin Islands, U.S.",
+    "VU": "Vanuatu", "WF": "Wallis and Futuna", "WS": "Samoa", "XK": "Kosovo", "YE": "Yemen", "YT": "Mayotte", "ZM": "Zambia", "ZW": "Zimbabwe",
 }
+#: Other English names of countries, recognized but left as they are.
+OTHER_NAMES = (
+    "Bolivia, Plurinational State of", "Cape Verde", "Congo, Democratic Republic of the", "Congo, The Democratic Republic of the", "Cote d'Ivoire", "Democratic Republic of the Congo",
+    "Falkland Islands", "Gambia, The", "Holy See", "Ivory Coast", "Korea, Democratic People's Republic of", "Korea, Republic of", "Lao People's Democratic Republic", "Micronesia",
+    "Moldova, Republic of", "Palestine", "Pitcairn Islands", "Republic of the Congo", "Reunion", "Saint Helena", "Swaziland", "Tanzania, United Republic of", "The Gambia", "Timor Leste",
+    "United Republic of Tanzania", "Vatican City", "Venezuela, Bolivarian Republic of", "Aland Islands", "Saint Barthelemy", "Sint Maarten",
+)
+#: Names that are looked for in addresses besides the project's, and aliases that stand in addresses for something else.
+ALSO_IN_ADDRESSES, NOT_IN_ADDRESSES = ("Algeria", "Ethiopia", "Iran", "Iraq", "Macau", "Monaco", "Mozambique", "Serbia"), ("wales", "saint martin")
 #: Abbreviations of regions that name a country.
 AU_STATES = ("NSW", "VIC", "QLD", "SA", "WA", "TAS", "ACT", "NT")
 US_STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WV WI WY DC".split())
@@ -41,22 +88,23 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def normalized_country(text: Column, aliases: dict[str, str] = ALIASES, codes: dict[str, str] = CODES) -> Column:
-    """Alias, two-letter code, or a known name in its usual casing; else the trimmed text."""
+def normalized_country(text: Column, aliases: dict[str, str] = ALIASES, codes: dict[str, str] = CODES, iso: dict[str, str] = ISO) -> Column:
+    """Alias, two-letter code (``codes`` before ``iso``), or a known name in its usual casing; else the trimmed text."""
     name = F.trim(text)
-    by_code = F.when(name.rlike("^[A-Za-z]{2}$"), _lookup(codes, F.upper(name)))
-    by_name = _lookup({v.lower(): v for v in [*codes.values(), *aliases.values()]}, F.lower(name))
+    by_code = F.when(name.rlike("^[A-Za-z]{2}$"), F.coalesce(_lookup(codes, F.upper(name)), _lookup(iso, F.upper(name))))
+    by_name = _lookup({v.lower(): v for v in [*iso.values(), *codes.values(), *aliases.values()]}, F.lower(name))
     return F.coalesce(_lookup(aliases, F.lower(name)), by_code, by_name, name)
 
 
 def recognized(text: Column) -> Column:
-    return F.coalesce(normalized_country(text).isin(*sorted({*CODES.values(), *ALIASES.values()})), F.lit(False))
+    names = {n.lower() for n in (*CODES.values(), *ISO.values(), *ALIASES.values(), *OTHER_NAMES)}
+    return F.coalesce(F.lower(normalized_country(text)).isin(*sorted(names)), F.lit(False))
 
 
 def inferred_country(country: Column, address: Column, city: Column, state: Column, cities: dict[str, str] | None = None) -> Column:
     """The given country, else the longest country name within the address, else by state or province, else by city."""
     text = F.lower(F.concat_ws(" ", address, city, state))
-    names = sorted({*CODES.values(), *[a for a in ALIASES if len(a) > 3 and a != "wales"]}, key=lambda n: (-len(n), n))
+    names = sorted({*CODES.values(), *ALSO_IN_ADDRESSES, *[a for a in ALIASES if len(a) > 3 and a not in NOT_IN_ADDRESSES]}, key=lambda n: (-len(n), n))
     found = F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, F.lower(n))), 0)
     region = F.upper(F.trim(state))
     by_region = F.when(region.isin(*AU_STATES), "Australia").when(region.isin(*US_STATES), "United States").when(region.isin(*CA_PROVINCES), "Canada")
