@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -74,7 +74,7 @@ def near_pairs(df: DataFrame, meters: float, test: Column | None = None, by: tup
     return (out.where(test) if test is not None else out).select(F.col("a.handle").alias("u"), F.col("b.handle").alias("v"), meters_between().alias("meters"))
 
 
-def probes(incoming: DataFrame, places: DataFrame, cap: int = 40) -> DataFrame:
+def probes(incoming: DataFrame, places: DataFrame) -> DataFrame:
     """(handle, match, tier, meters): the place that each incoming row is taken to be, by the first tier that finds one.
 
     Tiers: 1 the same rounded coordinates and country (nearest within 25 m where several); 2 the same address key and
@@ -95,9 +95,8 @@ def probes(incoming: DataFrame, places: DataFrame, cap: int = 40) -> DataFrame:
         return joined.select(col("a", "handle").alias("handle"), col("b", "handle").alias("match"), F.lit(tier).alias("tier"), meters.alias("meters"))
 
     rounded = found(a.join(b, same("lat5", "lon5", "k_country")), 1)
-    nth = F.row_number().over(Window.partitionBy("handle").orderBy("match"))
-    several = F.count(F.lit(1)).over(Window.partitionBy("handle"))
-    tier1 = rounded.withColumns({"nth": nth, "several": several}).where((F.col("nth") <= cap) & ((F.col("several") == 1) | (F.col("meters") <= 25))).drop("nth", "several")
+    nearest = rounded.groupBy("handle").agg(F.min(F.struct("meters", "match")).alias("m"), F.count(F.lit(1)).alias("several"))
+    tier1 = nearest.where((F.col("several") == 1) | (F.col("m.meters") <= 25)).select("handle", "m.match", F.lit(1).alias("tier"), "m.meters")
     tier2 = found(a.join(b, same("k_addr", "k_city", "k_country")).where((F.length(col("a", "k_addr")) >= 6) & (meters <= 300)), 2)
     extends = X.key_contains(col("a", "k_addr"), col("b", "k_addr")) & X.names_similar(col("a", "name"), col("b", "name"))
     tier3 = found(a.join(b, same("k_city", "k_country")).where(extends & (meters <= 150)), 3)
