@@ -12,7 +12,7 @@ from ..functions import geo
 from ..functions import text as X
 from ..functions.country import normalized_country
 from .components import components
-from .joins import block_pairs, meters_between, near_pairs
+from .joins import block_pairs, block_stars, meters_between, near_pairs
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -69,10 +69,11 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 
 def match_edges(df: DataFrame) -> DataFrame:
-    """(u, v, rule): pairs taken for the same place by any of five rules, each an equality join; u < v.
+    """(u, v, rule): edges whose components are taken for the same place, by any of five rules, each an equality join; u < v.
 
     Rules: the same rounded coordinates; the same address key and city; the same source key; and within 300 m an aligned
-    address with the same city or an equal or similar name. All ask for the same country.
+    address with the same city or an equal or similar name. All ask for the same country. The first three need no further test, so a block's
+    rows are linked to its least handle only, not each to each; the last gives pairs.
     """
     keyed = with_keys(df)
     usable = keyed.where(~geo.unusable(F.col("lat"), F.col("lon")))
@@ -80,12 +81,12 @@ def match_edges(df: DataFrame) -> DataFrame:
     alike = (a("k_name") == b("k_name")) | X.names_similar(a("k_name"), b("k_name"))
     aligned = X.keys_align(a("line1"), b("line1"), a("k_line"), b("k_line"), a("k_addr"), b("k_addr"))
     rules = {
-        "coordinates": block_pairs(usable, ["k_country", "lat5", "lon5"], F.lit(True)),
-        "address": block_pairs(keyed.where(F.length("k_addr") >= 6), ["k_country", "k_city", "k_addr"], F.lit(True)),
+        "coordinates": block_stars(usable, ["k_country", "lat5", "lon5"]),
+        "address": block_stars(keyed.where(F.length("k_addr") >= 6), ["k_country", "k_city", "k_addr"]),
         "near": near_pairs(keyed, 300, aligned & ((a("k_city") == b("k_city")) | alike), ("k_country",)).drop("meters"),
     }
     if "source_key" in df.columns:
-        rules["source"] = block_pairs(keyed.where(~X.blank(F.col("source_key"))), ["k_country", "source_key"], F.lit(True))
+        rules["source"] = block_stars(keyed.where(~X.blank(F.col("source_key"))), ["k_country", "source_key"])
     return reduce(DataFrame.unionByName, [e.withColumn("rule", F.lit(name)) for name, e in rules.items()])
 
 

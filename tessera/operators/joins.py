@@ -59,6 +59,13 @@ def block_pairs(df: DataFrame, by: list[str | Column], test: Column, distance: C
     return out.select(F.col("a.handle").alias("u"), F.col("b.handle").alias("v"), *extra)
 
 
+def block_stars(df: DataFrame, by: list[str]) -> DataFrame:
+    """Edges (u, v) from each block's least handle u to its other rows: as few as rows, with the components of all its pairs."""
+    keyed = df.select("handle", *by).dropna(subset=by)
+    least = keyed.groupBy(*by).agg(F.min("handle").alias("u"))
+    return keyed.join(least, by).where("u < handle").select("u", F.col("handle").alias("v"))
+
+
 def meters_between(a: str = "a", b: str = "b") -> Column:
     return geo.haversine(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
 
