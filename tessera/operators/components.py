@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.work import written
+from ..plans.work import WorkTables
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component is the smallest node that links lead to.
 
-    Rounds grow with the logarithm of the longest chain; the edge set never grows. Each round is a written table.
+    Rounds grow with the logarithm of the longest chain; the edge set never grows. Each round is a written table, of which
+    the last stays for the result. A node that has a large share of all edges is only ever the smaller side's one row: its
+    least neighbour is found by partial aggregates, and Spark may split its edges in the join (adaptive skew joins).
     """
 
     def directed(e: DataFrame) -> DataFrame:
@@ -32,8 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
         return n["n"] == n["u"] and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
-    state = written(directed(edges), "edges")
+    work = WorkTables(edges.sparkSession)
+    state = work.written(directed(edges), "edges")
     while not stars(state):
-        state = written(small(large(state)), "edges")
+        later = WorkTables(edges.sparkSession)
+        state = later.written(small(large(state)), "edges")
+        work.drop()
+        work = later
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
