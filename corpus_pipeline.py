@@ -5,8 +5,9 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as
 
 Defined results: a null or empty text is rejected by the first stage; rows that share a doc_id count as versions of one
 document and stay or go together in the third; a document without a repeated passage keeps its text as it is, else its
-kept words are joined by single blanks and ``n_chars`` is counted anew; empty tables give empty results; extra columns
-are carried along up to the last stage.
+kept words are joined by single blanks and ``n_chars`` is counted anew; repeated rows stay repeated where they stay; very
+long texts pass whole; empty tables give empty results; extra columns, whatever their names, are carried along with their
+values up to the last stage, which numbers its own columns' rows (doc_id, piece, n_words, bin, start).
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substring_dedup.without_repeats(docs)
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    _, n_removed, kept_text = (F.col(c) for c in found.columns[-3:])
+    changed = n_removed > 0
+    text = F.when(changed, kept_text).otherwise(F.col("text"))
+    columns = {"text": text, "n_chars": F.when(changed, F.length(kept_text).cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
