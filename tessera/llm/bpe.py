@@ -8,8 +8,11 @@ than LONG bytes uses a heap over the same parts instead of scans (the same order
 The vocabulary file (tokenizers' JSON: NFC, white space and lower-case normalisers, a splitting pattern, byte-level
 symbols, an end-of-word suffix, no decoder) is a parameter. Encoding needs nothing but numpy and regex.
 
+Equal words and pre-tokens of a block are encoded once; they are told apart by their bytes (see :mod:`.textblocks`).
+
 Defined results: a null text counts as empty; texts without tokens decode to the empty string; special tokens' strings
-in a text give their ids; equal texts get equal rows; an empty table gives no rows; other columns are ignored.
+in a text give their ids; repeated rows and equal texts get equal rows; a very long text is encoded whole, in a block of
+its own, and so is a very long word; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow
-from .textblocks import blocks, ranges, span_hashes
+from .textblocks import blocks, distinct_spans, ranges
 from .wordwise import encoded
 
 LONG = 96
@@ -217,7 +220,7 @@ class Vocabulary:
             if rows:
                 data = np.append(data, np.frombuffer(b"".join(more), np.uint8))
                 starts, ends, owner, special = (np.append(x, y) for x, y in zip((starts, ends, owner, special), np.array(rows, np.int64).T))
-        _, one, place = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        one, place = distinct_spans(data, starts, ends)
         ids, counts = self.encode_pieces(data, starts[one], ends[one])
         begin = (np.cumsum(counts) - counts)[place]
         counts = counts[place]

@@ -3,22 +3,46 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.work import new_path, shared_dir, written
+from ..plans.work import WorkTables, new_path, shared_dir, written
 
-__all__ = ["array_parts", "arrow", "merged_array", "new_path", "partitions", "shared_dir", "written"]
+__all__ = ["WorkTables", "array_parts", "arrow", "fresh", "merged_array", "new_path", "numbered", "partitions", "repeated", "shared_dir", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The ``wanted`` names, each with as many underscores before it as it takes to differ from those ``taken``."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that no internal name can clash with one of them."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def repeated(df: DataFrame, n: str) -> DataFrame:
+    """Each row as many times as its column ``n`` says, without that column; by 65 536 at a time, so that no row gets large."""
+    step, column = 1 << 16, F.col(n)
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(column / step) - 1)))
+    size = F.least(F.lit(step).cast("long"), column - F.col("_part") * step).cast("int")
+    return parts.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), size))).drop(n, "_part", "_copy")
+
+
 def arrow(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
     """A mapInArrow function from one that handles a batch."""
 

@@ -6,7 +6,10 @@ extended to the left are the maximal repeated word sequences. The union of their
 is limited together with the longest repeat. Rows are independent of one another: no shuffle, bounded blocks.
 
 Defined results: a null text counts as empty; a text without words has zero counts and fails the base rule (too few
-words); equal texts get equal rows; an empty table gives no rows; other columns of the input are ignored.
+words); repeated rows and equal texts get equal rows; a very long text is a block of its own, whole, and takes memory in
+proportion to its words (about 60 bytes for each, and 4 for each doubling of its longest repeat); an empty table gives no
+rows; other columns of the input are ignored here, and kept with their values by :func:`good_documents`. Words are told
+apart by their bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow
-from .textblocks import Block, blocks
+from .textblocks import Block, blocks, distinct_spans
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, n_repeats long, longest_repeat long, base_failed boolean, kept boolean"
 SYMBOLS = np.zeros(256, bool)
@@ -130,7 +133,7 @@ def repetition(block: Block, window: int, min_repeat: int) -> dict[str, np.ndarr
         return {"n_repeat_words": zero, "covered_words": zero, "n_repeats": zero, "longest_repeat": zero}
     doc = block.doc_of_word()
     ends = bounds[1:][doc]
-    words = np.unique(block.hashes(), return_inverse=True)[1]
+    words = distinct_spans(block.data, block.starts, block.ends)[1]
     order, levels = suffix_array(doc * np.int64(words.max() + 1) + words, ends)
     lcp = common_prefixes(order, levels, ends, min(window, min_repeat))
     longest = np.maximum(lcp[:-1], lcp[1:])  # of each place, the longest repeat that starts at its word

@@ -6,9 +6,9 @@ between documents; a text longer than a block is a block of its own and is never
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ LOWER[65:91] += 32
 U = np.uint64
 #: Odd multipliers of the hash functions (any would do; all tasks need the same).
 BASE, MIX1, MIX2, MIX3 = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0xD6E8FEB86659FD93)
-_PIECE = 1 << 19
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,18 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def inverse(x: int) -> int:
-    return pow(int(x), -1, 1 << 64)
-
-
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**j and base**-j modulo 2**64 for j < n."""
-    up, down = np.full(n, base, U), np.full(n, inverse(base), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-
-
 @dataclass
 class Block:
     """Some documents: ``first`` is the place of the first of them in the column, ``bounds`` are byte offsets in ``data``."""
@@ -74,20 +63,55 @@ class Block:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the spans (in ascending order): its bytes as digits of a number modulo 2**64, mixed with its length."""
-    out, k = np.empty(len(starts), U), 0
-    while k < len(starts):
-        at = starts[k]
-        m = max(k + 1, int(np.searchsorted(ends, at + _PIECE, "right")))
-        piece = data[at : ends[m - 1]]
-        size = _PIECE if len(piece) <= _PIECE else 1 << (len(piece) - 1).bit_length()
-        up, down = powers(int(BASE), size)
-        total = np.zeros(len(piece) + 1, U)
-        np.cumsum((piece.astype(U) + U(1)) * down[: len(piece)], out=total[1:])
-        s, e = starts[k:m] - at, ends[k:m] - at
-        out[k:m] = (total[e] - total[s]) * up[s] + (e - s).astype(U) * MIX3
-        k = m
-    return mix(out)
+    """A 64-bit hash of each of the spans.
+
+    The span's lanes of eight bytes go one after another through a keyed mixing that starts from its length. Each step is
+    a bijection of the lane, so spans of up to eight bytes never collide with others of their length, and no arrangement
+    of letters makes longer ones collide by design (as it does for polynomials modulo 2**64). A span of more than
+    LONG_WORD bytes is hashed by BLAKE2b.
+    """
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(sizes.astype(U) * MIX3 + BASE)
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    done = 0
+    while len(at):
+        left = sizes[at] - done
+        lane = lanes[starts[at] + done]
+        lane &= np.where(left >= 8, U(2**64 - 1), (U(1) << (np.minimum(left, 7) * 8).astype(U)) - U(1))
+        out[at] = mix((out[at] ^ lane) * MIX2 + BASE)
+        done += 8
+        at = at[left > 8]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> bool:
+    """Have the spans at ``starts`` the bytes of those (as long) at ``others``?"""
+    step = 1 << 16  # spans at a time
+    for k in range(0, len(starts), step):
+        n = sizes[k : k + step]
+        if (data[ranges(starts[k : k + step], n)] != data[ranges(others[k : k + step], n)]).any():
+            return False
+    return True
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): one of each of the distinct spans, and which of them each span is. Exact.
+
+    Spans are told apart by their hashes. Those of more than eight bytes are compared with what they are taken for byte
+    by byte (shorter ones of one length can't collide); should two differ all the same, whole bytes are told apart.
+    """
+    _, first, place = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, taken_for = ends - starts, first[place]
+    long = np.flatnonzero((sizes > 8) & (taken_for != np.arange(len(sizes))))
+    if (sizes != sizes[taken_for]).any() or not same_bytes(data, starts[long], sizes[long], starts[taken_for[long]]):
+        spans = np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], object)
+        _, first, place = np.unique(spans, return_index=True, return_inverse=True)
+    return first, place
 
 
 def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textblocks import Block, ranges
+from .textblocks import Block, distinct_spans, ranges
 
 #: Takes words that follow one another (bytes, sizes); gives all their ids in turn and how many each has.
 EncodeWords = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -20,7 +20,7 @@ def encoded(block: Block, encode_words: EncodeWords) -> tuple[np.ndarray, np.nda
     """The ids of all texts of a block in turn, and where each text's begin (one bound more than texts)."""
     if not len(block.starts):
         return np.zeros(0, np.int32), np.zeros(len(block) + 1, np.int64)
-    _, first, place = np.unique(block.hashes(), return_index=True, return_inverse=True)
+    first, place = distinct_spans(block.data, block.starts, block.ends)
     sizes = (block.ends - block.starts)[first]
     flat, counts = encode_words(block.data[ranges(block.starts[first], sizes)], sizes)
     begin, n = (np.cumsum(counts) - counts)[place], counts[place]
