@@ -1,14 +1,16 @@
 """URL filters: host and path rules, then a list of canonical URLs behind a blocked Bloom filter. SQL functions only.
 
 The list's URLs set bits in a blocked Bloom filter: a hash picks a block of 512 bits (eight longs), a second hash one bit
-in each long. The filter is a DataFrame of at most ``n_blocks`` rows, whatever the list's size, so it may be broadcast
-(about 90 bytes a row). URLs that miss a bit are certainly not listed; only possible hits go to an exact hash join with
-the list, salted so that one URL in a third of all rows spreads over SALTS tasks. Hits that the join doesn't confirm are
-false positives of the filter.
-
-Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and isn't listed (allow);
-repeated rows keep their number; of rules that fit the longest wins; an empty list blocks nothing; an empty table gives
-no rows; other columns are ignored.
+in each long. The filter is a DataFrame of at most ``n_blocks`` rows (about 90 bytes each), a number that follows the
+list's size up to a bound, so it may be broadcast; a list beyond the bound gets no filter, and all URLs without a rule go
+to the join. URLs that miss a bit are certainly not listed; only possible hits go to an exact hash join with the list.
+Equal hits are counted first, and a URL with more than HEAVY different ones is salted, in the list as well. Hits that the
+join doesn't confirm are false positives of the filter.
+
+Defined results: a null or empty URL or one without ``://`` has an empty host and path, no rule, and isn't listed (allow);
+a very long URL is judged whole; repeated rows (also with null ids) keep their number; of rules that fit the longest wins;
+repeated and null entries of the list count once and not at all; an empty list blocks nothing; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,33 +20,52 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, SALTS = 8, 16
+from .common import repeated
+
+WORDS = 8
+#: Different rows with one URL that a task takes in the join.
+HEAVY = 1 << 20
 #: The rules (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Labels of hosts whose pages make up the list of the registered query.
+#: Labels of hosts whose pages are in the list of the registered query; digests by which other pages are.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DIGEST = "00"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Bloom:
-    """``n_blocks``: rows of the filter at most (2**15 rows are 3 MB)."""
+    """``n_blocks``: rows of the filter at most (2**15 rows are 3 MB). With 0 blocks every row is a possible hit."""
 
     n_blocks: int = 1 << 15
 
+    @classmethod
+    def sized(cls, n_keys: int, most: int = 1 << 18) -> Bloom:
+        """A filter for so many keys: a block of 512 bits for 32 of them, at least 64 blocks.
+
+        Beyond ``most`` blocks (25 MB; 8 million keys) a filter is too large to be broadcast: there is none, and all rows
+        go to the exact join.
+        """
+        blocks = max(64, 1 << (n_keys // 32).bit_length())
+        return cls(blocks if blocks <= most else 0)
+
     def _block(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.n_blocks))
+        return F.pmod(F.xxhash64(key), F.lit(max(1, self.n_blocks)))
 
     def _mask(self, key: Column, k: int) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 6 * k).bitwiseAND(F.lit(63)).cast("int"))
 
     def build(self, keys: DataFrame, key: str) -> DataFrame:
         """(block, w0..w7) of the keys; partial sums in each task come before the shuffle."""
+        if not self.n_blocks:
+            keys = keys.limit(0)
         masks = keys.where(F.col(key).isNotNull()).select(self._block(F.col(key)).alias("block"), *[self._mask(F.col(key), k).alias(f"m{k}") for k in range(WORDS)])
         return masks.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(WORDS)])
 
     def flagged(self, rows: DataFrame, bloom: DataFrame, key: str, flag: str) -> DataFrame:
         """``rows`` with a boolean: might the key be one of the filter's? (False for null.)"""
+        if not self.n_blocks:
+            return rows.withColumn(flag, F.col(key).isNotNull())
         hit = F.col("_bloom_0").isNotNull() & F.col(key).isNotNull()
         for k in range(WORDS):
             mask = self._mask(F.col(key), k)
@@ -80,24 +101,32 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> D
     return split.withColumn("canonical", canonical(F.col("host"), F.col("path")))
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, bloom: Bloom = Bloom(), rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict. ``listed`` has a column ``canonical``."""
+def url_filter(pages: DataFrame, listed: DataFrame, bloom: Bloom | None = None, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", heavy: int = HEAVY) -> DataFrame:
+    """page_id, host, path, rule, verdict. ``listed`` has a column ``canonical``; without ``bloom`` its size gives the filter's."""
+    columns = ["page_id", "host", "path", "rule"]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = parsed(pages, id_col, url_col).withColumns({"rule": rule, "said": verdict})
     keys = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
+    bloom = bloom or Bloom.sized(keys.count())
     flagged = bloom.flagged(rows, bloom.build(keys, "canonical"), "canonical", "maybe")
     open_hit = F.col("said").isNull() & F.col("maybe")
-    settled = flagged.where(~open_hit).withColumn("verdict", F.coalesce("said", F.lit("allow")))
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("in_list", F.lit(True))
-    hits = flagged.where(open_hit).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    exact = hits.join(salted.hint("shuffle_hash"), ["canonical", "salt"], "left").withColumn("verdict", F.when(F.col("in_list"), F.lit("block")).otherwise(F.lit("allow")))
-    columns = ["page_id", "host", "path", "rule", "verdict"]
-    return settled.select(columns).unionByName(exact.select(columns))
+    settled = flagged.where(~open_hit).select(*columns, F.coalesce("said", F.lit("allow")).alias("verdict"))
+    hits = flagged.where(open_hit).groupBy(*columns, "canonical").agg(F.count(F.lit(1)).alias("n"))
+    hot = hits.groupBy("canonical").agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    salted = keys.join(hot, "canonical", "left").select("canonical", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("in_list"))
+    placed = hits.join(hot, "canonical", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), salts).cast("int"))
+    found = placed.join(salted.hint("shuffle_hash"), ["canonical", "salt"], "left").select(*columns, F.when(F.col("in_list"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), "n")
+    return settled.unionByName(repeated(found, "n"))
+
 
+def listed_urls(pages: DataFrame, labels: tuple[str, ...] = LISTED_LABELS, digest: str = LISTED_DIGEST) -> DataFrame:
+    """Canonical URLs of pages on hosts with one of these labels, and those, of any host, whose MD5 begins with ``digest``.
 
-def listed_urls(pages: DataFrame, labels: tuple[str, ...] = LISTED_LABELS) -> DataFrame:
-    """The canonical URLs of pages on hosts with one of these labels."""
-    return parsed(pages).where(F.arrays_overlap(F.split("host", "\\."), F.array(*[F.lit(x) for x in labels]))).select("canonical")
+    The second kind shares its hosts with pages that aren't listed, so only the whole URL tells them apart.
+    """
+    known = F.arrays_overlap(F.split("host", "\\."), F.array(*[F.lit(x) for x in labels]))
+    return parsed(pages).where(known | F.md5(F.col("canonical").cast("binary")).startswith(digest)).select("canonical")
 
 
 def sql() -> str:
@@ -108,5 +137,5 @@ def sql() -> str:
     return f"""WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html)?/?$', '') END AS canonical FROM s),
-listed AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]))
+listed AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND (list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) OR starts_with(md5(canonical), '{LISTED_DIGEST}')))
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM c"""
