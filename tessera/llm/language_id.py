@@ -4,13 +4,19 @@ Every letter has a random vector of +1 and -1. An n-gram (n = 3) is the product
 by its place; a text's vector is the sum (bundle) of its n-grams' vectors, a language's prototype the bundle of all its
 training texts. A text gets the language whose prototype has the largest cosine with its vector.
 
-``fit`` reads every labelled row: tasks count n-grams by language, Spark sums the counts, and a task for each language
-bundles them (at most ALPHABET**3 n-grams). Only the prototypes, a few kB for each language, reach the driver.
-``predict`` is a map over rows without a shuffle.
+``fit`` reads every labelled row: tasks count n-grams by language, Spark sums the counts, tasks for each language and
+share of the n-grams bundle them, and the shares' sums are added. Only the prototypes, 4 kB for each language, reach the
+driver, which takes MAX_LANGUAGES at most (more raise ValueError: such labels are no languages). ``predict`` is a map over
+rows without a shuffle.
+
+Letters are a-z in either case and other letters in lower case, the latter by code point modulo a prime of about 4000: the
+alphabets of Europe and the Near East never collide within one another, a few Chinese characters share a vector.
 
 Defined results: the prediction is ``und`` with score 0 where the text is null, has no letter, or no language was
-learnt; ties go to the language that sorts first; equal texts get equal rows; a training row without text or language is
-ignored; a text of fewer than three letters still has n-grams, as words are framed by blanks; an empty table gives no rows.
+learnt; ties go to the language that sorts first; repeated rows and equal texts get equal rows; a training row without
+text or language is ignored; a text of fewer than three letters still has n-grams, as words are framed by blanks; a very
+long text is a piece of its own, whole, and takes memory in proportion to its letters (about 60 bytes for each); an empty
+table gives no rows; other columns are ignored by :func:`predict`, and kept with their values by :func:`recognised`.
 """
 
 from __future__ import annotations
@@ -27,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import arrow
 from .textblocks import column, raw
 
-ALPHABET = 48
+#: Letter classes: 0 for no letter, 26 for a-z, and a prime number of others.
+OTHERS = 4057
+ALPHABET = 27 + OTHERS
+MAX_LANGUAGES = 4096
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -41,22 +50,27 @@ class Space:
 
 @lru_cache(maxsize=1)
 def letter_codes() -> np.ndarray:
-    """For each code point: 0 for what is no letter, 1-26 for a-z in either case, else one of 21 classes for other letters."""
-    out = np.zeros(0x110000, np.uint8)
+    """For each code point: 0 for what is no letter, 1-26 for a-z in either case, else a class of other letters."""
+    out = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (ALPHABET - 27)
+            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % OTHERS
     return out
 
 
 @lru_cache(maxsize=2)
-def gram_vectors(space: Space) -> np.ndarray:
-    """The vector of each n-gram, at index (a * ALPHABET + b) * ALPHABET + c."""
+def letter_vectors(space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters' vectors, permuted for the first, second and third place of an n-gram."""
     letters = (np.random.default_rng(space.seed).integers(0, 2, (ALPHABET, space.dimensions)) * 2 - 1).astype(np.int8)
-    a, b = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (a[:, None, None, :] * b[None, :, None, :] * letters[None, None, :, :]).reshape(-1, space.dimensions)
+    return np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
+
+
+def gram_vectors(grams: np.ndarray, space: Space) -> np.ndarray:
+    """The vectors of n-grams (a * ALPHABET + b) * ALPHABET + c: the product of their letters'."""
+    first, second, third = letter_vectors(space)
+    return first[grams // ALPHABET**2] * second[grams // ALPHABET % ALPHABET] * third[grams % ALPHABET]
 
 
 def grams(values: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,59 +100,54 @@ def grams(values: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.
         k = m
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, space: Space = Space()) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, text_col: str, lang_col: str, space: Space = Space(), shares: int = 64) -> tuple[list[str], np.ndarray]:
     """Languages in ascending order and their prototypes, of unit length."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, total in totals.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
-            totals.clear()
-
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            langs, owner = np.unique(np.array(batch.column(1).to_pylist(), object), return_inverse=True)
             for first, _, doc, gram, n in grams(batch.column(0)):
-                names = langs[first + doc]
-                for lang in set(names.tolist()):
-                    if lang not in totals and len(totals) >= 64:
-                        yield from flush()
-                    total = totals.setdefault(lang, np.zeros(ALPHABET**3, np.int64))
-                    mine = names == lang
-                    total += np.bincount(gram[mine], n[mine], ALPHABET**3).astype(np.int64)
-        yield from flush()
+                key, place = np.unique(owner[first + doc] * ALPHABET**3 + gram, return_inverse=True)
+                total = np.bincount(place, n, len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(langs[key // ALPHABET**3], pa.string()), pa.array(key % ALPHABET**3), pa.array(total)], ["lang", "gram", "n"])
 
     def bundle(table: pa.Table) -> pa.Table:
-        vectors = gram_vectors(space)
         at, n, total = table["gram"].to_numpy(), table["n"].to_numpy().astype(np.float64), np.zeros(space.dimensions)
         for k in range(0, len(at), 4096):
-            total += n[k : k + 4096] @ vectors[at[k : k + 4096]].astype(np.float64)
-        size = np.linalg.norm(total)
-        return pa.table({"lang": pa.array([table["lang"][0].as_py()], pa.string()), "vector": pa.array([(total / (size or 1)).tolist()], pa.list_(pa.float64()))})
+            total += n[k : k + 4096] @ gram_vectors(at[k : k + 4096], space).astype(np.float64)
+        return pa.table({"lang": table["lang"][:1], "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([v.as_py() for v in table["vector"]], axis=0)
+        return pa.table({"lang": table["lang"][:1], "vector": pa.array([(total / (np.linalg.norm(total) or 1)).tolist()], pa.list_(pa.float64()))})
 
     used = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
-    counts = used.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = sorted(counts.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").collect())
+    counts = used.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    schema = "lang string, vector array<double>"
+    parts = counts.withColumn("share", F.pmod("gram", F.lit(shares))).groupBy("lang", "share").applyInArrow(bundle, schema)
+    rows = sorted(parts.groupBy("lang").applyInArrow(add, schema).limit(MAX_LANGUAGES + 1).collect())
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return [r["lang"] for r in rows], np.array([r["vector"] for r in rows]).reshape(len(rows), space.dimensions)
 
 
 def predicted(values: pa.Array, model: tuple[list[str], np.ndarray], space: Space) -> Iterator[tuple[int, list[str], list[float]]]:
     """Of each piece of the texts: the first one's place, languages and scores."""
     langs, prototypes = model
-    vectors = gram_vectors(space)
     for first, m, doc, gram, n in grams(values):
         bounds = np.searchsorted(doc, np.arange(m + 1)).tolist()
         weights = n.astype(np.float32)
         pred, score = ["und"] * m, [0.0] * m
+        one, place = np.unique(gram, return_inverse=True)
+        table = gram_vectors(one, space) if len(one) <= 1 << 16 else None  # 32 MB at most
         for k in range(m):
             a, b = bounds[k], bounds[k + 1]
             if a < b and langs:
                 total = np.zeros(space.dimensions)
                 for c in range(a, b, 2048):
                     e = min(b, c + 2048)
-                    total += weights[c:e] @ vectors[gram[c:e]].astype(np.float32)
+                    vectors = table[place[c:e]] if table is not None else gram_vectors(gram[c:e], space)
+                    total += weights[c:e] @ vectors.astype(np.float32)
                 cos = prototypes @ total / (np.linalg.norm(total) or 1)
                 best = int(np.argmax(cos))
                 pred[k], score[k] = langs[best], float(min(1.0, max(0.0, cos[best])))

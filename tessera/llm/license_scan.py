@@ -9,7 +9,9 @@ matched against ordered rules: a rule that finds its sequence of neighbours give
 (more general) rules don't see them. One row for each input row, no shuffle.
 
 Defined results: a null or empty text has no identifiers and no licences (empty strings, zeros); a licence is named once
-however often its rule applies, in the order of rules; equal texts get equal results; an empty table gives no rows.
+however often its rule applies, in the order of rules; repeated rows and equal texts get equal results; a very long text
+is scanned whole, in time in proportion to its length; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

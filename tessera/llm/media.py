@@ -5,8 +5,9 @@ A text's UTF-8 bytes, filled up with 255 to a positive multiple of 576, become t
 folder; ``features`` parses the stored bytes, Huffman-decodes the scans and hashes the DC-only luminance thumbnail.
 Rows are independent: no shuffle, work in pieces of about 1 MB (a longer text is a piece of its own).
 
-Defined results: a null text counts as empty (576 bytes 255); equal texts give equal values; an empty table gives no
-rows; other columns of the input are ignored.
+Defined results: a null or empty text is 576 bytes 255; repeated rows and equal texts give equal values; a very long text
+is a piece of its own and becomes several images in one value; an empty table gives no rows; other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,13 +6,19 @@ its successors until a compatible one is found (none of the document's source or
 If there is none, a new bin is opened. A document longer than a bin is cut: its full pieces fill bins of their own, the
 rest is packed like a document.
 
-Spark deals documents out, by a hash of id and length, to shards of about ``shard_rows`` rows, and each shard packs its
-own bins, so a hot source or cluster spreads over all shards and no task sees more than a shard. No row is dropped: an incompatible
-document always gets a new bin.
-
-Defined results: a document without words (or without a length) gets one row of length 0 with a null bin; a null source
-or cluster conflicts with nothing; ties in length go by ascending doc_id (null first); repeated rows are packed as many
-times; an empty table gives no rows; other columns are ignored.
+Spark deals documents out, by a hash, to shards of about ``shard_rows`` rows, and each shard packs its own bins, so a hot
+source or cluster spreads over all shards. Repeated rows are counted before the shuffle, numbered, and spread by their
+number, so a shard's size doesn't depend on what repeats. The successor search is linear in the open bins with room, of
+which a shard has at most as many as documents. No row is dropped: an incompatible document always gets a new bin.
+
+The duplicate cluster of :func:`sized` is a text's digest, so it holds exact copies; any other cluster, such as the
+component ids of :mod:`.jaccard_join`, may be given to :func:`packed`. The registered query keeps to exact copies, as the
+join alone takes more than its budget; in the pipeline one of each near-duplicate group is left, so there are no others.
+
+Defined results: a document without words (or without a length, or with a null text) gets one row of length 0 with a null
+bin; a null source or cluster conflicts with nothing; ties in length go by ascending doc_id (null first); repeated rows
+are packed as many times; a very long text is counted whole and cut into full bins; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import repeated
+
 CAPACITY = 2048
 SCHEMA = "doc_id long, piece long, n_words long, bin long, start long"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -91,7 +99,11 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = 4096) -
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "piece", "n_words", "bin", "start"])
 
     typed = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_words").cast("long"), F.lit(0)).alias("n_words"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    return typed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(shards))).groupBy("shard").applyInArrow(pack, SCHEMA)
+    columns, step = typed.columns, 256  # of equal rows each 256 go to a shard of their own choice
+    counted = typed.groupBy(*columns).agg(F.count(F.lit(1)).alias("k"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / step) - 1)))
+    dealt = parts.withColumns({"shard": F.pmod(F.xxhash64(*columns, "part"), F.lit(shards)), "k": F.least(F.lit(step).cast("long"), F.col("k") - F.col("part") * step)})
+    return repeated(dealt.drop("part"), "k").groupBy("shard").applyInArrow(pack, SCHEMA)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -9,14 +9,22 @@ read without what precedes it. All numbers are little-endian:
     i64 document id (each), u64 ids of each document, u64 start of each block and the end of the last, in bytes
     blocks: u32 minimum, u8 width, u16 exceptions, u16 places, u32 differences, packed bits (least significant first)
 
-Spark deals documents out by ranges of their ids and sorts within partitions; each task streams its partition into files
-of about ``file_ids`` ids. A file's name follows from partition and place, and it appears by a rename, so a repeated task
-writes the same file again. Where a file's first id stands in the whole is summed from counts by file, never from ids.
+Spark deals documents out by ranges of their ids (and of their texts' hashes, so that an id that a third of all rows
+share, or null, is split) and sorts within partitions; each task streams its partition into files of about ``file_ids``
+ids. The order is total but for equal rows, a file's name follows from partition and place, and it appears by a rename, so
+a repeated task writes the same file again. Where a file's first id stands in the whole is summed from counts by file,
+never from ids.
+
+The ids come from the tokenizers library. Texts are split into pre-tokens as in :mod:`.bpe` (whose tables hold for the
+library's Unicode version; tests compare whole texts and code points of all planes), and each distinct one of a block is
+encoded by the library once. A vocabulary of another shape, which doesn't mark the ends of words, raises ValueError.
 
 Files are written with Arrow's file systems (local paths, s3, gs, hdfs where its native library is installed).
 
-Defined results: a null text counts as empty and still gets the end id; a null doc_id sorts first and is kept as null;
-repeated ids of documents keep all rows; an empty table gives no files and no rows; other columns are ignored.
+Defined results: a null text counts as empty and still gets the end id; a null doc_id sorts first and is kept as null (in
+a file it is the id -2**63, which therefore is read back as null); repeated ids of documents keep all rows, in the order of
+their texts' hashes; a very long text is encoded whole and makes a file of its own; an empty table gives no files and no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], EncodeWo
         if held:
             yield flush()
 
-    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 

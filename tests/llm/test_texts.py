@@ -292,9 +292,133 @@ def test_language_id(documents, edge, empty):
     assert {r.lang_pred for r in language_id.predict(edge, language_id.fit(empty, "text", "lang")).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Counts of letter triples of a text, letter by letter; words are framed by blanks (None)."""
+    out, a, b = Counter(), None, None
+    letters = [c.lower()[0] if c.isalpha() else None for c in text]
+    for k, c in enumerate(letters):
+        if c is not None or (k and letters[k - 1] is not None):
+            out[(a, b, c)] += 1
+            a, b = b, c
+    return out
+
+
+def plain_vector(counts, space):
+    """The bundle of the triples' vectors, with plain sums."""
+    letters = (np.random.default_rng(space.seed).integers(0, 2, (language_id.ALPHABET, space.dimensions)) * 2 - 1).tolist()
+    code = lambda c: 0 if c is None else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % language_id.OTHERS
+    d, total = space.dimensions, [0] * space.dimensions
+    for (a, b, c), n in counts.items():
+        x, y, z = (letters[code(q)] for q in (a, b, c))
+        for k in range(d):
+            total[k] += n * x[(k - 2) % d] * y[(k - 1) % d] * z[k]
+    return total
+
+
+def cosine(a, b):
+    size = lambda v: sum(x * x for x in v) ** 0.5 or 1
+    return sum(x * y for x, y in zip(a, b)) / size(a) / size(b)
+
+
+@pytest.mark.parametrize("name", ["edge", "documents"])
+def test_language_id_equals_brute_force(name, request):
+    space, docs = language_id.Space(48, 3), request.getfixturevalue(name)
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text is None or len(r.text) < 3000]
+    small = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            trained[lang] = trained.get(lang, Counter()) + plain_grams(text)
+    prototypes = {lang: plain_vector(n, space) for lang, n in sorted(trained.items()) if n}
+    langs, vectors = model = language_id.fit(small, "text", "lang", space)
+    assert langs == sorted(prototypes) and all(cosine(v, prototypes[lang]) > 1 - 1e-9 for lang, v in zip(langs, vectors))
+    got = sorted(map(tuple, language_id.predict(small, model, space=space).collect()), key=str)
+    assert len(got) == len(rows)
+    want = {}
+    for doc, text, _ in rows:
+        v = plain_vector(plain_grams(text or ""), space)
+        want[(doc, text)] = {lang: cosine(v, p) for lang, p in prototypes.items()} if plain_grams(text or "") else None
+    for (doc, lang, score), r in zip(got, sorted(language_id.predict(small, model, space=space).collect(), key=str)):
+        options = [w for (d, _), w in want.items() if d == doc]
+        assert any((w is None and (lang, score) == ("und", 0)) or (w is not None and abs(max(0, w[lang]) - score) < 1e-6 and w[lang] > max(w.values()) - 1e-6) for w in options if w is None or lang in w), doc
+
+
+def test_language_id_other_scripts(spark):
+    """Alphabets beyond the Latin one keep their letters apart."""
+    texts = [("ru", "быстрая лиса прыгает через ленивую собаку и убегает в лес"), ("uk", "швидка лисиця стрибає через лінивого собаку і тікає в ліс"), ("el", "η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"), ("ar", "الثعلب السريع يقفز فوق الكلب الكسول ويهرب إلى الغابة")]
+    rows = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit(rows, "text", "lang")
+    asked = spark.createDataFrame([(0, "лиса убегает"), (1, "лисиця тікає"), (2, "αλεπού"), (3, "الكلب")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.predict(asked, model).orderBy("doc_id").collect()] == ["ru", "uk", "el", "ar"]
+
+
 def test_language_vectors_are_bound_and_bundled():
     space = language_id.Space(64, 1)
-    vectors = language_id.gram_vectors(space)
     letters = np.random.default_rng(1).integers(0, 2, (language_id.ALPHABET, 64)) * 2 - 1
     a, b, c = 3, 0, 9
-    assert (vectors[(a * language_id.ALPHABET + b) * language_id.ALPHABET + c] == np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]).all()
+    vector = language_id.gram_vectors(np.array([(a * language_id.ALPHABET + b) * language_id.ALPHABET + c]), space)[0]
+    assert (vector == np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]).all()
+
+
+def twins():
+    """Two words that a polynomial modulo a power of two can't tell apart, whatever its odd base."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark, tokenizer):
+    """Such words stay apart in every operator that compares words."""
+    a, b = twins()
+    filler = [f"w{k}" for k in range(30)]
+    texts = [f"{a} {b}", " ".join([a] + filler), " ".join([b] + filler), " ".join([a, *"pqrstuv", b, *"pqrstuv"] + filler)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for doc, n, sha, _ in bpe.bpe_digests(docs, queries.word_vocabulary()).collect():
+        ids = tokenizer.encode(texts[doc], add_special_tokens=False).ids
+        assert (n, sha) == (len(ids), hashlib.sha256(le32(ids)).hexdigest())
+    for r in token_files.token_files(docs, queries.word_vocabulary()).collect():
+        assert r.ids_crc32 == zlib.crc32(le32(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]))
+    assert [r.n_repeat_words for r in quality_rules.quality_rules(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    from tessera.llm import jaccard_join, substring_dedup
+
+    twin = spark.createDataFrame([(0, f"one two {a} four five"), (1, f"one two {b} four five")], "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in jaccard_join.jaccard_components(twin).collect()} == {0, 1}
+    passages = [f"{x} " + " ".join(filler[:19]) for x in (a, b)]
+    assert [r.n_removed for r in substring_dedup.without_repeats(spark.createDataFrame(list(enumerate(passages)), "doc_id long, text string").coalesce(1)).collect()] == [0, 0]
+
+
+def test_distinct_spans_compares_bytes(monkeypatch):
+    """Should two words share a hash, they are told apart all the same."""
+    import pyarrow as pa
+
+    from tessera.llm import textblocks
+
+    block = next(textblocks.blocks(pa.array(["first-long-word other-long-word first-long-word x y"])))
+    monkeypatch.setattr(textblocks, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    first, place = textblocks.distinct_spans(block.data, block.starts[:3], block.ends[:3])
+    assert len(first) == 2 and place[0] == place[2] != place[1]
+
+
+def plain_feature(form):
+    """Dimensions and difference hash of one grey image, from a reader that goes bit by bit, pixel by pixel."""
+    image = next(jpeg.markers(form))
+    dc = [int(b[0]) for b in reference_scan(form[image.data[0] : image.data[1]], image)]
+    width = image.width // 8
+    pixels = [min(255, max(0, round(v * image.quant[0][0] / 8) + 128)) for v in dc]
+    grid = [pixels[k : k + width] for k in range(0, len(pixels), width)]
+    bits = ""
+    for r in range(8):
+        a, b = r * len(grid) // 8, max(r * len(grid) // 8 + 1, (r + 1) * len(grid) // 8)
+        means = []
+        for c in range(9):
+            x, y = c * width // 9, max(c * width // 9 + 1, (c + 1) * width // 9)
+            cell = [v for line in grid[a:b] for v in line[x:y]]
+            means.append(sum(cell) / len(cell))
+        bits += "".join(str(int(q > p)) for p, q in zip(means, means[1:]))
+    return f"{image.width}x{image.height}:{int(bits, 2):016x}"
+
+
+def test_media_features_equal_plain_thumbnails(edge):
+    few = edge.where("doc_id IN (13, 33, 63, 103, 163)")
+    forms = {r.doc_id: r.media for r in media.stored_media(few).collect()}
+    for r in media.media_features(media.stored_media(few)).collect():
+        assert len(list(jpeg.markers(forms[r.doc_id]))) == 1 and r.feature == plain_feature(forms[r.doc_id]), r.doc_id
