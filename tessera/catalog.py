@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import tables  # noqa: F401 (registers its queries)
 from .plans.queries import ORACLE_SQL, QUERIES, ana_daily
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship", "ship", "shipped"]

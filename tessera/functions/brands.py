@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import alnum, present
 
-#: Endings of configuration keys, display names that differ from the rule, words of a street line.
+#: Endings of configuration keys, display names that differ from the rule.
 KEY_SUFFIX = "(?i)(_stores|_retailers|_dealers|_watches)$"
 OVERRIDES = {
     "ALANGE SOEHNE": "A. LANGE & SÖHNE",
@@ -24,7 +26,13 @@ OVERRIDES = {
     "UBOAT": "U-BOAT",
     "GRAHAM OF LONDON": "GRAHAM",
 }
-STREET_LINE = r"^\d{1,5}\s+.*\b(RUE|RUA|VIA|VIALE|CORSO|PIAZZA|C/|STREET|ST\.|AVENUE|ROAD|BLVD|BOULEVARD|LANE|DRIVE|WAY|COURT|CARRER)"
+#: Words that make a name after a house number a street line.
+STREET_WORDS = ("RUE", "RUA", "VIA", "VIALE", "CORSO", "PIAZZA", "C/", "STREET", "ST.", "AVENUE", "ROAD", "BLVD", "BOULEVARD", "LANE", "DRIVE", "WAY", "COURT", "CARRER")
+
+
+def street_line(words: tuple[str, ...] = STREET_WORDS) -> str:
+    """Up to five digits, white space, and further on one of the words, whole."""
+    return r"^\d{1,5}\s.*\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
 def display_name(token: Column) -> Column:
@@ -34,7 +42,7 @@ def display_name(token: Column) -> Column:
     shown = name
     for key, value in OVERRIDES.items():
         shown = F.when(name == key, F.lit(value)).otherwise(shown)
-    return F.when(~name.rlike("[A-Z0-9]") | name.rlike(STREET_LINE), F.lit("")).otherwise(shown)
+    return F.when(~name.rlike("[A-Z0-9]") | name.rlike(street_line()), F.lit("")).otherwise(shown)
 
 
 def tokens(text: Column) -> Column:

@@ -61,6 +61,12 @@ def normalized_url(url: Column, base: str | None = None) -> Column:
     return F.when(~blank(url) & host.rlike(r"^[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:\d+)?$"), t)
 
 
+def resolved_partial(url: Column, base: Column) -> Column:
+    """The page of a store from a relative ``store/storedetails/<id>`` and the brand's base; other URLs stay as they are."""
+    store = F.regexp_extract(url, r"(?i)(?:^|/)store[/\\]storedetails[/\\]([^\s/]+)", 1)
+    return F.when((store != "") & ~blank(base), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/store/storedetails/"), store)).otherwise(url)
+
+
 def is_image(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^?#]*", 0)).rlike(r"\.(jpe?g|png|gif|webp|svg|bmp)$"), F.lit(False))
 

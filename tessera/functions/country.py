@@ -85,7 +85,9 @@ CA_PROVINCES = tuple("AB BC MB NB NL NS ON PE QC SK YT NU".split())
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    """The table as one constant (not a node of the plan for each of its entries)."""
+    text = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02")), key)
 
 
 def normalized_country(text: Column, aliases: dict[str, str] = ALIASES, codes: dict[str, str] = CODES, iso: dict[str, str] = ISO) -> Column:
@@ -96,6 +98,11 @@ def normalized_country(text: Column, aliases: dict[str, str] = ALIASES, codes: d
     return F.coalesce(_lookup(aliases, F.lower(name)), by_code, by_name, name)
 
 
+def country_key(text: Column) -> Column:
+    """The usual name in lower case; rows without a country agree with one another, not with others."""
+    return F.coalesce(F.lower(normalized_country(text)), F.lit(""))
+
+
 def recognized(text: Column) -> Column:
     names = {n.lower() for n in (*CODES.values(), *ISO.values(), *ALIASES.values(), *OTHER_NAMES)}
     return F.coalesce(F.lower(normalized_country(text)).isin(*sorted(names)), F.lit(False))
@@ -116,20 +123,73 @@ def inferred_country(country: Column, address: Column, city: Column, state: Colu
 POSTAL = (r"\d{5}-\d{4}", r"[A-Z]\d[A-Z]\s?\d[A-Z]\d", r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}", r"\d{4}\s?[A-Z]{2}", r"\d{3}-\d{4}", r"\d{2}-\d{3}", r"\d{4,6}")
 
 
-def split_postal(text: Column) -> Column:
-    """Struct (postal, rest): a code at the beginning, else at the end."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    out = F.struct(F.lit(None).cast("string").alias("postal"), t.alias("rest"))
+def postal_before(text: Column) -> Column:
+    """Struct (postal, rest) of a text that begins with a code; null otherwise."""
+    return _postal(text, r"^({0})(?:[\s,]+|$)(.*)$", 1, 2)
+
+
+def postal_after(text: Column) -> Column:
+    """Struct (postal, rest) of a text that ends with a code; null otherwise."""
+    return _postal(text, r"^(.*?)[\s,]+({0})$", 2, 1)
+
+
+def _postal(text: Column, form: str, code: int, rest: int) -> Column:
+    t, out = F.trim(F.coalesce(text, F.lit(""))), F.lit(None)
     for pattern in reversed(POSTAL):
-        head, tail = rf"^({pattern})(?:[\s,]+|$)(.*)$", rf"^(.*?)[\s,]+({pattern})$"
-        out = (
-            F.when(t.rlike(head), F.struct(F.regexp_extract(t, head, 1).alias("postal"), F.regexp_extract(t, head, 2).alias("rest")))
-            .when(t.rlike(tail), F.struct(F.regexp_extract(t, tail, 2).alias("postal"), F.regexp_extract(t, tail, 1).alias("rest")))
-            .otherwise(out)
-        )
+        whole = form.replace("{0}", pattern)
+        out = F.when(t.rlike(whole), F.struct(F.regexp_extract(t, whole, code).alias("postal"), F.regexp_extract(t, whole, rest).alias("rest"))).otherwise(out)
     return out
 
 
+def split_postal(text: Column) -> Column:
+    """Struct (postal, rest): a code at the beginning, else at the end; of several kinds the first in order."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.coalesce(postal_before(t), postal_after(t), F.struct(F.lit(None).cast("string").alias("postal"), t.alias("rest")))
+
+
+#: Parts of the world that may follow a country.
+CONTINENTS = ("Asia", "Europe", "Americas", "Africa", "Oceania", r"Middle\s+East", "APAC")
+
+
+def last_paragraph(text: Column) -> Column:
+    """Struct (city, state, postal, country) of an address's last paragraph.
+
+    ``left - country`` comes first (left: a region and its code, a code and a town, or a town), then a code and what
+    follows (a town, a country, or both with a comma), then ``town, country`` or a country alone.
+    """
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i),?\s*(?:" + "|".join(CONTINENTS) + r")\s*$", ""))
+    dash, region, none = r"^(.+?)\s*[–-]\s*(.+)$", r"^([A-Z]{1,3})\s+(\d{3,6})$", F.lit(None).cast("string")
+    part = lambda city=none, state=none, postal=none, country=none: F.struct(city.alias("city"), state.alias("state"), postal.alias("postal"), normalized_country(country).alias("country"))
+    left, land = F.trim(F.regexp_extract(t, dash, 1)), F.regexp_extract(t, dash, 2)
+    coded, head = postal_before(left), postal_before(t)
+    rest = head["rest"]
+    last, others = F.trim(F.regexp_extract(rest, "^(.*),([^,]*)$", 2)), F.trim(F.regexp_extract(rest, "^(.*),([^,]*)$", 1))
+    return (
+        F.when(t.rlike(dash) & left.rlike(region), part(state=F.regexp_extract(left, region, 1), postal=F.regexp_extract(left, region, 2), country=land))
+        .when(t.rlike(dash) & coded.isNotNull(), part(coded["rest"], postal=coded["postal"], country=land))
+        .when(t.rlike(dash), part(left, country=land))
+        .when(head.isNotNull() & F.contains(rest, F.lit(",")), part(others, postal=head["postal"], country=last))
+        .when(head.isNotNull() & recognized(rest), part(postal=head["postal"], country=rest))
+        .when(head.isNotNull(), part(rest, postal=head["postal"]))
+        .when(F.contains(t, F.lit(",")), part(F.trim(F.regexp_extract(t, "^(.*),([^,]*)$", 1)), country=F.trim(F.regexp_extract(t, "^(.*),([^,]*)$", 2))))
+        .otherwise(part(country=t))
+    )
+
+
+def paragraph_address(paragraphs: Column) -> Column:
+    """Struct (city, state, postal, country) of an address in paragraphs: the last one, and the one before for a town
+    and code that it lacks (a code at its end, at its beginning, or after its last comma)."""
+    last = last_paragraph(F.element_at(paragraphs, -1))
+    before = F.when(F.size(paragraphs) > 1, F.element_at(paragraphs, -2))
+    piece = F.trim(F.regexp_extract(before, "^(.*),([^,]*)$", 2))
+    tail, head, inner = postal_after(before), postal_before(before), postal_before(piece)
+    filled = lambda found: (found["rest"] != "") & found["postal"].isNotNull()
+    needs_city = last["city"].isNull() | (last["city"] == "")
+    city = F.when(filled(tail), tail["rest"]).when(filled(head), head["rest"]).when(filled(inner), inner["rest"]).when(F.contains(before, F.lit(",")), piece)
+    postal = F.when(filled(tail), tail["postal"]).when(needs_city & filled(head), head["postal"]).when(needs_city & filled(inner), inner["postal"])
+    return F.struct(F.when(needs_city, city).otherwise(last["city"]).alias("city"), last["state"].alias("state"), F.coalesce(last["postal"], postal).alias("postal"), last["country"].alias("country"))
+
+
 def town_line(text: Column) -> Column:
     """Struct (city, state, postal) of lines such as ``Austin, TX 78701``, ``Toronto, ON M5V 2T6`` and ``1012 AB Amsterdam``."""
     us, ca, nl = r"^(.+?),?\s+([A-Z]{2})\s+(\d{5}(?:-\d{4})?)$", r"^(.+?),?\s+([A-Z]{2})\s+([A-Z]\d[A-Z]\s?\d[A-Z]\d)$", r"^(\d{4}\s?[A-Z]{2})\s+(.+)$"

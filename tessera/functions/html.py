@@ -6,6 +6,7 @@ import html
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import Any
 
@@ -73,7 +74,9 @@ class _Cards(HTMLParser):
         self.cards: list[Record] = []
         self.pins: list[Record] = []
         self.attributes: list[str] = []
-        self.blocks: list[str] = []
+        self.blocks: list[Record] = []
+        self._label: str | None = None
+        self._said = ""
         self._open: str | None = None
         self._text: list[str] = []
 
@@ -81,8 +84,13 @@ class _Cards(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if "data-locations" in a:
             self.attributes.append(a["data-locations"])
-        if "data-latlng" in a:
-            self.blocks.append(a["data-latlng"])
+        classes = a.get("class", "").split()
+        if "data-latlng" in a and "sm-block" in classes:
+            self.blocks.append({"point": a["data-latlng"], "id": a.get("id", "")})
+        if self.blocks and tag == "label":
+            self._label, self._said = "", ""
+        if tag == "a" and self._label is not None and a.get("href", "").startswith("mailto:"):
+            self.blocks[-1].setdefault("email", a["href"][7:])
         if "data-lat" in a and ("data-lng" in a or "data-lon" in a):
             self.pins.append({"name": a.get("data-name") or a.get("title"), "lat": a["data-lat"], "lon": a.get("data-lng") or a.get("data-lon"), "address": a.get("data-address")})
         link = re.search(r"[@?&=](-?\d{1,2}\.\d+),(-?\d{1,3}\.\d+)", a.get("href", "")) if tag == "a" else None
@@ -94,11 +102,20 @@ class _Cards(HTMLParser):
             self._open, self._text = tag, []
 
     def handle_data(self, data: str) -> None:
+        if self._label is not None:
+            self._said += data
         if self._open:
             self._text.append(data)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "label" and self._label is not None:
+            kind, _, rest = self._said.strip().partition(" ")
+            if kind.lower().rstrip(".:") == "tel":
+                self.blocks[-1].setdefault("phone", rest.strip())
+            self._label = None
         if tag == self._open:
+            if self.blocks and self._text:
+                self.blocks[-1].setdefault("address" if tag == "p" else "name", re.sub(r"\s+", " ", "".join(self._text)).strip())
             text = re.sub(r"\s+", " ", "".join(self._text)).strip()
             if tag != "p" and text:
                 self.cards.append({"name": text, "lines": []})
@@ -107,12 +124,24 @@ class _Cards(HTMLParser):
             self._open = None
 
 
+@lru_cache(maxsize=1)
 def _parsed(page: str) -> _Cards:
+    """A page is parsed once for all extractors."""
     p = _Cards()
     p.feed(page)
     return p
 
 
+def block_pins(page: str) -> list[Record]:
+    """Blocks of class ``sm-block`` with a ``data-latlng``: heading, first paragraph and labelled telephone within."""
+    out = []
+    for b in _parsed(page).blocks:
+        m = re.fullmatch(r"\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*", b["point"])
+        if m and b.get("name"):
+            out.append({**dict.fromkeys(FIELDS), "name": b["name"], "address": b.get("address"), "phone": b.get("phone"), "lat": m[1], "lon": m[2]})
+    return out
+
+
 def json_attributes(page: str) -> list[Record]:
     """Pins in a ``data-locations`` attribute; of equal handles the last counts."""
     found = [x for text in _parsed(page).attributes for xs in place_arrays(_loads(text)) for x in xs]
@@ -152,12 +181,12 @@ def cards(page: str) -> list[Record]:
     seen: dict[tuple, Record] = {}
     for c in _parsed(page).cards:
         if c["lines"] and (c.get("lat") or any(re.search(r"\d", line) for line in c["lines"])):
-            r = {**dict.fromkeys(FIELDS), "name": c["name"], "address": ", ".join(c["lines"][:3]), "lat": c.get("lat"), "lon": c.get("lon"), "phone": c.get("phone")}
+            r = {**dict.fromkeys(FIELDS), "name": c["name"], "address": ", ".join(c["lines"]), "lat": c.get("lat"), "lon": c.get("lon"), "phone": c.get("phone")}
             seen.setdefault((r["name"], r["address"]), r)
     return list(seen.values()) if len(seen) > 1 else []
 
 
-EXTRACTORS: dict[str, Callable[[str], list[Record]]] = {"json_attributes": json_attributes, "inline_pairs": inline_pairs, "json_scripts": json_scripts, "coordinate_elements": coordinate_elements, "cards": cards}
+EXTRACTORS: dict[str, Callable[[str], list[Record]]] = {"json_attributes": json_attributes, "block_pins": block_pins, "inline_pairs": inline_pairs, "json_scripts": json_scripts, "coordinate_elements": coordinate_elements, "cards": cards}
 
 
 def completeness(rows: list[Record]) -> float:

@@ -24,6 +24,21 @@ def value(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, json_path(path))
 
 
+def of_key(doc: Column, key: Column) -> Column:
+    """The value of an object's key that is itself a column."""
+    return F.call_function("get_json_object", doc, F.concat(F.lit("$['"), key, F.lit("']")))
+
+
+def caseless(doc: Column, path: str) -> Column:
+    """A dotted path in which case doesn't count; a key as it is written comes before others."""
+    out = doc
+    for part in path.split("."):
+        keys = F.json_object_keys(out)
+        same = F.filter(keys, lambda k: F.lower(k) == part.lower())
+        out = of_key(out, F.when(F.array_contains(keys, part), F.lit(part)).otherwise(F.get(same, 0)))
+    return out
+
+
 def property_or(doc: Column, path: str, default: str) -> Column:
     """A property; missing, empty and ``0`` give the default."""
     v = value(doc, path)

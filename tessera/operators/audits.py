@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.country import normalized_country, recognized
+from .joins import first_of
+
 
+def repeated(df: DataFrame, keys: dict[str, Column], where: Column | None = None, limit: int | None = 40, samples: Column | None = None, shown: int = 80) -> DataFrame:
+    """Groups of more than one row, largest first: keys, number, the first ``shown`` handles in order (and samples).
 
-def repeated(df: DataFrame, keys: dict[str, Column], where: Column | None = None, limit: int | None = 40, samples: Column | None = None) -> DataFrame:
-    """Groups of more than one row: keys, number, handles in order (and distinct samples), largest first."""
+    Numbers come first, by partial aggregates; handles (and the first ``shown`` distinct samples) are listed only for the
+    groups in the report. :func:`memberships` gives all rows of all groups, one for each.
+    """
     rows = df.select("handle", *[c.alias(n) for n, c in keys.items()], *([samples.alias("_s")] if samples is not None else []))
-    aggs = [F.count(F.lit(1)).cast("long").alias("n"), F.array_join(F.sort_array(F.collect_list("handle")), ",").alias("handles")]
+    rows = rows.where(where) if where is not None else rows
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n")).where("n > 1")
+    found = found.orderBy(F.desc("n"), *keys).limit(limit) if limit else found
+
+    def listed(column: str, sep: str, name: str) -> DataFrame:
+        each = rows.alias("l").join(found.alias("r"), _same(keys, "l", "r"), "left_semi")
+        first = each.select(*keys, column).distinct() if column == "_s" else each.select(*keys, column)
+        return first_of(first, list(keys), [column], shown).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(column)), sep).alias(name))
+
+    out = found.alias("l").join(listed("handle", ",", "handles").alias("r"), _same(keys, "l", "r")).select("l.*", "r.handles")
     if samples is not None:
-        aggs.append(F.array_join(F.sort_array(F.collect_set("_s")), " | ").alias("samples"))
-    out = (rows.where(where) if where is not None else rows).groupBy(*keys).agg(*aggs).where("n > 1")
-    return out.orderBy(F.desc("n"), *keys).limit(limit) if limit else out
+        out = out.alias("l").join(listed("_s", " | ", "samples").alias("r"), _same(keys, "l", "r")).select("l.*", "r.samples")
+    return out.orderBy(F.desc("n"), *keys) if limit else out
+
+
+def _same(keys: dict[str, Column], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def memberships(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """(keys, n, first, handle): every row of every group of more than one row, with the group's number and least handle."""
+    rows = df.select("handle", *[c.alias(n) for n, c in keys.items()])
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n"), F.min("handle").alias("first")).where("n > 1")
+    return rows.alias("l").join(found.alias("r"), _same(keys, "l", "r")).select(*[F.col(f"l.{k}") for k in keys], "r.n", "r.first", "l.handle")
 
 
 def country_audit(df: DataFrame) -> DataFrame:
@@ -44,8 +70,10 @@ def quality_counts(df: DataFrame) -> DataFrame:
 
 def grouped_issues(issues: DataFrame, keep: int = 20) -> DataFrame:
     """Issues by type: number, the first ``keep`` in order of row, and how many more there are."""
-    g = issues.groupBy("issue").agg(F.count(F.lit(1)).cast("long").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("row", "field"))), 1, keep).alias("first"))
-    return g.select("issue", "n", F.array_join(F.transform("first", lambda x: F.concat_ws(":", x["row"].cast("string"), x["field"])), ",").alias("examples"), F.greatest(F.lit(0).cast("long"), F.col("n") - keep).alias("more"))
+    totals = issues.groupBy("issue").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    shown = first_of(issues, ["issue"], ["row", "field"], keep).groupBy("issue").agg(F.sort_array(F.collect_list(F.struct("row", "field"))).alias("first"))
+    out = totals.join(shown, "issue")
+    return out.select("issue", "n", F.array_join(F.transform("first", lambda x: F.concat_ws(":", x["row"].cast("string"), x["field"])), ",").alias("examples"), F.greatest(F.lit(0).cast("long"), F.col("n") - keep).alias("more"))
 
 
 def value_changes(before: Column, after: Column, df: DataFrame, top: int = 20) -> DataFrame:

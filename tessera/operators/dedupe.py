@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import brands as B
 from ..functions import geo
 from ..functions import text as X
-from ..functions.country import normalized_country
+from ..functions.country import country_key, normalized_country
+from ..plans.work import written
 from .components import components
-from .joins import block_pairs, block_stars, meters_between, near_pairs
+from .joins import block_stars, meters_between, near_pairs
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -43,13 +44,20 @@ def record_key(lat: Column, lon: Column, country: Column, line1: Column, city: C
 
 
 def unique_handles(df: DataFrame, handle: str, order: Column) -> DataFrame:
-    """Handles that repeat get -1, -2, ... in order; a suffixed handle that another row has literally gets further suffixes."""
-    n = F.row_number().over(Window.partitionBy(handle).orderBy(order)) - 1
-    taken = df.select(F.col(handle).alias("_taken")).distinct()
-    tried = df.withColumn("_n", n).withColumn("_h", F.when(F.col("_n") > 0, F.concat(F.col(handle), F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(handle)))
-    clash = tried.join(taken, F.col("_h") == F.col("_taken"), "left")
-    fixed = F.when((F.col("_n") > 0) & F.col("_taken").isNotNull(), F.concat(F.col("_h"), F.lit("-x"))).otherwise(F.col("_h"))
-    return clash.withColumn(handle, fixed).drop("_n", "_h", "_taken")
+    """Handles made distinct: the first row of each keeps it, later ones get -1, -2, ... in order.
+
+    A number is passed over where another row has that handle as its own, so no handle is given twice. The n-th number
+    that is free is n and as many more as there are taken numbers t(1) < t(2) < ... with t(i) - i < n.
+    """
+    number = F.regexp_extract(handle, r"^.*-([1-9]\d{0,8})$", 1)
+    own = df.select(F.regexp_extract(handle, r"^(.*)-[1-9]\d{0,8}$", 1).alias("_stem"), number.try_cast("long").alias("_t")).where("_t IS NOT NULL").distinct()
+    before = own.select("_stem", (F.col("_t") - F.row_number().over(Window.partitionBy("_stem").orderBy("_t"))).alias("_at"))
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(handle).orderBy(order)) - 1)
+    later = ranked.where("_n > 0")
+    passed = later.select(F.col(handle).alias("_stem"), "_n").join(before, "_stem").where("_at < _n").groupBy("_stem", "_n").agg(F.count(F.lit(1)).alias("_more"))
+    placed = later.join(passed.withColumnsRenamed({"_stem": handle}), [handle, "_n"], "left")
+    given = F.concat(F.col(handle), F.lit("-"), (F.col("_n") + F.coalesce("_more", F.lit(0))).cast("string"))
+    return ranked.where("_n = 0").select(*df.columns).unionByName(placed.withColumn(handle, given).select(*df.columns))
 
 
 def rank_key() -> list[Column]:
@@ -64,7 +72,7 @@ def survivors(df: DataFrame, group: str) -> DataFrame:
 def with_keys(df: DataFrame) -> DataFrame:
     """Names, addresses, cities and countries as keys, computed once before rows are paired."""
     line = F.col("line1")
-    keys = {"k_country": F.lower(normalized_country(F.col("country"))), "k_city": X.alnum(F.col("city")), "k_addr": X.address_key(line), "k_line": X.alnum(line), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)}
+    keys = {"k_country": country_key(F.col("country")), "k_city": X.alnum(F.col("city")), "k_addr": X.address_key(line), "k_line": X.alnum(line), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)}
     return df.withColumns(keys)
 
 
@@ -96,11 +104,26 @@ def clusters(df: DataFrame) -> DataFrame:
     return df.select("handle").join(found.withColumnRenamed("node", "handle"), "handle", "left").select("handle", F.coalesce("component", "handle").alias("cluster"))
 
 
-def spread(df: DataFrame, group: str) -> DataFrame:
-    """(group, meters): the largest distance between usable members, by pairs within a group."""
+def wider_than(df: DataFrame, group: str, meters: float) -> DataFrame:
+    """Groups (column ``group``) with two usable members more than ``meters`` apart.
+
+    Two bounds come first, by partial aggregates: the distance of each member from one of them is at most the spread, and
+    twice the largest is at least the spread. Only groups between the bounds are looked at in detail: of members in the
+    same cell of a fine grid (a hundredth of the limit) pairs are no use, so each group has at most as many points as the
+    limit's circle has cells, and these are compared.
+    """
     usable = df.where(~geo.unusable(F.col("lat"), F.col("lon"))).select(group, "handle", "lat", "lon")
-    pairs = usable.alias("a").join(usable.alias("b"), [F.col(f"a.{group}") == F.col(f"b.{group}"), F.col("a.handle") < F.col("b.handle")])
-    return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.max(meters_between()).alias("meters"))
+    one = usable.groupBy(group).agg(F.min(F.struct("handle", "lat", "lon")).alias("_o"))
+    away = geo.haversine(F.col("lat"), F.col("lon"), F.col("_o.lat"), F.col("_o.lon"))
+    reach = usable.join(one, group).groupBy(group).agg(F.max(away).alias("_far"))
+    doubtful = usable.join(reach.where((F.col("_far") <= meters) & (2 * F.col("_far") > meters)).select(group), group)
+    row, col = geo.cells(F.col("lat"), F.col("lon"), meters / 100)
+    corner = lambda f, c: f(F.struct(F.col(c).alias("_by"), "handle", "lat", "lon"))
+    cells = doubtful.groupBy(group, row.alias("_row"), col.alias("_col")).agg(*[corner(f, c).alias(n) for n, f, c in (("_s", F.min, "lat"), ("_n", F.max, "lat"), ("_w", F.min, "lon"), ("_e", F.max, "lon"))])
+    points = cells.select(group, F.explode(F.array_distinct(F.array(*[F.struct(f"{c}.handle", f"{c}.lat", f"{c}.lon") for c in ("_s", "_n", "_w", "_e")]))).alias("_p")).select(group, "_p.*")
+    pairs = points.alias("a").join(points.alias("b"), [F.col(f"a.{group}") == F.col(f"b.{group}"), F.col("a.handle") < F.col("b.handle")])
+    found = pairs.where(meters_between() > meters).select(F.col(f"a.{group}").alias(group)).distinct()
+    return reach.where(F.col("_far") > meters).select(group).unionByName(found)
 
 
 def merge_plans(df: DataFrame, max_spread: float = 500.0) -> DataFrame:
@@ -110,20 +133,48 @@ def merge_plans(df: DataFrame, max_spread: float = 500.0) -> DataFrame:
     150 m, different keys, similar names, a street number in common, as components. Groups wider than ``max_spread``
     are left alone.
     """
-    keyed = df.withColumn("k_addr", X.address_key(F.col("line1"))).withColumn("plan", F.concat_ws("|", "k_addr", F.lower(F.trim("city")), F.lower(normalized_country(F.col("country")))))
+    keyed = df.withColumn("k_addr", X.address_key(F.col("line1"))).withColumn("plan", F.concat_ws("|", "k_addr", F.coalesce(F.lower(F.trim("city")), F.lit("")), country_key(F.col("country"))))
     sized = keyed.where(F.length("k_addr") >= 6)
     large = sized.groupBy("plan").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("plan")
     first = sized.join(large, "plan", "left_semi")
-    wide = spread(first, "plan").where(F.col("meters") > max_spread).select("plan")
-    one = first.join(wide, "plan", "left_anti").select("handle", "plan", F.lit(1).alias("pass"))
+    wide = wider_than(first, "plan", max_spread)
+    one = written(first.join(wide, "plan", "left_anti").select("handle", "plan", F.lit(1).alias("pass")), "plans")
     rest = keyed.join(one.select("handle"), "handle", "left_anti").drop("plan")
     a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
     test = (a("k_addr") != b("k_addr")) & X.names_similar(a("name"), b("name")) & X.share_number(a("line1"), b("line1"))
-    found = components(near_pairs(rest, 150, test).select("u", "v"))
-    second = rest.join(found.select(F.col("node").alias("handle"), F.concat(F.lit("near|"), "component").alias("plan")), "handle")
-    wide2 = spread(second, "plan").where(F.col("meters") > max_spread).select("plan")
+    found = components(near_pairs(rest.withColumn("k_country", country_key(F.col("country"))), 150, test, ("k_country",)).select("u", "v"))
+    second = rest.select("handle", "lat", "lon").join(found.select(F.col("node").alias("handle"), F.concat(F.lit("near|"), "component").alias("plan")), "handle")
+    wide2 = wider_than(second, "plan", max_spread)
     two = second.join(wide2, "plan", "left_anti").select("handle", "plan", F.lit(2).alias("pass"))
-    return one.unionByName(two)
+    return one.unionByName(written(two, "plans"))
+
+
+def expanded(df: DataFrame, seeds: DataFrame, radius: float = 500.0) -> DataFrame:
+    """(handle): every row that may share a merge group with a seed (handle).
+
+    Rows in the seeds' city and country within ``radius`` of one (by bounding box), and rows of the same address key, city
+    and country as any of these. Equal keys are transitive and distances count from seeds alone, so one step of each
+    reaches the fixpoint.
+    """
+    line, city = X.address_key(F.col("line1")), F.lower(F.trim("city"))
+    keyed = df.select("handle", "lat", "lon", city.alias("city"), country_key(F.col("country")).alias("land"), line.alias("k_addr"))
+    asked = keyed.join(seeds.select("handle").distinct(), "handle")
+    own = keyed.where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumn("_cell", F.struct(*[c.cast("long").alias(n) for n, c in zip(("row", "col"), geo.cells(F.col("lat"), F.col("lon"), radius * 1.5))]))
+    around = asked.where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), radius * 1.5)))
+    a, b = around.alias("a"), own.alias("b")
+    south, north, west, east = geo.bounding_box(F.col("a.lat"), F.col("a.lon"), radius)
+    boxed = F.col("b.lat").between(south, north) & F.col("b.lon").between(west, east)
+    near = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_cell", "city", "land")]).where(boxed).select("b.handle", "b.city", "b.land", "b.k_addr")
+    found = asked.select("handle", "city", "land", "k_addr").unionByName(near).distinct()
+    keys = ["k_addr", "city", "land"]
+    peers = keyed.join(found.where(F.length("k_addr") >= 6).select(*keys).distinct(), keys, "left_semi")
+    return found.select("handle").unionByName(peers.select("handle")).distinct()
+
+
+def scoped_merge_plans(df: DataFrame, seeds: DataFrame, most: int = 50_000) -> DataFrame:
+    """Merge plans among the rows that may share a group with a seed; among all rows if these are more than ``most``."""
+    scope = written(expanded(df, seeds), "scope")
+    return merge_plans(df if scope.count() > most else df.join(scope, "handle", "left_semi"))
 
 
 def merged(df: DataFrame, plans: DataFrame) -> DataFrame:
@@ -151,12 +202,15 @@ def plan_summary(plans: DataFrame, total: int) -> DataFrame:
 
 
 def candidate_report(df: DataFrame) -> DataFrame:
-    """Pairs that might be one place, with what speaks for it; the first signal of a pair counts."""
-    keyed = df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": F.lower(F.trim("country")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
-    same_place = block_pairs(keyed, ["lat5", "lon5"], F.lit(True)).withColumn("signal", F.lit("2 coordinates"))
-    same_address = block_pairs(keyed.where(F.length("k_addr") >= 6), ["k_addr", "k_city", "k_country"], F.lit(True)).withColumn("signal", F.lit("3 address"))
-    planned = merge_plans(df)
-    in_plan = planned.alias("a").join(planned.alias("b"), [F.col("a.plan") == F.col("b.plan"), F.col("a.handle") < F.col("b.handle")]).select(F.col("a.handle").alias("u"), F.col("b.handle").alias("v"), F.lit("1 plan").alias("signal"))
+    """Pairs that might be one place, with what speaks for it; the first signal of a pair counts.
+
+    Of rows that share a plan, a point or an address each stands beside the least handle of them, not beside all others:
+    a report of n - 1 pairs for n rows.
+    """
+    keyed = df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": country_key(F.col("country")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
+    same_place = block_stars(keyed, ["lat5", "lon5"]).withColumn("signal", F.lit("2 coordinates"))
+    same_address = block_stars(keyed.where(F.length("k_addr") >= 6), ["k_addr", "k_city", "k_country"]).withColumn("signal", F.lit("3 address"))
+    in_plan = block_stars(merge_plans(df), ["plan"]).withColumn("signal", F.lit("1 plan"))
     pairs = in_plan.unionByName(same_place).unionByName(same_address).groupBy("u", "v").agg(F.min("signal").alias("signal"))
     a, b = keyed.alias("a"), keyed.alias("b")
     joined = pairs.join(a, F.col("u") == F.col("a.handle")).join(b, F.col("v") == F.col("b.handle"))

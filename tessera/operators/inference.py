@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions.contact import email_like, phone_like
 from ..functions.records import flattened
 
@@ -47,6 +48,62 @@ def paths(rows: DataFrame, column: str = "record") -> DataFrame:
     return g.join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.greatest(F.lit(1), F.col("total")), 3)).drop("total")
 
 
+#: Keys under which an answer keeps its records; keys of opening hours.
+DATA_KEYS = ("data", "results", "items", "stores", "locations", "retailers", "dealers", "shops", "establishments", "places", "markers")
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+HOUR_LISTS = ("hours", "hoursDetails", "hoursTranslatedDetails", "openingHours", "businessHours")
+HOUR_TEXTS = ("hours", "opening_hours", "business_hours", "hours_of_operation")
+
+
+def name_similarity(field: Column, key: Column) -> Column:
+    """1 for equal letters and digits, 0.9 where all words of one are words of the other, else the share of common words,
+    else 0.7 where one holds the other."""
+    a, b = F.regexp_replace(F.lower(field), "[ /-]", ""), F.regexp_replace(F.lower(key), "[_.-]", "")
+    x, y = (F.array_distinct(F.regexp_extract_all(t, F.lit("([a-z]+)"), 1)) for t in (a, b))
+    both = F.size(F.array_intersect(x, y))
+    return (
+        F.when(a == b, 1.0)
+        .when((both == F.size(x)) | (both == F.size(y)), 0.9)
+        .when(both > 0, both / F.size(F.array_union(x, y)))
+        .when(F.contains(a, b) | F.contains(b, a), 0.7)
+        .otherwise(0.0)
+    )
+
+
+def _is_list(value: Column) -> Column:
+    return F.coalesce(F.ltrim(value).startswith("["), F.lit(False))
+
+
+def structure(doc: Column) -> Column:
+    """flat_array, geojson, nested_array (a list under a usual key, here or one level down) or unknown."""
+    one = lambda at: F.exists(F.array(*[_is_list(records.of_key(at, F.lit(k))) for k in DATA_KEYS]), lambda x: x)
+    deeper = F.exists(F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>")), lambda k: one(records.of_key(doc, k)))
+    known = F.try_parse_json(doc).isNotNull()
+    geo = (records.value(doc, "type") == "FeatureCollection") & records.value(doc, "features").isNotNull()
+    return F.when(known & _is_list(doc), "flat_array").when(geo, "geojson").when(known & (one(doc) | deeper), "nested_array").otherwise("unknown")
+
+
+def _sample(doc: Column) -> Column:
+    return F.when(_is_list(doc), F.get_json_object(doc, "$[0]")).otherwise(doc)
+
+
+def coordinate_format(doc: Column) -> Column:
+    """How a record, or the first of a list, holds its coordinates."""
+    keys = F.coalesce(F.json_object_keys(_sample(doc)), F.array().cast("array<string>"))
+    has = lambda *names: F.size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names)
+    nested = F.coalesce(F.ltrim(F.get_json_object(_sample(doc), "$.location")).startswith("{"), F.lit(False))
+    return F.when(has("lat", "lng"), "lat_lng").when(has("latitude", "longitude"), "latitude_longitude").when(has("geoLat", "geoLng"), "geo_lat_lng").when(has("coordinates"), "coordinates_array").when(nested, "nested_location").otherwise("unknown")
+
+
+def hours_format(doc: Column) -> Column:
+    """day_keys (five days or more), hours_array, hours_string or unknown."""
+    keys = F.transform(F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>")), lambda k: F.lower(k))
+    days = F.size(F.array_intersect(keys, F.array(*map(F.lit, DAYS))))
+    listed = F.exists(F.array(*[_is_list(records.of_key(doc, F.lit(k))) for k in HOUR_LISTS]), lambda x: x)
+    text = F.exists(F.array(*[F.coalesce(~records.of_key(doc, F.lit(k)).rlike(r"^\s*[\[{]"), F.lit(False)) for k in HOUR_TEXTS]), lambda x: x)
+    return F.when(days >= 5, "day_keys").when(listed, "hours_array").when(text, "hours_string").otherwise("unknown")
+
+
 def _score(field: str) -> Column:
     leaf = F.lower(F.regexp_replace(F.element_at(F.split("path", "\\."), -1), "[^A-Za-z0-9]", ""))
     score = F.lit(0.0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as X
+from ..functions.country import country_key
 
 
 def with_registry(places: DataFrame, registry: DataFrame, key: str, flag: str) -> DataFrame:
@@ -66,6 +67,37 @@ def block_stars(df: DataFrame, by: list[str]) -> DataFrame:
     return keyed.join(least, by).where("u < handle").select("u", F.col("handle").alias("v"))
 
 
+def first_of(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each key in order. Each task keeps its own first ones before they meet, so that a key which
+    many rows have isn't gathered in one place."""
+    local = Window.partitionBy(*keys, "_part").orderBy(*order)
+    some = df.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).drop("_part")
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def similar_pairs(df: DataFrame, text: Column, by: list[str], least: float, top: int) -> DataFrame:
+    """(u, v, similarity): of rows that agree on ``by``, the ``top`` pairs most alike by trigrams, above ``least``.
+
+    Rows with the same trigrams are one class; classes are compared, on sorted hashes, and only the best ``top`` pairs of
+    classes (and of rows within one) are spelled out by their first handles. That gives the same pairs as all rows would:
+    a pair of classes beyond these has no pair of rows before any of theirs.
+    """
+    grams = df.select("handle", *by, F.array_sort(F.transform(X.trigrams(text), lambda t: F.xxhash64(t))).alias("t")).where(F.size("t") > 0).dropna(subset=by)
+    few = first_of(grams, [*by, "t"], ["handle"], top + 1)
+    classes = few.groupBy(*by, "t").agg(F.sort_array(F.collect_list("handle")).alias("h")).withColumn("n", F.size("t"))
+    a, b = classes.alias("a"), classes.alias("b")
+    both = F.size(F.array_intersect("a.t", "b.t"))
+    alike = both / (F.col("a.n") + F.col("b.n") - both)
+    fits = (F.least("a.n", "b.n") > least * F.greatest("a.n", "b.n")) & (alike > least)
+    pair = lambda x, y, s: F.struct(s.alias("s"), F.least(x[0], y[0]).alias("u"), F.greatest(x[0], y[0]).alias("v"), x.alias("x"), y.alias("y"))
+    across = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.h")[0] < F.col("b.h")[0]]).where(fits).select(pair(F.col("a.h"), F.col("b.h"), alike).alias("p"))
+    within = classes.where(F.size("h") > 1).select(F.struct(F.lit(1.0).alias("s"), F.col("h")[0].alias("u"), F.col("h")[1].alias("v"), F.col("h").alias("x"), F.col("h").alias("y")).alias("p"))
+    best = across.unionByName(within).select("p.*").orderBy(F.desc("s"), "u", "v").limit(top)
+    spelled = best.select("s", F.explode("x").alias("x"), "y").select("s", "x", F.explode("y").alias("y"))
+    rows = spelled.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.col("s").alias("similarity")).distinct()
+    return rows.orderBy(F.desc("similarity"), "u", "v").limit(top)
+
+
 def meters_between(a: str = "a", b: str = "b") -> Column:
     return geo.haversine(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
 
@@ -86,12 +118,12 @@ def probes(incoming: DataFrame, places: DataFrame) -> DataFrame:
 
     Tiers: 1 the same rounded coordinates and country (nearest within 25 m where several); 2 the same address key and
     city (300 m); 3 one address key extends the other, similar name and address (150 m); 4 the same name within 300 m,
-    5 a similar name within 150 m, 6 anything within 75 m. All tiers are equality joins; within a tier the nearest wins,
-    then the smaller handle.
+    5 a similar name within 150 m, 6 anything within 75 m. The first two are equality joins, the others one join by grid
+    cells; within a tier the nearest wins, then the smaller handle. Rows without a country agree with one another.
     """
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": F.lower(F.trim("country")), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
+        return df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": country_key(F.col("country")), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
 
     a, b = keyed(incoming).alias("a"), keyed(places).alias("b")
     col = lambda side, name: F.col(f"{side}.{name}")
@@ -105,15 +137,14 @@ def probes(incoming: DataFrame, places: DataFrame) -> DataFrame:
     nearest = rounded.groupBy("handle").agg(F.min(F.struct("meters", "match")).alias("m"), F.count(F.lit(1)).alias("several"))
     tier1 = nearest.where((F.col("several") == 1) | (F.col("m.meters") <= 25)).select("handle", "m.match", F.lit(1).alias("tier"), "m.meters")
     tier2 = found(a.join(b, same("k_addr", "k_city", "k_country")).where((F.length(col("a", "k_addr")) >= 6) & (meters <= 300)), 2)
-    extends = X.key_contains(col("a", "k_addr"), col("b", "k_addr")) & X.names_similar(col("a", "name"), col("b", "name"))
-    tier3 = found(a.join(b, same("k_city", "k_country")).where(extends & (meters <= 150)), 3)
     row, cell = geo.cells(F.col("lat"), F.col("lon"), 300)
     own = keyed(places).where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumns({"_row": row.cast("long"), "_col": cell}).alias("b")
     around = keyed(incoming).where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), 300))).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).alias("a")
     near = around.join(own, same("_row", "_col", "k_country")).where(meters <= 300)
-    kind = F.when(col("a", "k_name") == col("b", "k_name"), 4).when(X.names_similar(col("a", "name"), col("b", "name")) & (meters <= 150), 5).when(meters <= 75, 6)
+    extends = (col("a", "k_city") == col("b", "k_city")) & X.key_contains(col("a", "k_addr"), col("b", "k_addr")) & X.names_similar(col("a", "name"), col("b", "name"))
+    kind = F.when(extends & (meters <= 150), 3).when(col("a", "k_name") == col("b", "k_name"), 4).when(X.names_similar(col("a", "name"), col("b", "name")) & (meters <= 150), 5).when(meters <= 75, 6)
     tier4 = near.select(col("a", "handle").alias("handle"), col("b", "handle").alias("match"), kind.alias("tier"), meters.alias("meters")).where("tier IS NOT NULL")
-    every = tier1.unionByName(tier2).unionByName(tier3).unionByName(tier4)
+    every = tier1.unionByName(tier2).unionByName(tier4)
     best = every.groupBy("handle").agg(F.min(F.struct("tier", "meters", "match")).alias("m"))
     return best.select("handle", F.col("m.match").alias("match"), F.col("m.tier").alias("tier"), F.col("m.meters").alias("meters"))
 

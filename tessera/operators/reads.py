@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
@@ -54,6 +55,29 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return rows.join(F.broadcast(counts))
 
 
+def after(df: DataFrame, key: str | None, size: int = 100) -> DataFrame:
+    """The next rows by handle: a page that costs no more the deeper it lies (the key is pushed to the scan)."""
+    return (df.where(F.col("handle") > key) if key is not None else df).orderBy("handle").limit(size)
+
+
+def batches(df: DataFrame, size: int = 100) -> Iterator[DataFrame]:
+    """All rows in order of handle, a batch at a time; only the last handle of each comes to the driver."""
+    last = None
+    while True:
+        batch = after(df, last, size)
+        last = batch.agg(F.max("handle")).first()[0]
+        if last is None:
+            return
+        yield batch
+
+
+def export_filter(parameters: dict[str, str | list[str]], with_country: bool = True) -> dict[str, Any]:
+    """Arguments for :func:`where` out of request parameters: the first value of each; blank ones don't count."""
+    first = {k: (v[0] if isinstance(v, list) and v else "" if isinstance(v, list) else v) for k, v in parameters.items()}
+    out: dict[str, Any] = {k: first[k].strip() for k in ("brand", "country") if first.get(k, "").strip() and (k == "brand" or with_country)}
+    return out | ({"premium": True} if first.get("premium", "").lower() in ("1", "true", "yes") else {})
+
+
 def nearby(df: DataFrame, lat: float, lon: float, radius_miles: float) -> DataFrame:
     """Rows within the radius by rounded distance, nearest first; a bounding box comes before (pushed to the scan)."""
     south, north, west, east = geo.bounding_box(F.lit(lat), F.lit(lon), (radius_miles + 0.1) * 1609.344)

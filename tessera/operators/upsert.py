@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import brands as B
 from ..functions import geo
 from ..functions import text as X
+from ..functions.contact import e164
+from ..functions.country import normalized_country
 
 ADDRESS, INFO = ("line1", "line2", "city", "state", "country", "postal"), ("name", "website", "email")
 
@@ -38,7 +40,7 @@ def classified(existing: DataFrame, incoming: DataFrame, key: str = "handle") ->
 def upserted(existing: DataFrame, incoming: DataFrame, manual: bool = False) -> DataFrame:
     """The next snapshot: incoming values win, brands are united, the old phone stays (a manual row's phone wins).
 
-    The premium flag never comes from incoming rows. One full outer join on the handle; rows of ``incoming`` are
+    Rows that nobody sent stay as they are. The premium flag never comes from incoming rows. One full outer join on the handle; rows of ``incoming`` are
     expected to have distinct handles (see ``dedupe.clusters``).
     """
     o, n = existing.alias("o"), incoming.alias("n")
@@ -51,7 +53,7 @@ def upserted(existing: DataFrame, incoming: DataFrame, manual: bool = False) ->
         elif c == "handle":
             value = F.coalesce(old, new)
         elif c == "brands":
-            value = B.merged_lists(B.normalized_brands(old), B.normalized_brands(new))
+            value = F.when(F.col("n.handle").isNotNull(), B.merged_lists(B.normalized_brands(old), B.normalized_brands(new))).otherwise(old)
         elif c == "phone":
             value = F.when(F.col("o.handle").isNull() | (F.lit(manual) & ~X.blank(new)), new).otherwise(old)
         else:
@@ -76,6 +78,57 @@ def deleted(df: DataFrame, keys: DataFrame, key: str = "handle") -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+#: Half the side of the box in which a row is taken for the same place (about 50 m).
+COORDINATE_TOLERANCE = 0.00045
+
+
+def matched(updates: DataFrame, places: DataFrame) -> DataFrame:
+    """(handle, match): the place of each update, by its handle, else the nearest in a box of about 50 m around it.
+
+    Ties go by handle. The box is looked for by grid cells, so no update meets more than its neighbourhood.
+    """
+    own = updates.join(places.select("handle"), "handle", "left_semi").select("handle", F.col("handle").alias("match"))
+    rest = updates.join(places.select("handle"), "handle", "left_anti").where(~geo.unusable(F.col("lat"), F.col("lon")))
+    meters = 100.0
+    cell = F.struct(*[c.cast("long").alias(n) for n, c in zip(("row", "col"), geo.cells(F.col("lat"), F.col("lon"), meters))])
+    a = rest.select("handle", "lat", "lon", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), meters)).alias("cell")).alias("a")
+    b = places.where(~geo.unusable(F.col("lat"), F.col("lon"))).select("handle", "lat", "lon", cell.alias("cell")).alias("b")
+    wide = COORDINATE_TOLERANCE / F.cos(F.radians(F.col("a.lat")))
+    boxed = (F.abs(F.col("b.lat") - F.col("a.lat")) <= COORDINATE_TOLERANCE) & (F.abs(F.col("b.lon") - F.col("a.lon")) <= wide)
+    away = geo.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    near = a.join(b, F.col("a.cell") == F.col("b.cell")).where(boxed).groupBy("a.handle").agg(F.min(F.struct(away.alias("m"), "b.handle")).alias("best"))
+    return own.unionByName(near.select("handle", F.col("best.handle").alias("match")))
+
+
+def inserted(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
+    """The table with the rows whose handles it doesn't have; of rows with one handle the first in order."""
+    fresh = incoming.join(existing.select("handle"), "handle", "left_anti")
+    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("handle").orderBy(order))).where("_n = 1").drop("_n")
+    return existing.unionByName(first.select(*existing.columns))
+
+
+def from_canonical(rows: DataFrame) -> DataFrame:
+    """Places out of canonical rows: those with a handle, a name and coordinates, their fields parsed and normalised."""
+    cell = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string")
+    filled = lambda c: F.nullif(cell(c), F.lit(""))
+    country = normalized_country(F.coalesce(cell("Country"), F.lit("")))
+    out = rows.select(
+        F.trim(cell("Handle")).alias("handle"), F.trim(cell("Name")).alias("name"), F.coalesce(F.lower(cell("Status")).isin("active", "true", ""), F.lit(True)).alias("status"),
+        F.coalesce(cell("Address Line 1"), F.lit("")).alias("line1"), filled("Address Line 2").alias("line2"), filled("Postal/ZIP Code").alias("postal"), F.coalesce(cell("City"), F.lit("")).alias("city"),
+        X.state_unless_city(cell("State/Province/Region"), cell("City")).alias("state"), country.alias("country"), e164(cell("Phone"), country).alias("phone"), filled("Email").alias("email"), filled("Website").alias("website"),
+        geo.parse_number(cell("Latitude")).alias("lat"), geo.parse_number(cell("Longitude")).alias("lon"), geo.parse_integer(filled("Priority")).alias("priority"),
+        B.normalized_tags(F.coalesce(filled(" Tags"), filled("Tags"))).alias("tags"), B.normalized_brands(cell("Brands")).alias("brands"), filled("Custom Brands").alias("custom_brands"), F.lit(False).alias("is_premium"),
+    )
+    return out.where((F.coalesce("handle", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+
+
+def to_canonical(places: DataFrame) -> DataFrame:
+    """Canonical rows out of places, all as texts; missing values are empty."""
+    names = {"handle": "Handle", "name": "Name", "line1": "Address Line 1", "city": "City", "country": "Country", "phone": "Phone", "email": "Email", "website": "Website", "lat": "Latitude", "lon": "Longitude", "brands": "Brands"}
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in names.items() if c in places.columns]
+    return places.select(*text, F.when(F.col("status"), "active").otherwise("inactive").alias("Status"))
+
+
 def backfilled(df: DataFrame, column: str, value: Column) -> tuple[DataFrame, DataFrame]:
     """The table with ``value`` in place of the column, and the log of changes (handle, before, after)."""
     new = df.withColumn("_new", value)

@@ -76,6 +76,22 @@ def passes(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.count_if(bad).cast("long").alias("n_bad")).withColumn("valid", F.col("n_bad") == 0)
 
 
+def outcome(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """One row: rows, errors, warnings, status (valid or invalid), and whether the file is empty or large."""
+    found = issues(df, policy)
+    counted = lambda kind: F.coalesce(F.sum(F.size(F.filter(found, lambda i: i["severity"] == kind))), F.lit(0)).cast("long").alias(f"n_{kind}s")
+    one = df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), counted("error"), counted("warning"))
+    size = F.when(F.col("n_rows") == 0, "empty_file").when(F.col("n_rows") > policy.large_file, "large_file")
+    return one.withColumns({"status": F.when(F.col("n_errors") == 0, "valid").otherwise("invalid"), "file_warning": size})
+
+
+def log_rows(df: DataFrame, row: str, upload: str, policy: Policy = Policy()) -> DataFrame:
+    """A log row for each issue: errors with their row and field, warnings without (their row is in the message)."""
+    found, error = exploded(df, row, policy), F.col("severity") == "error"
+    message = F.concat_ws(": ", "field", "issue")
+    return found.select(F.lit(upload).alias("upload_id"), F.when(error, F.col("row")).alias("row_number"), F.col("severity").alias("log_type"), F.when(error, F.col("field")).alias("field_name"), F.col("issue").alias("issue_type"), message.alias("message"))
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """Every cell cleaned, countries canonical, URLs normalised where they can be."""
     out = {}

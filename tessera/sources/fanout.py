@@ -5,23 +5,24 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-Fetch = Callable[[str], str]
+Fetch = Callable[..., str]
 
 
 @dataclass(frozen=True)
 class Paging:
     """How a request goes on. ``url`` may hold {page} or {offset}; a page that is empty, short, equal to an earlier one or
-    says there is no more ends it, and so do ``max_pages`` pages (the last row then says so)."""
+    says there is no more ends it. ``max_pages`` is a limit only where one is wanted (the last row then says that it was cut)."""
 
     size: int = 0
     first: int = 1
-    max_pages: int = 1000
+    max_pages: int | None = None
     more_key: str | None = None
     total_key: str | None = None
     items_key: str | None = None
@@ -39,36 +40,42 @@ def _items(body: str, key: str | None) -> list[Any]:
     return data if isinstance(data, list) else []
 
 
-def pages(url: str, fetch: Fetch, paging: Paging) -> Iterator[tuple[int, str, bool]]:
+def pages(url: str, fetch: Fetch, paging: Paging, body: str | None = None) -> Iterator[tuple[int, str, bool]]:
     """(page, body, was it the last that may be asked for)."""
     seen: set[str] = set()
     got = 0
-    for n in range(paging.max_pages):
-        body = fetch(url.replace("{page}", str(paging.first + n)).replace("{offset}", str(n * paging.size)))
-        items = _items(body, paging.items_key)
+    for n in count() if paging.max_pages is None else range(paging.max_pages):
+        put = lambda text: text.replace("{page}", str(paging.first + n)).replace("{offset}", str(n * paging.size))
+        answer = fetch(put(url)) if body is None else fetch(put(url), put(body))
+        items = _items(answer, paging.items_key)
         mark = json.dumps(items, sort_keys=True)
         if not items or mark in seen:
             return
         seen.add(mark)
         got += len(items)
-        yield n, body, n == paging.max_pages - 1
-        state = json.loads(body)
+        yield n, answer, paging.max_pages is not None and n == paging.max_pages - 1
+        state = json.loads(answer)
         state = state if isinstance(state, dict) else {}
-        single = "{page}" not in url and "{offset}" not in url
+        single = not any(mark in url + (body or "") for mark in ("{page}", "{offset}"))
         if single or (paging.more_key and not state.get(paging.more_key)) or (paging.total_key and got >= int(state.get(paging.total_key) or 0)) or (paging.size and len(items) < paging.size):
             return
 
 
-def fetched(requests: DataFrame, fetch: Fetch, paging: Paging = Paging(), url_col: str = "url") -> DataFrame:
-    """(request's columns, page, body, cut): every page of every request; requests are spread over tasks."""
+def fetched(requests: DataFrame, fetch: Fetch, paging: Paging = Paging(), url_col: str = "url", body_col: str | None = None) -> DataFrame:
+    """(request's columns, page, body, cut): every page of every request; requests are spread over tasks.
+
+    With ``body_col`` requests are posted: ``fetch`` gets the URL and that column's text, in which {page} and {offset} are
+    put in too (other values, such as a country, are put in by the caller, as columns).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(url_col)
+            bodies = batch.column(batch.schema.get_field_index(body_col)).to_pylist() if body_col else [None] * batch.num_rows
             for k, url in enumerate(batch.column(at).to_pylist()):
-                for page, body, cut in pages(url, fetch, paging):
+                for page, body, cut in pages(url, fetch, paging, bodies[k]):
                     row = batch.slice(k, 1)
-                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([page], pa.int32()), pa.array([body]), pa.array([cut])], [*batch.schema.names, "page", "body", "cut"])
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([page], pa.int32()), pa.array([body]), pa.array([cut])], [*batch.schema.names, "page", "answer" if body_col == "body" else "body", "cut"])
 
-    schema = T.StructType(list(requests.schema.fields)).add("page", T.IntegerType()).add("body", T.StringType()).add("cut", T.BooleanType())
+    schema = T.StructType(list(requests.schema.fields)).add("page", T.IntegerType()).add("answer" if body_col == "body" else "body", T.StringType()).add("cut", T.BooleanType())
     return requests.mapInArrow(run, schema)

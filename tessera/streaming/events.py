@@ -19,8 +19,11 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n_events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_events")
+def daily_counts(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Events by day. With ``late``, days that are older than the latest event by more are closed, and events for them lost;
+    without it none is, and the state is a row for each day."""
+    events = events.withWatermark("ts", late) if late else events
+    return events.groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n_events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_events")
 
 
 def store_counts(events: DataFrame) -> DataFrame:
@@ -49,12 +52,17 @@ def latest(spark: SparkSession, out: DataFrame, key: str, folder: str, mode: str
     return found.groupBy(key).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(key, "v.*")
 
 
-def upsert_stream(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Apply each micro-batch of rows to the newest snapshot under ``root`` and write the next one (numbered by batch)."""
+def upsert_stream(changes: DataFrame, root: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Apply each micro-batch of rows to the newest snapshot under ``root`` and write the next one (numbered by batch).
+
+    Of a batch's rows with one handle the last by ``order`` counts, of equal ones (and without an order) the greatest by
+    all columns, so a repeated batch gives the same snapshot.
+    """
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        existing = spark.read.parquet(f"{root}/v={n:08d}")
-        upserted(existing, batch.dropDuplicates(["handle"])).write.mode("overwrite").parquet(f"{root}/v={n + 1:08d}")
+        existing = batch.sparkSession.read.parquet(f"{root}/v={n:08d}")
+        row = F.struct(*batch.columns)
+        last = batch.groupBy("handle").agg(F.max_by(row, F.struct(order, row) if order else row).alias("r")).select("r.*")
+        upserted(existing, last).write.mode("overwrite").parquet(f"{root}/v={n + 1:08d}")
 
     return each_batch(changes, "append", checkpoint, apply)

@@ -242,3 +242,92 @@ def test_small_reads(spark):
     cells = spark.createDataFrame([('["a", "", "b", "c", "d"]',), ('{"value": "v"}',), (" x ",), (None,)], "t string")
     assert [r[0] for r in cells.select(X.cell_text(F.col("t"))).collect()] == ["a, b, c", "v", "x", ""]
     assert spark.createDataFrame([("Bahnhofstrasse Zürich",), ("?",)], "t string").select(X.by_rules(F.col("t"), {"strasse": "Germany", "z.rich": "Switzerland"})).first()[0] == "Germany"
+
+
+def test_unique_handles_with_literal_suffixes(spark):
+    """No handle is given twice: numbers that rows have as their own are passed over."""
+    rows = [(1, "x"), (2, "x"), (3, "x"), (4, "x-1"), (5, "x-1-x"), (6, "x-1"), (7, "x-3"), (8, "x"), (9, None), (10, "y-007"), (11, "y-007")]
+    out = dedupe.unique_handles(spark.createDataFrame(rows, "n int, h string"), "h", F.col("n"))
+    got = {r.n: r.h for r in out.collect()}
+    assert got == {1: "x", 2: "x-2", 3: "x-4", 4: "x-1", 5: "x-1-x", 6: "x-1-1", 7: "x-3", 8: "x-5", 9: None, 10: "y-007", 11: "y-007-1"}
+
+
+def test_rows_without_a_country_agree(spark):
+    rows = [list(place("a")), list(place("b", line1="10 Main Street")), list(place("c"))]
+    rows[0][4] = rows[1][4] = None
+    df = table(spark, [tuple(r) for r in rows])
+    assert {r.handle: r.cluster for r in dedupe.clusters(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert {r.handle for r in dedupe.merge_plans(df).collect()} == {"a", "b"}
+
+
+def test_wider_than_equals_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for g in range(60):
+        size = r.choice([1, 2, 5, 30])
+        reach = r.choice([150, 240, 255, 270, 600]) / 111_320
+        for k in range(size):
+            turn, away = 2 * math.pi * r.random(), reach * r.choice([1, 1, r.random()])
+            rows.append((f"g{g}", f"h{g}-{k}", 45 + away * math.sin(turn), 7 + away * math.cos(turn) / math.cos(math.radians(45))))
+
+    def meters(p, q):
+        a = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+    want = {p[0] for p in rows for q in rows if p[0] == q[0] and meters(p, q) > 500}
+    got = dedupe.wider_than(spark.createDataFrame(rows, "g string, handle string, lat double, lon double"), "g", 500.0).collect()
+    assert sorted(x.g for x in got) == sorted(want) and 5 < len(want) < 60
+
+
+def test_rows_nobody_sent_stay(spark):
+    schema = "handle string, name string, brands string, is_premium boolean"
+    old = spark.createDataFrame([("a", "A", "x y", True), ("b", "B", "z_stores", None)], schema)
+    new = spark.createDataFrame([("b", "B", "q")], "handle string, name string, brands string")
+    assert {r.handle: r.brands for r in upsert.upserted(old, new).collect()} == {"a": "x y", "b": "Z, Q"}
+
+
+def test_batches_and_scoped_plans(spark):
+    from tessera.operators import reads
+
+    df = table(spark, [place(f"h{k:02d}", lat=k * 1.0) for k in range(25)])
+    assert [sorted(r.handle for r in b.collect()) for b in reads.batches(df, 10)] == [[f"h{k:02d}" for k in range(a, min(25, a + 10))] for a in (0, 10, 20)]
+    rows = [place("a"), place("b", line1="10 Main Street"), place("c", line1="1 Far Road", lat=10.001), place("d", city="Rome"), place("e", line1="1 Far Road", lat=60.0)]
+    df = table(spark, rows)
+    assert {r.handle for r in dedupe.expanded(df, df.where("handle = 'a'")).collect()} == {"a", "b", "c", "e"}
+    assert {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'")).collect()} == {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'"), 1).collect()} == {"a", "b"}
+
+
+def test_work_tables_need_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessera.plans import work
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    with pytest.raises(ValueError):
+        work.shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://x", applicationId="a")))
+    tables = work.WorkTables(spark)
+    df = tables.written(spark.range(3), "t")
+    path = tables.paths[0].removeprefix("file://")
+    assert df.count() == 3
+    tables.drop()
+    import os
+
+    assert not os.path.exists(path)
+
+
+def test_posted_requests(spark):
+    requests = spark.createDataFrame([("u", '{"country":"FR","page":{page}}')], "url string, post string")
+
+    def fetch(url, body):
+        return json.dumps([{"id": 1}] if json.loads(body)["page"] == 1 else [])
+
+    got = fanout.fetched(requests, fetch, body_col="post").collect()
+    assert [(r.page, json.loads(r.body)) for r in got] == [(0, [{"id": 1}])]

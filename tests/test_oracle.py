@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.catalog import ORACLE_SQL, QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
