@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank
+from .text import blank, let
 
 #: Lower-case aliases.
 ALIASES = {
@@ -159,35 +159,42 @@ def last_paragraph(text: Column) -> Column:
     """
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i),?\s*(?:" + "|".join(CONTINENTS) + r")\s*$", ""))
     dash, region, none = r"^(.+?)\s*[–-]\s*(.+)$", r"^([A-Z]{1,3})\s+(\d{3,6})$", F.lit(None).cast("string")
-    part = lambda city=none, state=none, postal=none, country=none: F.struct(city.alias("city"), state.alias("state"), postal.alias("postal"), normalized_country(country).alias("country"))
+    part = lambda city=none, state=none, postal=none, country=none: F.struct(city.alias("city"), state.alias("state"), postal.alias("postal"), country.alias("country"))
     left, land = F.trim(F.regexp_extract(t, dash, 1)), F.regexp_extract(t, dash, 2)
-    coded, head = postal_before(left), postal_before(t)
-    rest = head["rest"]
-    last, others = F.trim(F.regexp_extract(rest, "^(.*),([^,]*)$", 2)), F.trim(F.regexp_extract(rest, "^(.*),([^,]*)$", 1))
-    return (
-        F.when(t.rlike(dash) & left.rlike(region), part(state=F.regexp_extract(left, region, 1), postal=F.regexp_extract(left, region, 2), country=land))
-        .when(t.rlike(dash) & coded.isNotNull(), part(coded["rest"], postal=coded["postal"], country=land))
-        .when(t.rlike(dash), part(left, country=land))
-        .when(head.isNotNull() & F.contains(rest, F.lit(",")), part(others, postal=head["postal"], country=last))
-        .when(head.isNotNull() & recognized(rest), part(postal=head["postal"], country=rest))
-        .when(head.isNotNull(), part(rest, postal=head["postal"]))
-        .when(F.contains(t, F.lit(",")), part(F.trim(F.regexp_extract(t, "^(.*),([^,]*)$", 1)), country=F.trim(F.regexp_extract(t, "^(.*),([^,]*)$", 2))))
-        .otherwise(part(country=t))
-    )
+    comma = r"^(.*),([^,]*)$"
+
+    def dashed(coded: Column) -> Column:
+        parts = F.when(left.rlike(region), part(state=F.regexp_extract(left, region, 1), postal=F.regexp_extract(left, region, 2), country=land))
+        return parts.when(coded.isNotNull(), part(coded["rest"], postal=coded["postal"], country=land)).otherwise(part(left, country=land))
+
+    def coded(head: Column) -> Column:
+        rest = head["rest"]
+        parts = F.when(F.contains(rest, F.lit(",")), part(F.trim(F.regexp_extract(rest, comma, 1)), postal=head["postal"], country=F.trim(F.regexp_extract(rest, comma, 2))))
+        return parts.when(recognized(rest), part(postal=head["postal"], country=rest)).otherwise(part(rest, postal=head["postal"]))
+
+    listed = F.when(F.contains(t, F.lit(",")), part(F.trim(F.regexp_extract(t, comma, 1)), country=F.trim(F.regexp_extract(t, comma, 2)))).otherwise(part(country=t))
+    found = F.when(t.rlike(dash), let(postal_before(left), dashed)).otherwise(let(postal_before(t), lambda head: F.when(head.isNotNull(), coded(head)).otherwise(listed)))
+    return let(found, lambda p: F.struct(p["city"].alias("city"), p["state"].alias("state"), p["postal"].alias("postal"), normalized_country(p["country"]).alias("country")))
 
 
 def paragraph_address(paragraphs: Column) -> Column:
     """Struct (city, state, postal, country) of an address in paragraphs: the last one, and the one before for a town
     and code that it lacks (a code at its end, at its beginning, or after its last comma)."""
-    last = last_paragraph(F.element_at(paragraphs, -1))
     before = F.when(F.size(paragraphs) > 1, F.element_at(paragraphs, -2))
     piece = F.trim(F.regexp_extract(before, "^(.*),([^,]*)$", 2))
-    tail, head, inner = postal_after(before), postal_before(before), postal_before(piece)
-    filled = lambda found: (found["rest"] != "") & found["postal"].isNotNull()
-    needs_city = last["city"].isNull() | (last["city"] == "")
-    city = F.when(filled(tail), tail["rest"]).when(filled(head), head["rest"]).when(filled(inner), inner["rest"]).when(F.contains(before, F.lit(",")), piece)
-    postal = F.when(filled(tail), tail["postal"]).when(needs_city & filled(head), head["postal"]).when(needs_city & filled(inner), inner["postal"])
-    return F.struct(F.when(needs_city, city).otherwise(last["city"]).alias("city"), last["state"].alias("state"), F.coalesce(last["postal"], postal).alias("postal"), last["country"].alias("country"))
+    found = F.struct(last_paragraph(F.element_at(paragraphs, -1)).alias("last"), postal_after(before).alias("tail"), postal_before(before).alias("head"), postal_before(piece).alias("inner"))
+
+    def filled(x: Column) -> Column:
+        return (x["rest"] != "") & x["postal"].isNotNull()
+
+    def whole(f: Column) -> Column:
+        last, tail, head, inner = f["last"], f["tail"], f["head"], f["inner"]
+        needs_city = last["city"].isNull() | (last["city"] == "")
+        city = F.when(filled(tail), tail["rest"]).when(filled(head), head["rest"]).when(filled(inner), inner["rest"]).when(F.contains(before, F.lit(",")), piece)
+        postal = F.when(filled(tail), tail["postal"]).when(needs_city & filled(head), head["postal"]).when(needs_city & filled(inner), inner["postal"])
+        return F.struct(F.when(needs_city, city).otherwise(last["city"]).alias("city"), last["state"].alias("state"), F.coalesce(last["postal"], postal).alias("postal"), last["country"].alias("country"))
+
+    return let(found, whole)
 
 
 def town_line(text: Column) -> Column:

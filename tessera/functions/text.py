@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ DIRECTIONS = r"\b(?:west|east)\b(?!\s+river\b)|\b(?:north|south|northeast|northw
 MIN_CONTAINED = 8
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once and stands once in the plan, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""
 
