@@ -45,10 +45,29 @@ SENTENCES = {
     "cc-by-sa-ref": "licensed under cc by sa 4.0",
     "cc-by-ref": "licensed under cc by 4.0",
     "rights": "all rights reserved",
+    "gpl2-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl21-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-warranty": "see the gnu lesser general public license for more details",
+    "agpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-warranty": "see the gnu affero general public license for more details",
+    "bsd-advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "epl2-ref": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",
+    "epl2-ref2": "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0",
+    "cc0-waive": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+    "cc-by-long": "this work is licensed under a creative commons attribution 4.0 international license",
     "spdx-mit": "spdx license identifier mit",
     "spdx-apache": "spdx license identifier apache 2.0",
     "spdx-gpl3": "spdx license identifier gpl 3.0 or later",
 }
+#: Other identifiers that a tag may name; their sentences follow from them.
+TAGGED = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
+SENTENCES |= {f"spdx-{name.lower()}": "spdx license identifier " + name.lower().replace("-", " ") for name in TAGGED}
 #: Ordered rules, licence and sequence of identifiers.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy")),
@@ -56,10 +75,29 @@ RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("ISC", ("isc-grant",)),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-later", "gpl-warranty")),
     ("GPL-3.0-or-later", ("gpl-later",)),
+    ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty")),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-warranty")),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "lgpl-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "agpl-warranty")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-ref",)),
+    ("EPL-2.0", ("epl2-ref2",)),
+    ("CC0-1.0", ("cc0-waive",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-long",)),
+    ("CC-BY-4.0", ("cc-by-long",)),
     ("GPL-3.0-or-later", ("spdx-gpl3",)),
     ("GPL-3.0-only", ("gpl3-ref",)),
     ("Apache-2.0", ("apache-ref",)),
@@ -71,11 +109,14 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
+    *[(name, (f"spdx-{name.lower()}",)) for name in TAGGED],
     ("Proprietary", ("rights",)),
 )
 #: Every known sentence has one of these, so other sentences need no normalising.
-CUES = ("licen", "permission", "redistribut", "warrant", "copyright", "rights reserved", "noninfringement")
+CUES = ("licen", "permission", "redistribut", "warrant", "copyright", "rights reserved", "noninfringement", "unencumbered", "advertising")
 WRAPPED = "\n[ \t#*/;]*([a-z])"
+#: A tag ends with its line, whatever the next one begins with.
+TAG_LINE = r"((?i)spdx-license-identifier:[^\n]*)\n"
 #: In lower case, hard boundaries become E, and anything else but soft ones (line ends, semicolons) a blank.
 HARD = r"\n[^a-z0-9\n]*\n|(?:(?<!\bv)|(?!\.[ \t\r\n]+[0-9]))[.!?][ \t\r\n]+"
 OTHER = "[^a-z0-9.E\n;]+"
@@ -100,7 +141,8 @@ def _cue(text: Column) -> Column:
 
 def found_sentences(text: Column) -> Column:
     """Known sentences in order, normalised."""
-    marked = F.regexp_replace(F.lower(F.regexp_replace(text, WRAPPED, " $1")), HARD, "E")
+    lines = F.regexp_replace(F.regexp_replace(text, TAG_LINE, "$1\n\n"), WRAPPED, " $1")
+    marked = F.regexp_replace(F.lower(lines), HARD, "E")
     found = F.regexp_extract_all(F.regexp_replace(marked, OTHER, " "), F.lit(_known()), F.lit(1))
     return F.transform(found, lambda s: F.regexp_replace(s, "[ \n;]+", " "))
 
@@ -137,7 +179,7 @@ def sql() -> str:
     for k, (name, seq) in enumerate(RULES):
         q = _quote(_sequence(seq))
         steps.append(f"s{k + 1} AS (SELECT doc_id, ids, replace(l, {q}, '#') AS l, CASE WHEN contains(l, {q}) AND NOT list_contains(names, {_quote(name)}) THEN list_append(names, {_quote(name)}) ELSE names END AS names FROM s{k})")
-    return f"""WITH cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '\\n[ \\t#*/;]*([a-z])', ' \\1', 'g'), '[.!?]+[ \\t\\r\\n]+|\\n+') AS parts FROM documents),
+    return f"""WITH cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(spdx-license-identifier:[^\\n]*)\\n', '\\1' || chr(10) || chr(10), 'g'), '\\n[ \\t#*/;]*([a-z])', ' \\1', 'g'), '[.!?]+[ \\t\\r\\n]+|\\n+') AS parts FROM documents),
 found AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), ' .')]), lambda i: i IS NOT NULL) AS ids FROM cut),
 {", ".join(steps)}
 SELECT doc_id, len(ids) :: BIGINT AS n_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(names, ' ') AS licenses,

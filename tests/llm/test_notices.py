@@ -91,3 +91,49 @@ def test_boundaries(spark):
     }
     rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.licenses for r in rows] == list(cases.values())
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software."""
+MORE = {
+    "LGPL-2.1-or-later": LGPL, "LGPL-3.0-or-later": LGPL.replace("2.1", "3"), "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"), "GPL-2.0-or-later": GPL.replace("version 3", "version 2"),
+    "GPL-2.0-only": GPL.replace("License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "License version 2 as\npublished by the Free Software Foundation."),
+    "Zlib": ZLIB, "Unlicense": UNLICENSE, "BSD-4-Clause": BSD.replace("3. Neither", "3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n   This product includes software.\n\n4. Neither"),
+    "BSD-2-Clause": BSD[: BSD.index("3. Neither")],
+}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("prefix", ["", "# ", "// ", " * "])
+def test_more_notices(spark, prefix, end):
+    texts = [(n, end.join(f"{prefix}{line}".rstrip() for line in text.split("\n")) + end) for n, text in enumerate(MORE.values())]
+    rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.n_unmatched) for r in rows] == [(name, 0) for name in MORE]
+
+
+def test_tags_before_code(spark):
+    names = ["MIT", "Apache-2.0", "GPL-3.0-or-later", *license_scan.TAGGED]
+    texts = [(n, f"// SPDX-License-Identifier: {name}\n#include <x>\nint main() {{ return 0; }}\n") for n, name in enumerate(names)]
+    rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == names
