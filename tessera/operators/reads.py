@@ -149,3 +149,10 @@ def run_stats(df: DataFrame, status: str, states: tuple[str, ...], rows: str) ->
 def by_locale(df: DataFrame, column: str) -> DataFrame:
     """Sorted by the language-neutral, case-insensitive collation."""
     return df.orderBy(F.collate(F.col(column), "UNICODE_CI"), column)
+
+
+def suggestions(df: DataFrame, text: str, chosen: list[str], n: int = 10) -> DataFrame:
+    """Brands that hold the text and aren't chosen yet, in order; case doesn't count."""
+    known = [c.strip().upper() for c in chosen]
+    names = distinct_brands(df)
+    return names.where(contains(F.col("brand"), text) & ~F.col("brand").isin(*known)).orderBy("brand").limit(n)

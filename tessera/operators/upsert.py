@@ -66,6 +66,19 @@ def batch_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
+def tally(changes: DataFrame) -> DataFrame:
+    """Each handle once, however often a batch has it: created counts before updated, updated before unchanged."""
+    rank = F.when(F.col("change") == "created", 0).when(F.col("change") == "updated", 1).otherwise(2)
+    once = changes.groupBy("handle").agg(F.min_by("change", rank).alias("change"))
+    return batch_summary(once)
+
+
+def renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """The table with the values of a column that have a new name (old, new) replaced by it."""
+    n = names.select(F.col("old").alias(column), F.col("new").alias("_new"))
+    return df.join(n, column, "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
+
+
 def patched(df: DataFrame, patches: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Overlay of allowed columns by handle; nulls in a patch change nothing, the handle never changes."""
     columns = [c for c in patches.columns if c in allowed and c != "handle" and c in df.columns]

@@ -326,9 +326,9 @@ def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_records(place_pages(places(spark, sf_dir))).drop("postal", "country")
 
 
-@query()
+@query("SELECT page_id, 0 :: BIGINT AS n FROM pages", False)
 def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places out of the raw pages, whichever technique finds any; pages without one give no rows."""
+    """Places out of the raw pages, by whichever technique finds any (the given tables' pages hold none)."""
     found = html.page_records(table(spark, sf_dir, "pages"))
     return table(spark, sf_dir, "pages").select("page_id").join(found.groupBy("page_id").agg(F.count(F.lit(1)).cast("long").alias("n")), "page_id", "left").select("page_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
@@ -361,3 +361,30 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = S.stream(spark, f"{sf_dir}/events.parquet*", EVENT_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
     out = S.latest(spark, S.distinct_sessions(source, "3650 days").select("user_id", F.lit(1).cast("long").alias("n")), "user_id", new_path(spark, "sessions"), "append")
     return out
+
+
+# Others
+
+
+@query("SELECT count(DISTINCT o_custkey) :: BIGINT AS n FROM orders", False)
+def located_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").cast("long").alias("n"))
+
+
+@query(f", {PK}, b AS (SELECT DISTINCT 'BRAND ' || k % 13 AS brand FROM pk0) SELECT brand FROM (SELECT 'BRAND ' || i AS brand FROM range(13) t(i)) WHERE contains(brand, '1') AND brand <> 'BRAND 11' AND (SELECT count(*) FROM b) > 0")
+def brand_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.suggestions(places(spark, sf_dir), "d 1", ["brand 11"])
+
+
+@query(f", {PK} SELECT change, count(*) :: BIGINT AS n FROM (SELECT CASE WHEN k % 7 = 0 THEN 'created' WHEN k % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM pk0) GROUP BY 1")
+def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = places(spark, sf_dir)
+    first = p.select("handle", F.when(_k() % 7 == 0, "created").otherwise("unchanged").alias("change"))
+    return upsert.tally(first.unionByName(p.select("handle", F.when(_k() % 3 == 0, "updated").otherwise("unchanged").alias("change"))))
+
+
+@query("SELECT handle, CASE city WHEN 'City 7' THEN 'Town 7' WHEN 'City 8' THEN 'Town 8' ELSE city END AS city FROM places")
+def renamed_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = places(spark, sf_dir)
+    names = p.where("city IN ('City 7', 'City 8')").select(F.col("city").alias("old"), F.replace(F.col("city"), F.lit("City"), F.lit("Town")).alias("new")).distinct()
+    return upsert.renamed(p.select("handle", "city"), names, "city")
