@@ -54,8 +54,8 @@ from .url_filter import Bloom
 
 NULL_ID = -(2**63)
 PROFILE = "doc_id long, n long, hi long, lo long, chunk int, part binary"
-#: A shingle whose cell of the sketch holds more than 2**HOT rows is salted.
-HOT = 16
+#: A shingle whose cell of the sketch holds more than 2**HOT rows is salted, 2**SALT_BITS ways at most.
+HOT, SALT_BITS = 16, 16
 #: Nodes from which on a component counts as a family.
 LARGE = 32
 
@@ -71,8 +71,8 @@ class Settings:
     percent: int = 75
     more_percent: int = 10
     sketch_bits: int = 22
-    block_tokens: int = 1 << 16
-    chunk_tokens: int = 1 << 19
+    block_tokens: int = 1 << 17
+    chunk_tokens: int = 1 << 16
     hot: int = HOT
     large: int = LARGE
 
@@ -219,7 +219,8 @@ def _profile(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _prefixes(s: Settings, levels: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(tok, salt, salts, sig): prefix shingles of each distinct set that a task sees."""
+    """(tok, salt, sig): prefix shingles of each distinct set that a task sees. ``salt`` is 0 but for hot shingles: the
+    logarithm of the number of salts in the upper bits, one of them in the lower SALT_BITS."""
     shift = U(64 - s.sketch_bits)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +228,9 @@ def _prefixes(s: Settings, levels: Broadcast) -> Callable[[Iterator[pa.RecordBat
 
         def rows(held: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
             tok, sig = np.concatenate(held), np.repeat(np.array(sigs, np.int64), [len(h) for h in held])
-            salts = np.left_shift(1, np.clip(level[(tok >> shift).astype(np.int64)].astype(np.int64) - s.hot, 0, 16))
-            salt = (mix(sig.view(U)) & (salts - 1).astype(U)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(salts.astype(np.int32)), pa.array(sig)], ["tok", "salt", "salts", "sig"])
+            excess = np.clip(level[(tok >> shift).astype(np.int64)].astype(np.int64) - s.hot, 0, SALT_BITS)
+            salt = excess << SALT_BITS | (mix(sig.view(U)) & ((1 << excess) - 1).astype(U)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(sig)], ["tok", "salt", "sig"])
 
         for batch in batches:
             held, sigs, n = [], [], 0
@@ -294,10 +295,10 @@ def _enough(s: Settings) -> Column:
     return F.expr(f"{s.more_percent * s.percent} * n div 10000 + 1")
 
 
-def _block_links(nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _block_links(sets: DataFrame, s: Settings) -> DataFrame:
     """Links within blocks, and between each block and its group's hub."""
-    sent = nodes.where("m > 1").withColumn("blk", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("blk").cast("int")))))
-    rows = sent.select("node", "hi", "grp", "blk", F.when(F.col("is_hub"), 0).otherwise(1).alias("role")).join(sets, ["node", "hi"])
+    blk = F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("blk").cast("int"))))
+    rows = sets.where("m > 1").select("grp", blk.alias("blk"), F.when(F.col("is_hub"), 0).otherwise(1).alias("role"), "node", "tokens")
     return rows.groupBy("grp", "blk").applyInArrow(lambda table: _linked(table, False, s.percent), "u long, v long")
 
 
@@ -319,7 +320,10 @@ def _cross_links(nodes: DataFrame, entries: DataFrame, sets: DataFrame, work: Wo
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = nodes.select("node", "hi", "fam").join(groups, "fam").select("node", "hi", F.col("fam").alias("to"), place("blocks").alias("blk"), all_of("chunks").alias("chunk"), F.lit(0).alias("role"))
     asking = queries.join(groups.withColumnRenamed("fam", "to"), "to").select("node", "hi", "to", all_of("blocks").alias("blk"), place("chunks").alias("chunk"), F.lit(1).alias("role"))
-    rows = members.unionByName(asking).join(sets, ["node", "hi"])
+    targets = work.written(members.unionByName(asking), "targets")
+    asked_sets = Bloom.sized(targets.count())
+    needed = asked_sets.flagged(sets.select("node", "hi", "tokens"), asked_sets.build(targets.select("node"), "node"), "node", "needed").where("needed").drop("needed")
+    rows = targets.join(needed.hint("shuffle_merge"), ["node", "hi"])
     return rows.groupBy("to", "blk", "chunk").applyInArrow(lambda table: _linked(table, True, s.percent), "u long, v long")
 
 
@@ -335,11 +339,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # One shuffle of prefix shingles; the aggregate, the join and the removal of copies below all use it. Whether a salted
     # shingle is shared isn't asked: it counts as shared (which only adds candidates), and as common as its cell.
-    dealt = rows.mapInArrow(_prefixes(s, levels), "tok long, salt int, salts int, sig long").repartition(parts, "tok", "salt")
-    met = dealt.groupBy("tok", "salt").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count(F.lit(1)).alias("c"), F.max("salts").alias("k"))
-    shared = met.where("a < b OR k > 1").select("tok", "salt", F.when(F.col("k") > 1, F.col("k") * F.lit(1 << s.hot)).otherwise(F.col("c")).alias("c"))
+    dealt = rows.mapInArrow(_prefixes(s, levels), "tok long, salt int, sig long").repartition(parts, "tok", "salt")
+    met = dealt.groupBy("tok", "salt").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count(F.lit(1)).alias("c"))
+    common = F.call_function("shiftleft", F.lit(1).cast("long"), s.hot + F.shiftright("salt", SALT_BITS))
+    shared = met.where("a < b OR salt > 0").select("tok", "salt", F.when(F.col("salt") > 0, common).otherwise(F.col("c")).alias("c"))
     work = WorkTables(spark)
-    entries = work.written(dealt.select("tok", "salt", "sig").join(shared, ["tok", "salt"]).distinct().drop("salt"), "entries")
+    entries = work.written(dealt.join(shared, ["tok", "salt"]).distinct().drop("salt"), "entries")
 
     reps = known.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"))
     keys = entries.groupBy(F.col("sig").alias("hi")).agg(F.max(F.struct("c", "tok")).getField("tok").alias("key"), F.count(F.lit(1)).alias("in_common"))
@@ -351,10 +356,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     bloom = Bloom.sized(nodes.count())
     likely = bloom.flagged(rows, bloom.build(nodes.select("node"), "node"), "doc_id", "maybe").where("maybe").drop("maybe")
-    wanted = nodes.select("node", "hi", "lo")
-    sets = work.written(likely.mapInArrow(_sets(s), "node long, hi long, lo long, tokens binary").join(wanted, ["node", "hi", "lo"]).drop("lo"), "sets")
+    # Sets are joined by sorting, whatever their number: what is quicker for few of them doesn't hold for many.
+    sets = work.written(likely.mapInArrow(_sets(s), "node long, hi long, lo long, tokens binary").join(nodes.hint("shuffle_merge"), ["node", "hi", "lo"]), "sets")
 
-    found = work.written(components(_block_links(nodes, sets, s)), "components")
+    found = work.written(components(_block_links(sets, s)), "components")
 
     def with_families(found: DataFrame) -> DataFrame:
         """The nodes with their family, and groups in which a family is one row of the matrix."""
