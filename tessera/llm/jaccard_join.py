@@ -79,7 +79,7 @@ class Settings:
 
 def shingle_sets(values: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(place, ascending distinct shingle hashes) of each text; A-Z are lower-cased."""
-    for block in blocks(values):
+    for block in blocks(values, 1 << 20):
         words = block.hashes(lower=True)
         bounds = block.word_bounds.tolist()
         if len(words) >= size:
@@ -203,7 +203,7 @@ def _profile(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 sigs.append(signature(tokens))
                 held.append(tokens)
                 n += len(tokens)
-                if n > 1 << 19:
+                if n > 1 << 17:
                     count(held)
                     n = 0
             if held:
@@ -242,7 +242,7 @@ def _prefixes(s: Settings, levels: Broadcast) -> Callable[[Iterator[pa.RecordBat
                     held.append(tokens[order[: prefix_length(len(tokens), s.percent, s.more_percent)]])
                     sigs.append(sig[0])
                     n += len(held[-1])
-                    if n > 1 << 19:
+                    if n > 1 << 17:
                         yield rows(held, sigs)
                         held, sigs, n = [], [], 0
             if len(seen) > 1_000_000:  # copies that are missed here meet in the shuffle
@@ -270,7 +270,7 @@ def _sets(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     seen.add(one)
                     out.append((*one, tokens.tobytes()))
                     size += 8 * len(tokens)
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield rows(out)
                     out, size = [], 0
             if len(seen) > 1_000_000:

@@ -73,7 +73,7 @@ def gram_vectors(grams: np.ndarray, space: Space) -> np.ndarray:
     return first[grams // ALPHABET**2] * second[grams // ALPHABET % ALPHABET] * third[grams % ALPHABET]
 
 
-def grams(values: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(values: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """In pieces of whole texts: first place, number of texts, and (text, n-gram, count) for what occurs."""
     off, data = raw(column(values))
     codes, k = letter_codes(), 0

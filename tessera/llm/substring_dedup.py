@@ -277,7 +277,7 @@ def removed_words(block: Block, n: np.ndarray, places: np.ndarray, counts: np.nd
     return np.cumsum(change)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece_words: int = 1_500_000, bucket_bytes: int = 16 << 20, group_bytes: int = 64 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece_words: int = 1_000_000, bucket_bytes: int = 16 << 20, group_bytes: int = 64 << 20) -> DataFrame:
     """The input's rows and columns with n_words, n_removed and kept_text (kept words joined by one blank)."""
     parts = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -134,7 +134,7 @@ def raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def blocks(values: pa.Array, size: int = 4 << 20) -> Iterator[Block]:
+def blocks(values: pa.Array, size: int = 2 << 20) -> Iterator[Block]:
     off, data = raw(column(values))
     k = 0
     while k < len(off) - 1:
