@@ -44,7 +44,11 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: list[s
 
 
 def with_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, columns: list[str]) -> DataFrame:
-    """Every parent with the number of its children and their rows, sorted."""
+    """Every parent with the number of its children and their rows, sorted.
+
+    The rows of a parent are one value, so this is for parents with few; where one may have very many, count them and read
+    the children by key.
+    """
     rows = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.count(F.lit(1)).cast("long").alias("n_children"), F.sort_array(F.collect_list(F.struct(*columns))).alias("children"))
     return parents.join(rows, parent_key, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
 

@@ -48,7 +48,7 @@ def search(df: DataFrame, text: str, columns: tuple[str, ...] = ("name", "line1"
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """A page in order of name, with the number of all rows and pages."""
+    """A page in order of name, with the number of all rows and pages. Deep pages cost more and more; see :func:`after`."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy("name", "handle").offset((number - 1) * size).limit(size)
     counts = total.select(F.col("total").cast("long").alias("total"), F.ceil(F.col("total") / size).cast("long").alias("pages"), (F.col("total") > number * size).alias("has_more"))
