@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, license_scan, media, packing, quality_rules, substring_dedup, token_files, url_filter
+from . import bpe, fill_middle, jaccard_join, language_id, license_scan, media, nearest, packing, quality_rules, spelling, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +67,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_jaccard_join, op4_token_files, op5_media, op6_language_id, op7_url_filter, op8_bpe, op9_packing, op10_substring_dedup)}
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(nearest.built(vectors, k=5), vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    rows = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_jaccard_join, op4_token_files, op5_media, op6_language_id, op7_url_filter, op8_bpe, op9_packing, op10_substring_dedup, op11_nearest, op12_fill_middle, op13_spelling)}
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -106,4 +121,4 @@ every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FR
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM every e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY 1)
 SELECT words.doc_id, len(w) :: BIGINT AS n_words, (len(w) - coalesce(n, 0)) :: BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_license_scan": license_scan.sql(), "op3_jaccard_join": JACCARD_SQL, "op7_url_filter": url_filter.sql(), "op10_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_license_scan": license_scan.sql(), "op3_jaccard_join": JACCARD_SQL, "op7_url_filter": url_filter.sql(), "op10_substring_dedup": SUBSTRING_SQL, "op12_fill_middle": fill_middle.sql()}
