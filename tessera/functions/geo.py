@@ -99,14 +99,19 @@ def column_in(row: Column, lon: Column, edge: Column, size: float) -> Column:
 
 
 def near_cells(lat: Column, lon: Column, meters: float) -> Column:
-    """Array of (row, column) that a circle around the point can touch; the date line wraps around."""
+    """Array of (row, column) that a circle around the point can touch; the date line wraps around.
+
+    A band of few columns lies so near a pole that a circle may reach beyond it, and counts with all of them.
+    """
     size = meters / METERS_PER_DEGREE * 1.01
-    row = F.floor(lat / size)
-    out = []
-    for step in (-1, 0, 1):
-        r = row + step
-        edge = F.least(F.lit(90.0), F.greatest(F.abs(r * size), F.abs((r + 1) * size)))
-        n = F.greatest(F.lit(1), F.floor(360 * F.greatest(F.lit(0.0), F.cos(F.radians(edge))) / size)).cast("long")
-        c = F.floor((lon + 180) / 360 * n).cast("long")
-        out += [F.struct(r.cast("long").alias("row"), F.pmod(c + d, n).alias("col")) for d in (-1, 0, 1)]
-    return F.array_distinct(F.array(*out))
+    steps = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
+
+    def band(row: Column) -> Column:
+        """The row with its number of columns."""
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(row * size), F.abs((row + 1) * size)))
+        return F.struct(row.alias("row"), F.greatest(F.lit(1), F.floor(360 * F.greatest(F.lit(0.0), F.cos(F.radians(edge))) / size)).cast("long").alias("n"))
+
+    bands = F.transform(F.transform(steps, lambda d: F.floor(lat / size).cast("long") + d), band)
+    columns = lambda b: F.when(b["n"] <= 24, F.sequence(F.lit(0).cast("long"), b["n"] - 1)).otherwise(F.transform(steps, lambda d: F.floor((lon + 180) / 360 * b["n"]).cast("long") + d))
+    cell = lambda b, c: F.struct(b["row"].alias("row"), F.pmod(c, b["n"]).alias("col"))
+    return F.array_distinct(F.flatten(F.transform(bands, lambda b: F.transform(columns(b), lambda c: cell(b, c)))))

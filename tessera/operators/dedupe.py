@@ -11,9 +11,14 @@ from ..functions import brands as B
 from ..functions import geo
 from ..functions import text as X
 from ..functions.country import country_key, normalized_country
-from ..plans.work import written
+from ..plans.work import WorkTables, written
 from .components import components
-from .joins import block_stars, meters_between, near_pairs
+from .crowds import near_links
+from .joins import block_stars, meters_between
+from .similarity import contained
+
+#: Metres that a tile is wide in which address keys that hold others are looked for.
+TILE = 5000
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -76,26 +81,61 @@ def with_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(keys)
 
 
+def _aligned_links(keyed: DataFrame, meters: float) -> DataFrame:
+    """(u, v) with the components of all pairs within ``meters`` of aligned addresses and the same city or similar names.
+
+    Addresses align if their lines or keys are equal or one key holds the other. Equal lines or keys with an equal city or
+    name need no further test and are linked by cells (:func:`.crowds.near_links`); equal keys with names that are only
+    similar meet by what such names share; and keys that hold others by their rarest gram, within tiles of a few kilometres.
+    """
+    usable = keyed.where(~geo.unusable(F.col("lat"), F.col("lon")))
+    line = F.lower(F.trim("line1"))
+    keys = {"t": F.when(line != "", line), "l": F.when(F.col("k_line") != "", F.col("k_line")), "a": F.when(F.length("k_addr") >= 6, F.col("k_addr"))}
+    each = usable.withColumn("_key", F.explode(F.filter(F.array(*[F.concat(F.lit(n), k) for n, k in keys.items()]), lambda k: k.isNotNull())))
+    with_city = each.where(~F.col("_key").startswith("a"))  # equal address keys in a city are linked wherever they are
+    marked = [with_city.select("handle", "lat", "lon", "k_country", "_key", F.concat(F.lit("city "), "k_city").alias("_by")), each.select("handle", "lat", "lon", "k_country", "_key", F.concat(F.lit("name "), "k_name").alias("_by"))]
+    links = near_links(marked[0].unionByName(marked[1]), ["k_country", "_key", "_by"], meters)
+
+    a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
+    row, col = geo.cells(F.col("lat"), F.col("lon"), meters)
+    named = each.groupBy("k_country", "_key", "k_name", "lat", "lon").agg(F.min("handle").alias("handle"))
+    own = named.withColumns({"_row": row.cast("long"), "_col": col, "_name": F.explode(X.name_keys(F.col("k_name"), False))}).alias("b")
+    around = named.withColumn("_name", F.explode(X.name_keys(F.col("k_name"), True))).withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), meters))).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).alias("a")
+    met = around.join(own, [a(k) == b(k) for k in ("_row", "_col", "k_country", "_key", "_name")] + [a("k_name") != b("k_name"), meters_between() <= meters, X.names_similar(a("k_name"), b("k_name"))])
+
+    held = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("key")) for n in ("k_addr", "k_line")]))
+    rows = usable.select("handle", "lat", "lon", "k_country", "k_city", "k_name", held.alias("_h")).select("*", "_h.*").drop("_h").where(F.length("key") >= X.MIN_CONTAINED)
+    rows = rows.groupBy("k_country", "k_city", "k_name", "kind", "key", "lat", "lon").agg(F.min("handle").alias("handle"))
+    south, north, west, east = geo.bounding_box(F.col("lat"), F.col("lon"), meters)
+    tile = lambda lat, lon: F.struct(*[c.cast("long").alias(n) for n, c in zip(("row", "col"), geo.cells(lat, lon, TILE))])
+    corners = F.array_distinct(F.array(*[tile(y, x) for y in (south, north) for x in (west, east)]))
+    test = (meters_between() <= meters) & X.key_contains(a("key"), b("key")) & ((a("k_city") == b("k_city")) | (a("k_name") == b("k_name")) | X.names_similar(a("k_name"), b("k_name")))
+    extended = contained(rows.withColumn("_tile", F.explode(corners)), rows.withColumn("_tile", tile(F.col("lat"), F.col("lon"))), ["_tile", "kind", "k_country"], "key", X.MIN_CONTAINED, test)
+    pairs = met.select(a("handle").alias("u"), b("handle").alias("v")).unionByName(extended.select(a("handle").alias("u"), b("handle").alias("v")))
+    return links.unionByName(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def match_edges(df: DataFrame) -> DataFrame:
     """(u, v, rule): edges whose components are taken for the same place, by any of five rules, each an equality join; u < v.
 
     Rules: the same rounded coordinates; the same address key and city; the same source key; and within 300 m an aligned
-    address with the same city or an equal or similar name. All ask for the same country. The first three need no further test, so a block's
-    rows are linked to its least handle only, not each to each; the last gives pairs.
+    address with the same city or an equal or similar name. All ask for the same country. Rows that are linked without a
+    further test hang on their block's least handle, not each on each, so edges are as few as rows; see
+    :func:`_aligned_links` for the last rule.
     """
-    keyed = with_keys(df)
-    usable = keyed.where(~geo.unusable(F.col("lat"), F.col("lon")))
-    a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
-    alike = (a("k_name") == b("k_name")) | X.names_similar(a("k_name"), b("k_name"))
-    aligned = X.keys_align(a("line1"), b("line1"), a("k_line"), b("k_line"), a("k_addr"), b("k_addr"))
+    work = WorkTables(df.sparkSession)
+    columns = ["handle", "lat", "lon", "line1", *(["source_key"] if "source_key" in df.columns else [])]
+    keyed = work.written(with_keys(df).select(*columns, "k_country", "k_city", "k_addr", "k_line", "k_name", "lat5", "lon5"), "keyed")
     rules = {
-        "coordinates": block_stars(usable, ["k_country", "lat5", "lon5"]),
+        "coordinates": block_stars(keyed.where(~geo.unusable(F.col("lat"), F.col("lon"))), ["k_country", "lat5", "lon5"]),
         "address": block_stars(keyed.where(F.length("k_addr") >= 6), ["k_country", "k_city", "k_addr"]),
-        "near": near_pairs(keyed, 300, aligned & ((a("k_city") == b("k_city")) | alike), ("k_country",)).drop("meters"),
+        "near": _aligned_links(keyed, 300),
     }
     if "source_key" in df.columns:
         rules["source"] = block_stars(keyed.where(~X.blank(F.col("source_key"))), ["k_country", "source_key"])
-    return reduce(DataFrame.unionByName, [e.withColumn("rule", F.lit(name)) for name, e in rules.items()])
+    edges = written(reduce(DataFrame.unionByName, [e.withColumn("rule", F.lit(name)) for name, e in rules.items()]), "edges")
+    work.drop()
+    return edges
 
 
 def clusters(df: DataFrame) -> DataFrame:
@@ -126,6 +166,28 @@ def wider_than(df: DataFrame, group: str, meters: float) -> DataFrame:
     return reach.where(F.col("_far") > meters).select(group).unionByName(found)
 
 
+def _variant_links(rest: DataFrame, meters: float) -> DataFrame:
+    """(u, v) with the components of all pairs within ``meters`` of different addresses, similar names and a number in common.
+
+    Rows of one name that share a number hang together by cells, with the address as a colour; names that are only similar
+    meet by what such names share, as classes of equal rows, of which those that are linked take their rows along.
+    """
+    keys = ["k_country", "k_name", "k_addr", "number", "lat", "lon"]
+    usable = rest.where(~geo.unusable(F.col("lat"), F.col("lon")) & (F.col("k_name") != ""))
+    rows = usable.select("handle", "k_country", "k_name", "k_addr", "lat", "lon", F.explode(X.street_numbers(F.col("line1"))).alias("number"))
+    links = near_links(rows, ["k_country", "k_name", "number"], meters, color="k_addr")
+    a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
+    row, col = geo.cells(F.col("lat"), F.col("lon"), meters)
+    classes = rows.groupBy(*keys).agg(F.min("handle").alias("handle"))
+    own = classes.withColumns({"_row": row.cast("long"), "_col": col, "_name": F.explode(X.name_keys(F.col("k_name"), False))}).alias("b")
+    around = classes.withColumn("_name", F.explode(X.name_keys(F.col("k_name"), True))).withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), meters))).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).alias("a")
+    test = (a("k_name") != b("k_name")) & (a("k_addr") != b("k_addr")) & (meters_between() <= meters) & X.names_similar(a("k_name"), b("k_name"))
+    pairs = written(around.join(own, [a(k) == b(k) for k in ("_row", "_col", "k_country", "number", "_name")] + [test]).select(a("handle").alias("u"), b("handle").alias("v"), a("number").alias("number")).distinct(), "pairs")
+    linked = pairs.select(F.explode(F.array("u", "v")).alias("u"), "number").distinct()
+    members = rows.join(classes.withColumnRenamed("handle", "u").join(linked, ["u", "number"]), keys).where("u <> handle").select("u", F.col("handle").alias("v"))
+    return links.unionByName(pairs.select("u", "v")).unionByName(members)
+
+
 def merge_plans(df: DataFrame, max_spread: float = 500.0) -> DataFrame:
     """(handle, plan, pass): rows to be merged. First groups of one address key, then near pairs of similar names.
 
@@ -133,20 +195,22 @@ def merge_plans(df: DataFrame, max_spread: float = 500.0) -> DataFrame:
     150 m, different keys, similar names, a street number in common, as components. Groups wider than ``max_spread``
     are left alone.
     """
-    keyed = df.withColumn("k_addr", X.address_key(F.col("line1"))).withColumn("plan", F.concat_ws("|", "k_addr", F.coalesce(F.lower(F.trim("city")), F.lit("")), country_key(F.col("country"))))
+    work = WorkTables(df.sparkSession)
+    keys = {"k_addr": X.address_key(F.col("line1")), "k_name": X.alnum(F.col("name")), "k_country": country_key(F.col("country"))}
+    keyed = df.select("handle", "lat", "lon", "line1", F.coalesce(F.lower(F.trim("city")), F.lit("")).alias("city"), *[c.alias(n) for n, c in keys.items()])
+    keyed = work.written(keyed.withColumn("plan", F.concat_ws("|", "k_addr", "city", "k_country")), "keyed")
     sized = keyed.where(F.length("k_addr") >= 6)
     large = sized.groupBy("plan").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("plan")
     first = sized.join(large, "plan", "left_semi")
     wide = wider_than(first, "plan", max_spread)
     one = written(first.join(wide, "plan", "left_anti").select("handle", "plan", F.lit(1).alias("pass")), "plans")
-    rest = keyed.join(one.select("handle"), "handle", "left_anti").drop("plan")
-    a, b = lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}")
-    test = (a("k_addr") != b("k_addr")) & X.names_similar(a("name"), b("name")) & X.share_number(a("line1"), b("line1"))
-    found = components(near_pairs(rest.withColumn("k_country", country_key(F.col("country"))), 150, test, ("k_country",)).select("u", "v"))
+    rest = work.written(keyed.join(one.select("handle"), "handle", "left_anti").drop("plan"), "rest")
+    found = components(_variant_links(rest, 150))
     second = rest.select("handle", "lat", "lon").join(found.select(F.col("node").alias("handle"), F.concat(F.lit("near|"), "component").alias("plan")), "handle")
     wide2 = wider_than(second, "plan", max_spread)
-    two = second.join(wide2, "plan", "left_anti").select("handle", "plan", F.lit(2).alias("pass"))
-    return one.unionByName(written(two, "plans"))
+    two = written(second.join(wide2, "plan", "left_anti").select("handle", "plan", F.lit(2).alias("pass")), "plans")
+    work.drop()
+    return one.unionByName(two)
 
 
 def expanded(df: DataFrame, seeds: DataFrame, radius: float = 500.0) -> DataFrame:
@@ -171,10 +235,9 @@ def expanded(df: DataFrame, seeds: DataFrame, radius: float = 500.0) -> DataFram
     return found.select("handle").unionByName(peers.select("handle")).distinct()
 
 
-def scoped_merge_plans(df: DataFrame, seeds: DataFrame, most: int = 50_000) -> DataFrame:
-    """Merge plans among the rows that may share a group with a seed; among all rows if these are more than ``most``."""
-    scope = written(expanded(df, seeds), "scope")
-    return merge_plans(df if scope.count() > most else df.join(scope, "handle", "left_semi"))
+def scoped_merge_plans(df: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Merge plans among the rows that may share a group with a seed, however many these are."""
+    return merge_plans(df.join(written(expanded(df, seeds), "scope"), "handle", "left_semi"))
 
 
 def merged(df: DataFrame, plans: DataFrame) -> DataFrame:
@@ -207,16 +270,20 @@ def candidate_report(df: DataFrame) -> DataFrame:
     Of rows that share a plan, a point or an address each stands beside the least handle of them, not beside all others:
     a report of n - 1 pairs for n rows.
     """
-    keyed = df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": country_key(F.col("country")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
+    work = WorkTables(df.sparkSession)
+    keyed = work.written(with_keys(df).select("handle", "name", "line1", "lat", "lon", "k_addr", "k_line", "k_name", "k_city", "k_country", "lat5", "lon5"), "keyed")
     same_place = block_stars(keyed, ["lat5", "lon5"]).withColumn("signal", F.lit("2 coordinates"))
     same_address = block_stars(keyed.where(F.length("k_addr") >= 6), ["k_addr", "k_city", "k_country"]).withColumn("signal", F.lit("3 address"))
     in_plan = block_stars(merge_plans(df), ["plan"]).withColumn("signal", F.lit("1 plan"))
     pairs = in_plan.unionByName(same_place).unionByName(same_address).groupBy("u", "v").agg(F.min("signal").alias("signal"))
     a, b = keyed.alias("a"), keyed.alias("b")
     joined = pairs.join(a, F.col("u") == F.col("a.handle")).join(b, F.col("v") == F.col("b.handle"))
-    return joined.select(
+    out = joined.select(
         "u", "v", F.substring("signal", 3, 20).alias("signal"), F.round(meters_between(), 1).alias("meters"),
-        (X.alnum(F.col("a.name")) == X.alnum(F.col("b.name"))).alias("same_name"), X.names_similar(F.col("a.name"), F.col("b.name")).alias("similar_name"),
-        X.addresses_align(F.col("a.line1"), F.col("b.line1")).alias("aligned"), X.share_number(F.col("a.line1"), F.col("b.line1")).alias("same_number"),
+        (F.col("a.k_name") == F.col("b.k_name")).alias("same_name"), X.names_similar(F.col("a.k_name"), F.col("b.k_name")).alias("similar_name"),
+        X.keys_align(F.col("a.line1"), F.col("b.line1"), F.col("a.k_line"), F.col("b.k_line"), F.col("a.k_addr"), F.col("b.k_addr")).alias("aligned"), X.share_number(F.col("a.line1"), F.col("b.line1")).alias("same_number"),
         (F.col("a.k_city") == F.col("b.k_city")).alias("same_city"), (F.col("a.k_country") == F.col("b.k_country")).alias("same_country"),
     )
+    out = written(out, "report")
+    work.drop()
+    return out

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as X
 from ..functions.country import country_key
+from ..plans.work import WorkTables, written
+from .crowds import nearest_within
+from .similarity import contained
 
 
 def with_registry(places: DataFrame, registry: DataFrame, key: str, flag: str) -> DataFrame:
@@ -79,29 +84,6 @@ def first_of(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFr
     return some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def similar_pairs(df: DataFrame, text: Column, by: list[str], least: float, top: int) -> DataFrame:
-    """(u, v, similarity): of rows that agree on ``by``, the ``top`` pairs most alike by trigrams, above ``least``.
-
-    Rows with the same trigrams are one class; classes are compared, on sorted hashes, and only the best ``top`` pairs of
-    classes (and of rows within one) are spelled out by their first handles. That gives the same pairs as all rows would:
-    a pair of classes beyond these has no pair of rows before any of theirs.
-    """
-    grams = df.select("handle", *by, F.array_sort(F.transform(X.trigrams(text), lambda t: F.xxhash64(t))).alias("t")).where(F.size("t") > 0).dropna(subset=by)
-    few = first_of(grams, [*by, "t"], ["handle"], top + 1)
-    classes = few.groupBy(*by, "t").agg(F.sort_array(F.collect_list("handle")).alias("h")).withColumn("n", F.size("t"))
-    a, b = classes.alias("a"), classes.alias("b")
-    both = F.size(F.array_intersect("a.t", "b.t"))
-    alike = both / (F.col("a.n") + F.col("b.n") - both)
-    fits = (F.least("a.n", "b.n") > least * F.greatest("a.n", "b.n")) & (alike > least)
-    pair = lambda x, y, s: F.struct(s.alias("s"), F.least(x[0], y[0]).alias("u"), F.greatest(x[0], y[0]).alias("v"), x.alias("x"), y.alias("y"))
-    across = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.h")[0] < F.col("b.h")[0]]).where(fits).select(pair(F.col("a.h"), F.col("b.h"), alike).alias("p"))
-    within = classes.where(F.size("h") > 1).select(F.struct(F.lit(1.0).alias("s"), F.col("h")[0].alias("u"), F.col("h")[1].alias("v"), F.col("h").alias("x"), F.col("h").alias("y")).alias("p"))
-    best = across.unionByName(within).select("p.*").orderBy(F.desc("s"), "u", "v").limit(top)
-    spelled = best.select("s", F.explode("x").alias("x"), "y").select("s", "x", F.explode("y").alias("y"))
-    rows = spelled.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.col("s").alias("similarity")).distinct()
-    return rows.orderBy(F.desc("similarity"), "u", "v").limit(top)
-
-
 def meters_between(a: str = "a", b: str = "b") -> Column:
     return geo.haversine(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
 
@@ -117,40 +99,63 @@ def near_pairs(df: DataFrame, meters: float, test: Column | None = None, by: tup
     return (out.where(test) if test is not None else out).select(F.col("a.handle").alias("u"), F.col("b.handle").alias("v"), meters_between().alias("meters"))
 
 
+def _probe_keys(df: DataFrame) -> DataFrame:
+    keys = {"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": country_key(F.col("country")), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)}
+    return df.select("handle", "lat", "lon", *[c.alias(n) for n, c in keys.items()])
+
+
 def probes(incoming: DataFrame, places: DataFrame) -> DataFrame:
     """(handle, match, tier, meters): the place that each incoming row is taken to be, by the first tier that finds one.
 
-    Tiers: 1 the same rounded coordinates and country (nearest within 25 m where several); 2 the same address key and
-    city (300 m); 3 one address key extends the other, similar name and address (150 m); 4 the same name within 300 m,
-    5 a similar name within 150 m, 6 anything within 75 m. The first two are equality joins, the others one join by grid
-    cells; within a tier the nearest wins, then the smaller handle. Rows without a country agree with one another.
-    """
+    Tiers: 1 the same rounded coordinates and country; 2 the same address key and city (300 m); 3 one address key extends
+    the other, similar name and the same city (150 m); 4 the same name within 300 m, 5 a similar name within 150 m, 6
+    anything within 75 m. Within a tier the nearest wins, then the smaller handle. Rows without a country agree with one
+    another.
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"k_addr": X.address_key(F.col("line1")), "k_city": X.alnum(F.col("city")), "k_country": country_key(F.col("country")), "k_name": X.alnum(F.col("name")), "lat5": F.round("lat", 5), "lon5": F.round("lon", 5)})
-
-    a, b = keyed(incoming).alias("a"), keyed(places).alias("b")
-    col = lambda side, name: F.col(f"{side}.{name}")
-    same = lambda *names: [col("a", n) == col("b", n) for n in names]
-    meters = meters_between()
-
-    def found(joined: DataFrame, tier: int) -> DataFrame:
-        return joined.select(col("a", "handle").alias("handle"), col("b", "handle").alias("match"), F.lit(tier).alias("tier"), meters.alias("meters"))
-
-    rounded = found(a.join(b, same("lat5", "lon5", "k_country")), 1)
-    nearest = rounded.groupBy("handle").agg(F.min(F.struct("meters", "match")).alias("m"), F.count(F.lit(1)).alias("several"))
-    tier1 = nearest.where((F.col("several") == 1) | (F.col("m.meters") <= 25)).select("handle", "m.match", F.lit(1).alias("tier"), "m.meters")
-    tier2 = found(a.join(b, same("k_addr", "k_city", "k_country")).where((F.length(col("a", "k_addr")) >= 6) & (meters <= 300)), 2)
-    row, cell = geo.cells(F.col("lat"), F.col("lon"), 300)
-    own = keyed(places).where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumns({"_row": row.cast("long"), "_col": cell}).alias("b")
-    around = keyed(incoming).where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), 300))).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).alias("a")
-    near = around.join(own, same("_row", "_col", "k_country")).where(meters <= 300)
-    extends = (col("a", "k_city") == col("b", "k_city")) & X.key_contains(col("a", "k_addr"), col("b", "k_addr")) & X.names_similar(col("a", "name"), col("b", "name"))
-    kind = F.when(extends & (meters <= 150), 3).when(col("a", "k_name") == col("b", "k_name"), 4).when(X.names_similar(col("a", "name"), col("b", "name")) & (meters <= 150), 5).when(meters <= 75, 6)
-    tier4 = near.select(col("a", "handle").alias("handle"), col("b", "handle").alias("match"), kind.alias("tier"), meters.alias("meters")).where("tier IS NOT NULL")
-    every = tier1.unionByName(tier2).unionByName(tier4)
-    best = every.groupBy("handle").agg(F.min(F.struct("tier", "meters", "match")).alias("m"))
-    return best.select("handle", F.col("m.match").alias("match"), F.col("m.tier").alias("tier"), F.col("m.meters").alias("meters"))
+    Each step sees only the rows that none before has found, and distinct points (each with its least handle) instead of
+    places, so many places at one point cost as much as one. Every step is an equality join: of rounded points and of
+    address keys (tiers 1 and 2), of an address key's rarest gram (3), of cells with what similar names share (5), and of cells
+    in growing rings, with the name (4) or alone (6), so that where points crowd the nearest ring ends the search.
+    """
+    work = WorkTables(incoming.sparkSession)
+    asked, known = work.written(_probe_keys(incoming), "asked"), work.written(_probe_keys(places), "known")
+    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    meters, similar = meters_between(), X.names_similar(a("k_name"), b("k_name"))
+    points = lambda *keys: known.groupBy(*keys, "lat", "lon").agg(F.min("handle").alias("handle"))
+
+    def out(joined: DataFrame, tier: int | Column) -> DataFrame:
+        return joined.select(a("handle").alias("handle"), b("handle").alias("match"), (F.lit(tier) if isinstance(tier, int) else tier).alias("tier"), meters.alias("meters"))
+
+    def equal(rest: DataFrame, keys: list[str], tier: int, *test: Column) -> DataFrame:
+        return out(rest.alias("a").join(points(*keys).alias("b"), [a(k) == b(k) for k in keys] + [*test]), tier)
+
+    def same(rest: DataFrame) -> DataFrame:
+        return equal(rest, ["lat5", "lon5", "k_country"], 1).unionByName(equal(rest, ["k_addr", "k_city", "k_country"], 2, F.length("a.k_addr") >= 6, meters <= 300))
+
+    def extends(rest: DataFrame) -> DataFrame:
+        keys = ["k_country", "k_city", "k_addr", "k_name", "lat", "lon"]
+        rows = rest.select("handle", *keys, F.lit(0).alias("side")).unionByName(points(*keys[:4]).select("handle", *keys, F.lit(1).alias("side")))
+        test = (meters <= 150) & X.key_contains(a("k_addr"), b("k_addr")) & similar
+        found = contained(rows.withColumn("side", 1 - F.col("side")), rows, ["side", "k_country", "k_city"], "k_addr", X.MIN_CONTAINED, test)
+        first = a("side") == 1  # the shorter key is the incoming row's
+        return found.select(F.when(first, a("handle")).otherwise(b("handle")).alias("handle"), F.when(first, b("handle")).otherwise(a("handle")).alias("match"), F.lit(3).alias("tier"), meters.alias("meters"))
+
+    def similarly_named(rest: DataFrame) -> DataFrame:
+        row, cell = geo.cells(F.col("lat"), F.col("lon"), 150)
+        own = points("k_country", "k_name").where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumns({"_row": row.cast("long"), "_col": cell, "_key": F.explode(X.name_keys(F.col("k_name"), False))}).alias("b")
+        around = rest.where(~geo.unusable(F.col("lat"), F.col("lon"))).withColumn("_key", F.explode(X.name_keys(F.col("k_name"), True)))
+        around = around.withColumn("_cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), 150))).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).alias("a")
+        return out(around.join(own, [a(k) == b(k) for k in ("_row", "_col", "k_country", "_key")] + [meters <= 150, similar]), 5)
+
+    in_rings = lambda tier, keys, reach: [lambda rest, ring=ring: ring(rest).withColumn("tier", F.lit(tier)) for ring in nearest_within(known, keys, reach)]
+    found: list[DataFrame] = []
+    for step in (same, extends, *in_rings(4, ["k_country", "k_name"], 300), similarly_named, *in_rings(6, ["k_country"], 75)):
+        rest = asked.join(reduce(DataFrame.unionByName, found).select("handle"), "handle", "left_anti") if found else asked
+        best = step(rest).groupBy("handle").agg(F.min(F.struct("tier", "meters", "match")).alias("m"))
+        found.append(work.written(best.select("handle", F.col("m.match").alias("match"), F.col("m.tier").alias("tier"), F.col("m.meters").alias("meters")), "tier"))
+    result = written(reduce(DataFrame.unionByName, found), "matches")
+    work.drop()
+    return result
 
 
 def filled(df: DataFrame, details: DataFrame, columns: tuple[str, ...], key: str = "handle") -> DataFrame:

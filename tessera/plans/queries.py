@@ -13,7 +13,7 @@ from ..functions import geo, records
 from ..functions import text as X
 from ..functions.country import normalized_country
 from ..functions.generate import grid
-from ..operators import analytics, audits, dedupe, joins, ranking, reads, upsert, validation
+from ..operators import analytics, audits, dedupe, joins, ranking, reads, similarity, upsert, validation
 from . import cases
 from .places import NOW, places
 from .places import sql as places_sql
@@ -226,9 +226,7 @@ FP = "regexp_replace(lower(trim(line1)), '[^a-z0-9]+', '', 'g')"
 @query(f", f AS (SELECT handle, city, country, {FP} AS fp FROM places) SELECT a.handle AS u, b.handle AS v FROM f a JOIN f b ON a.city = b.city AND a.country = b.country AND a.handle < b.handle WHERE a.fp <> b.fp AND (contains(a.fp, b.fp) OR contains(b.fp, a.fp)) ORDER BY length(a.fp) + length(b.fp) DESC, u, v LIMIT 80")
 def dup_contained_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = places(spark, sf_dir).select("handle", "city", "country", X.alnum(F.col("line1")).alias("fp"))
-    a, b = F.col("a.fp"), F.col("b.fp")
-    pairs = joins.block_pairs(keyed, ["city", "country"], (a != b) & (F.contains(a, b) | F.contains(b, a)), F.length(a) + F.length(b))
-    return pairs.orderBy(F.desc("meters"), "u", "v").limit(80).select("u", "v")
+    return similarity.contained_top(keyed, ["city", "country"], "fp", 80)
 
 
 def _trigram_sql(column: str) -> str:
@@ -238,7 +236,7 @@ def _trigram_sql(column: str) -> str:
 
 @query(f", f AS (SELECT handle, city, country, {_trigram_sql('name')} AS t FROM places), s AS (SELECT a.handle AS u, b.handle AS v, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) :: DOUBLE AS s FROM f a JOIN f b ON a.city = b.city AND a.country = b.country AND a.handle < b.handle) SELECT u, v, round(s, 4) AS similarity FROM s WHERE s > 0.45 ORDER BY s DESC, u, v LIMIT 40")
 def dup_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.similar_pairs(places(spark, sf_dir), F.col("name"), ["city", "country"], 0.45, 40).withColumn("similarity", F.round("similarity", 4))
+    return similarity.similar_top(places(spark, sf_dir), F.col("name"), ["city", "country"], 0.45, 40).withColumn("similarity", F.round("similarity", 4))
 
 
 #: The brands of the place table as they are shown.

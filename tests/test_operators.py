@@ -297,7 +297,7 @@ def test_batches_and_scoped_plans(spark):
     rows = [place("a"), place("b", line1="10 Main Street"), place("c", line1="1 Far Road", lat=10.001), place("d", city="Rome"), place("e", line1="1 Far Road", lat=60.0)]
     df = table(spark, rows)
     assert {r.handle for r in dedupe.expanded(df, df.where("handle = 'a'")).collect()} == {"a", "b", "c", "e"}
-    assert {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'")).collect()} == {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'"), 1).collect()} == {"a", "b"}
+    assert {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'")).collect()} == {r.handle for r in dedupe.scoped_merge_plans(df, df.where("handle = 'a'")).collect()} == {"a", "b"}
 
 
 def test_work_tables_need_a_shared_folder(spark, tmp_path):
