@@ -88,10 +88,33 @@ def record_array(doc: Column, data_path: str | None = None, paths: tuple[str, ..
     return F.coalesce(*found, parse(doc))
 
 
+#: Pieces of a text of which brackets and quotes stand alone, and a backslash with what it escapes.
+PIECES = r"""(?s)\\.|["'()]|[^"'()\\]+|\\"""
+
+
 def jsonp_body(text: Column) -> Column:
-    """What stands between the outer brackets of ``callback(...);``; other texts as they are."""
-    body = F.regexp_extract(text, r"(?s)^\s*[\w$.]+\s*\((.*)\)\s*;?\s*$", 1)
-    return F.when(body != "", body).otherwise(text)
+    """What stands between the first bracket of ``callback(...)`` and the one that closes it, if that is JSON; else the text.
+
+    Brackets within strings don't count, nor does what follows the closing one. A fold over brackets, quotes and the pieces
+    between them; plain JSON isn't searched.
+    """
+    trimmed = F.trim(text)
+    start = F.instr(trimmed, "(")
+    rest = F.substring(trimmed, start + 1, F.length(trimmed))
+    state = lambda depth, quote, size, done: F.struct(depth.alias("depth"), quote.alias("quote"), size.alias("size"), done.alias("done"))
+
+    def step(s: Column, piece: Column) -> Column:
+        inside = s["quote"] != ""
+        mark = F.when(~inside & piece.startswith("\\"), F.right(piece, F.lit(1))).otherwise(piece)  # a backslash escapes within strings only
+        depth = s["depth"] + F.when(inside, 0).when(mark == "(", 1).when(mark == ")", -1).otherwise(0)
+        quote = F.when(inside, F.when(mark == s["quote"], "").otherwise(s["quote"])).when(mark.isin('"', "'"), mark).otherwise("")
+        return F.when(s["done"], s).otherwise(state(depth, quote, s["size"] + F.length(piece), depth == 0))
+
+    first = state(F.lit(1), F.lit(""), F.lit(0), F.lit(False))
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(PIECES), F.lit(0)), first, step)
+    body = F.when(end["done"], F.left(rest, end["size"] - 1))
+    wrapped = ~trimmed.rlike(r'^[\[{"]') & (start > 0)
+    return F.when(wrapped & F.try_parse_json(body).isNotNull(), body).otherwise(text)
 
 
 def flattened(record: Any, prefix: str = "") -> dict[str, Any]:

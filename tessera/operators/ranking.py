@@ -64,7 +64,8 @@ def strategy(config: Column, kind: Column, radius: Column, center: Column) -> Co
     ``radius`` and ``center`` say whether the request has these parameters. The first branch that fits counts.
     """
     on = lambda name: ~F.coalesce(records.value(config, name), F.lit("")).isin("", "0", "false", "null", "[]", "{}")
-    catalog = F.contains(F.coalesce(records.value(config, "stores_by_api_countries.stores_url_template"), F.lit("")), F.lit("{country_id}"))
+    asked = lambda name: F.coalesce(F.trim(records.value(config, f"stores_by_api_countries.{name}")), F.lit(""))
+    catalog = (asked("countries_url") != "") & F.contains(asked("stores_url_template"), F.lit("{country_id}"))
     urls = F.coalesce(records.value(config, "pagination_fetch_urls"), F.lit("")).rlike(r"^\[\s*[^\]\s]")
     around = radius & center
     return (

@@ -149,10 +149,10 @@ case("record_listed", lambda d: records.value(d, "a.1.b"), ('{"a":[{"b":"x"},{"b
 case("record_caseless", lambda d: records.caseless(d, "Store.name"), ('{"STORE":{"Name":"n{k}"}}', "n{k}"), ('{"Store":{"name":"exact","NAME":"other"}}', "exact"), ('{"x":1}', None))
 
 case("record_found", lambda d: listed(records.record_array(d)), ('{"data":{"stores":[{"id":"{k}"}]}}', '{"id":"{k}"}'), ('[{"id":"1"},{"id":"{k}"}]', '{"id":"1"}|{"id":"{k}"}'), ('{"stores":[]}', ""), ("x", None))
-case("record_jsonp", records.jsonp_body, ('cb({"a":"({k})"});', '{"a":"({k})"}'), ('{"a":{k}}', '{"a":{k}}'), ("window.cb([1,{k}])", "[1,{k}]"))
+case("record_jsonp", records.jsonp_body, ('cb({"a":"({k})"});', '{"a":"({k})"}'), ('{"a":{k}}', '{"a":{k}}'), ("window.cb([1,{k}])", "[1,{k}]"), ('cb({"a":"){k}\\""}); other({"b":2});', '{"a":"){k}\\""}'), ('/**/cb({"a":{k}}); // note (x)', '{"a":{k}}'), ("<p>(see {k})</p>", "<p>(see {k})</p>"))
 case("record_joined", lambda d: records.field(d, {"join": ["a", "b", "c"], "separator": ", ", "skip_tokens": ["n/a"]}), ('{"a":"x{k}","b":"N/A","c":"y"}', "x{k}, y"), ('{"a":"","b":"q"}', "q"), ("{}", None))
 case("record_structure", inference.structure, ('[{"a":{k}}]', "flat_array"), ('{"type":"FeatureCollection","features":[]}', "geojson"), ('{"stores":[{"a":{k}}]}', "nested_array"), ('{"x":{"items":[{"a":{k}}]}}', "nested_array"), ('{"a":{k}}', "unknown"), ("x", "unknown"))
 case("record_coordinates", inference.coordinate_format, ('{"latitude":1.5,"longitude":{k}}', "latitude_longitude"), ('[{"lat":1,"lng":{k}}]', "lat_lng"), ('{"coordinates":[2,1]}', "coordinates_array"), ('{"location":{"x":"{k}"}}', "nested_location"), ('{"geoLat":1,"geoLng":2}', "geo_lat_lng"), ('{"location":"{k}"}', "unknown"), ("x", "unknown"))
 case("record_hours", inference.hours_format, ('{"Monday":"9","Tuesday":"9","Wednesday":"9","Thursday":"9","Friday":"{k}"}', "day_keys"), ('{"openingHours":["Mo 9-5"]}', "hours_array"), ('{"hours":"Mon {k}"}', "hours_string"), ('{"monday":"9-5"}', "unknown"), ("x", "unknown"))
-case("strategy", lambda c, k, r, m: ranking.strategy(c, k, r == "y", m == "y"), ('{"post_per_country":{"a":{k}}}', "paginated", "n", "n", "post_per_country"), ('{"stores_by_api_countries":{"stores_url_template":"https://x/{country_id}"}}', "single", "n", "n", "stores_by_api_countries"), ('{"pagination_fetch_urls":["https://x/{k}"]}', "single", "n", "n", "pagination_fetch_urls"), ('{"pagination_fetch_urls":[]}', "viewport", "n", "n", "viewport_expansion"), ('{"force_radius_multi_point":true,"radius_centers":[1]}', "paginated", "y", "n", "radius_expansion"), (None, "paginated", "y", "y", "radius_expansion"), (None, "paginated", "y", "n", "paginated"), ("{}", "country", "n", "n", "country_expansion"), ("{}", "radius", "n", "n", "radius_expansion"), ('{"force_single_call":true}', "radius", "y", "y", "single_call"), ('{"geohash_prefix_expansion":true}', "single", "n", "n", "geohash_prefixes"), (None, "single", "n", "n", "single_call"))
+case("strategy", lambda c, k, r, m: ranking.strategy(c, k, r == "y", m == "y"), ('{"post_per_country":{"a":{k}}}', "paginated", "n", "n", "post_per_country"), ('{"stores_by_api_countries":{"countries_url":"https://x/all","stores_url_template":"https://x/{country_id}"}}', "single", "n", "n", "stores_by_api_countries"), ('{"stores_by_api_countries":{"countries_url":" ","stores_url_template":"https://x/{country_id}"}}', "single", "n", "n", "single_call"), ('{"stores_by_api_countries":{"stores_url_template":"https://x/{country_id}"}}', "viewport", "n", "n", "viewport_expansion"), ('{"pagination_fetch_urls":["https://x/{k}"]}', "single", "n", "n", "pagination_fetch_urls"), ('{"pagination_fetch_urls":[]}', "viewport", "n", "n", "viewport_expansion"), ('{"force_radius_multi_point":true,"radius_centers":[1]}', "paginated", "y", "n", "radius_expansion"), (None, "paginated", "y", "y", "radius_expansion"), (None, "paginated", "y", "n", "paginated"), ("{}", "country", "n", "n", "country_expansion"), ("{}", "radius", "n", "n", "radius_expansion"), ('{"force_single_call":true}', "radius", "y", "y", "single_call"), ('{"geohash_prefix_expansion":true}', "single", "n", "n", "geohash_prefixes"), (None, "single", "n", "n", "single_call"))
 case("trust_group", lambda u, v, n: ranking.trust_group(u, v == "y", n.try_cast("int")), ("https://x.com/stores/{k}", "y", "3", "2"), ("https://x.com/{k}", "n", "9", "1"), ("https://pixel.x.com/{k}", "y", "2", "0"), ("https://pixel.x.com/{k}", "y", "5", "2"), ("https://x.com", "y", None, "1"))

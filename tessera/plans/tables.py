@@ -266,6 +266,36 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv_rows(spark, path).join(F.broadcast(total))
 
 
+def _mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of CSV files with three headers: columns in another order, missing, additional and repeated."""
+    p, path = places(spark, sf_dir), new_path(spark, "mixed")
+    heads = ([("Handle", "handle"), ("Name", "name"), ("City", "city")], [("Name", "name"), (" Handle ", "handle"), ("Extra", "line1")], [("City", "country"), ("Handle", "handle"), ("City", "city")])
+    for k, head in enumerate(heads):
+        rows = p.where(_k() % 3 == k)
+        line = F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for _, c in head])
+        with_head = rows.select(F.lit(1).alias("n"), line.alias("value")).unionByName(spark.createDataFrame([(0, ",".join(n for n, _ in head))], "n int, value string"))
+        with_head.repartition(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(f"{path}/part{k}")
+    folder = new_path(spark, "folder")
+    for k in range(len(heads)):
+        spark.read.text(f"{path}/part{k}").coalesce(1).write.mode("append").option("lineSep", "\n").text(folder)
+    return folder
+
+
+@query(f", {PK} SELECT handle, CASE WHEN k % 3 < 2 THEN name END AS name, CASE WHEN k % 3 <> 1 THEN city END AS city, CASE WHEN k % 3 = 1 THEN line1 END AS extra FROM pk0")
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder, each read by its own header."""
+    return files.csv_directory(spark, _mixed_files(spark, sf_dir), "*.txt").select("Handle", "Name", "City", "Extra").toDF("handle", "name", "city", "extra")
+
+
+@query(f", {PK}, f AS (SELECT k % 3 AS part, count(*) :: BIGINT AS n FROM pk0 GROUP BY 1), i AS (SELECT * FROM (VALUES (0, 'error', 'missing:Status'), (0, 'error', 'missing:Country'), (1, 'error', 'missing:Status'), (1, 'error', 'missing:City'), (1, 'error', 'missing:Country'), (1, 'warning', 'unknown:Extra'), (2, 'error', 'duplicate:City'), (2, 'error', 'missing:Name'), (2, 'error', 'missing:Status'), (2, 'error', 'missing:Country')) t(part, severity, issue)) SELECT severity, issue, sum(n) :: BIGINT AS n_rows FROM i JOIN f USING (part) GROUP BY ALL")
+def csv_header_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of headers, with how many rows stand in files that have them."""
+    folder = _mixed_files(spark, sf_dir)
+    rows = files.csv_directory(spark, folder, "*.txt").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    found = files.header_faults(spark, folder, ("Handle", "Name", "City"), "*.txt").where("issue NOT LIKE '%Address%' AND issue NOT LIKE '%itude'")
+    return found.join(rows, "file").groupBy("severity", "issue").agg(F.sum("n").cast("long").alias("n_rows"))
+
+
 @query("SELECT row_number() OVER (ORDER BY handle) + 1 AS row, handle FROM places")
 def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.numbered_rows(written(places(spark, sf_dir).select("handle").orderBy("handle"), "rows").orderBy("handle")).select(F.col("row").cast("long").alias("row"), "handle")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import records
 from ..functions import text as X
+from ..operators.validation import header_issues
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +20,47 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 
-def csv_directory(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files of a folder, with the file's name."""
-    return csv_rows(spark, f"{path}/*.csv").select("*", F.col("_metadata.file_name").alias("file"))
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, header): the first line of each file, by partial aggregates over the files' first blocks."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    return lines.where("_start = 0").groupBy("path", "file").agg(F.min_by("value", "_at").alias("header"))
+
+
+def header_names(header: str) -> list[str]:
+    """The names in a header line, trimmed and rid of a byte-order mark."""
+    found = next(csv.reader([header.lstrip("\ufeff")]), [])
+    return [name.strip() for name in found]
+
+
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[tuple[str, str]]]:
+    """Files (path, name) by their header's names. One short row a file reaches the driver, as for any listing of files."""
+    out: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for row in csv_headers(spark, path).orderBy("path").toLocalIterator():
+        out.setdefault(tuple(header_names(row["header"])), []).append((row["path"], row["file"]))
+    return out
+
+
+def csv_directory(spark: SparkSession, path: str, names: str = "*.csv") -> DataFrame:
+    """All CSV files of a folder with the file's name, each read by its own header.
+
+    Files of one header are read together; columns meet by name, and what a file doesn't have is null. Of a name that a
+    header repeats the last column counts. A folder without files has the file's name as its only column and no rows.
+    """
+    parts = []
+    for header, files in _by_header(spark, f"{path}/{names}").items():
+        kept = [n not in header[k + 1 :] and n != "" for k, n in enumerate(header)]
+        schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(header))])
+        rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True).csv([p for p, _ in files])
+        parts.append(rows.select(*[F.col(f"_c{k}").alias(n) for k, n in enumerate(header) if kept[k]], F.col("_metadata.file_name").alias("file")))
+    if not parts:
+        return spark.createDataFrame([], "file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def header_faults(spark: SparkSession, path: str, known: tuple[str, ...], names: str = "*.csv") -> DataFrame:
+    """(file, severity, issue) of every file's header: repeated and missing names are errors, unknown ones warnings."""
+    faults = [(file, *fault) for header, files in _by_header(spark, f"{path}/{names}").items() for fault in header_issues(list(header), known) for _, file in files]
+    return spark.createDataFrame(faults, "file string, severity string, issue string")
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:
