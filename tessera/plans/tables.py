@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, html
+from ..functions import geo, html, records
 from ..functions import text as X
 from ..functions.country import normalized_country
 from ..functions.generate import focused_grid, prefixes, viewport_url
 from ..operators import audits, dedupe, inference, joins, reads, upsert, validation
-from ..sources import files, sinks
+from ..sources import fanout, files, sinks
 from .places import places
 from .queries import COUNTRY, KEYED, MERGES, _meters, query, table
 from .work import new_path, written
@@ -310,8 +310,6 @@ def _records(p: DataFrame) -> DataFrame:
 
 @query("SELECT handle AS id, name FROM places UNION ALL SELECT DISTINCT city, 'Head Office' FROM places")
 def answers_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import records
-
     bodies = _records(places(spark, sf_dir)).select(records.jsonp_body(F.col("raw")).alias("body"))
     found = files.distinct_records(files.answer_records(bodies))
     return found.select(records.value(F.col("record"), "id").alias("id"), records.value(F.col("record"), "storeName").alias("name"))
@@ -319,20 +317,87 @@ def answers_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('Name', 'storeName'), ('Latitude', 'geo.latitude'), ('Longitude', 'geo.longitude'), ('City', 'town')) AS t(field, path)")
 def inferred_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import records
-
     bodies = _records(places(spark, sf_dir)).select(records.jsonp_body(F.col("raw")).alias("body"))
     return inference.mapping(inference.paths(files.answer_records(bodies))).select("field", "path")
 
 
 @query("SELECT path, count(*) :: BIGINT * 2 AS n, 1.0 :: DOUBLE AS share FROM places, (VALUES ('id'), ('storeName'), ('town'), ('geo.latitude'), ('geo.longitude')) AS t(path) GROUP BY path")
 def inferred_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import records
-
     bodies = _records(places(spark, sf_dir)).select(records.jsonp_body(F.col("raw")).alias("body"))
     return inference.paths(files.answer_records(bodies)).select("path", "n", "share")
 
 
+def _landed(p: DataFrame, size: int = 5) -> DataFrame:
+    """Answers of a city's API, ``size`` places a page, by page number and by token; each city's last page comes once more."""
+    at = F.row_number().over(Window.partitionBy("city").orderBy("handle")) - 1
+    rows = p.select("city", "handle", F.floor(at / size).cast("int").alias("page"))
+    record = F.struct(F.col("handle").alias("id"), F.col("city").alias("town"))
+    made = rows.groupBy("city", "page").agg(F.sort_array(F.collect_list(record)).alias("items"))
+    last = made.groupBy("city").agg(F.max("page").alias("last"), F.sum(F.size("items")).alias("total"))
+    paged = made.join(last, "city")
+    city = F.replace(F.col("city"), F.lit(" "), F.lit("-"))
+    body = lambda following: F.to_json(F.struct(F.col("items"), F.col("total"), following.alias("next")))
+    token = F.when(F.col("page") < F.col("last"), F.concat(F.lit("t"), (F.col("page") + 1).cast("string")))
+    by_page = paged.select(F.concat(F.lit("https://x/"), city, F.lit("?page="), (F.col("page") + 1).cast("string")).alias("url"), body(F.lit(None).cast("string")).alias("body"))
+    again = paged.where("page = last").select(F.concat(F.lit("https://x/"), city, F.lit("?page="), (F.col("page") + 2).cast("string")).alias("url"), body(F.lit(None).cast("string")).alias("body"))
+    by_token = paged.select(F.concat(F.lit("https://x/"), city, F.lit("?token="), F.when(F.col("page") > 0, F.concat(F.lit("t"), F.col("page").cast("string"))).otherwise("")).alias("url"), body(token).alias("body"))
+    return by_page.unionByName(again).unionByName(by_token)
+
+
+def _requests(p: DataFrame, query: str) -> DataFrame:
+    return p.select(F.col("city").alias("request")).distinct().withColumn("url", F.concat(F.lit("https://x/"), F.replace(F.col("request"), F.lit(" "), F.lit("-")), F.lit(query)))
+
+
+_PAGED = "SELECT city AS request, ((row_number() OVER (PARTITION BY city ORDER BY handle) - 1) // 5) :: INT AS page, handle AS id FROM places"
+
+
+def _ids(found: DataFrame) -> DataFrame:
+    return found.select("request", "page", F.explode(records.record_array(F.col("body"), "items")).alias("r")).select("request", "page", records.value(F.col("r"), "id").alias("id"))
+
+
+@query(_PAGED)
+def fanout_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each city, page after page by the token that each answer gives."""
+    p = places(spark, sf_dir)
+    return _ids(fanout.followed(_requests(p, "?token={token}"), written(_landed(p), "landed"), fanout.Paging(items_key="items", token_key="next")))
+
+
+@query(_PAGED)
+def fanout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By page numbers, until a page repeats the ids of an earlier one."""
+    p = places(spark, sf_dir)
+    return _ids(fanout.followed(_requests(p, "?page={page}"), written(_landed(p), "landed"), fanout.Paging(items_key="items")))
+
+
+@query(_PAGED)
+def fanout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By page numbers, until as many records have come as the answers say there are."""
+    p = places(spark, sf_dir)
+    return _ids(fanout.followed(_requests(p, "?page={page}"), written(_landed(p), "landed"), fanout.Paging(items_key="items", total_key="total")))
+
+
+@query("SELECT city AS request, count(*) :: BIGINT AS n FROM places GROUP BY 1")
+def fanout_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cities are listed by one answer for each country; what they list is asked for in turn."""
+    p = places(spark, sf_dir)
+    lists = p.groupBy("country").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_set("city")), lambda c: F.struct(F.replace(c, F.lit(" "), F.lit("-")).alias("id"))).alias("items"))).alias("body"))
+    found = fanout.dependent(lists, written(_landed(p), "landed"), "https://x/{id}?token={token}", items_key="items", paging=fanout.Paging(items_key="items", token_key="next"))
+    return found.groupBy(F.replace("request", F.lit("-"), F.lit(" ")).alias("request")).agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("SELECT prefix, count(*) :: BIGINT AS n, (SELECT count(*) FROM places) :: BIGINT AS total, false AS missing FROM (SELECT left(sha256(handle), 1) AS prefix FROM places) GROUP BY 1")
+def fanout_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each prefix; the root's count is held against the sum of all prefixes."""
+    p = places(spark, sf_dir).select("handle", F.left(F.sha2(F.col("handle").cast("binary"), 256), F.lit(1)).alias("prefix"))
+    answer = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("handle").alias("id")))).alias("items")))
+    landed = written(p.groupBy("prefix").agg(answer.alias("body")).select(F.concat(F.lit("https://x/"), "prefix").alias("url"), "body"), "landed")
+    asked = prefixes(spark, 1, "0123456789abcdef").select(F.col("prefix").alias("request"), F.concat(F.lit("https://x/"), "prefix").alias("url"))
+    found = fanout.followed(asked, landed, fanout.Paging(items_key="items"))
+    sums = found.agg(F.sum("n").alias("sum"))
+    root = p.agg(F.count(F.lit(1)).cast("long").alias("total"))
+    return found.crossJoin(F.broadcast(root)).crossJoin(F.broadcast(sums)).select(F.col("request").alias("prefix"), "n", "total", (F.col("sum") < F.col("total")).alias("missing"))
+
+
 def place_pages(p: DataFrame) -> DataFrame:
     """A page of each place, in one of seven forms by its number."""
     name, lat, lon, line = F.concat(F.lit("Shop "), _k().cast("string")), F.concat((_k() % 90).cast("string"), F.lit(".5")), F.concat((_k() % 180).cast("string"), F.lit(".25")), F.concat(_k().cast("string"), F.lit(" Main St"))

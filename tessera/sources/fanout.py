@@ -1,24 +1,35 @@
-"""Requests fanned out over tasks: by country, centre, box or prefix, page after page. The fetch function is an argument."""
+"""Requests fanned out over tasks: by country, centre, box or prefix, page after page.
+
+Live answers come through a fetch function, either in one run (:func:`fetched`) or as a data source with a partition for
+each request (:func:`paged_source`), whose stream goes on where a stopped run ended. Landed answers, a table of URL and
+body, are followed by joins (:func:`followed`): all requests take their next page in one round.
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from ..functions import records
+from ..plans.work import WorkTables, written
 
 Fetch = Callable[..., str]
 
 
 @dataclass(frozen=True)
 class Paging:
-    """How a request goes on. ``url`` may hold {page} or {offset}; a page that is empty, short, equal to an earlier one or
-    says there is no more ends it. ``max_pages`` is a limit only where one is wanted (the last row then says that it was cut)."""
+    """How a request goes on. ``url`` may hold {page}, {offset} or {token}; a page that is empty (``empty_pages`` of them in
+    turn), short, of the same ids as an earlier one, without a next token or that says there is no more ends it. ``max_pages`` is a limit only where one is wanted (the last row then says that it was cut)."""
 
     size: int = 0
     first: int = 1
@@ -26,6 +37,9 @@ class Paging:
     more_key: str | None = None
     total_key: str | None = None
     items_key: str | None = None
+    token_key: str | None = None
+    id_key: str = "id"
+    empty_pages: int = 1
 
 
 def _items(body: str, key: str | None) -> list[Any]:
@@ -40,24 +54,36 @@ def _items(body: str, key: str | None) -> list[Any]:
     return data if isinstance(data, list) else []
 
 
+def fingerprint(items: list[Any], id_key: str) -> str:
+    """The ids of a page's records in order; of records without ids all they hold."""
+    marks = [str(x[id_key]) if isinstance(x, dict) and x.get(id_key) is not None else json.dumps(x, sort_keys=True) for x in items]
+    return json.dumps(sorted(marks))
+
+
 def pages(url: str, fetch: Fetch, paging: Paging, body: str | None = None) -> Iterator[tuple[int, str, bool]]:
     """(page, body, was it the last that may be asked for)."""
     seen: set[str] = set()
-    got = 0
+    got, empty, token = 0, 0, ""
+    wanted = {mark for mark in ("{page}", "{offset}", "{token}") if mark in url + (body or "")}
     for n in count() if paging.max_pages is None else range(paging.max_pages):
-        put = lambda text: text.replace("{page}", str(paging.first + n)).replace("{offset}", str(n * paging.size))
+        put = lambda text: text.replace("{page}", str(paging.first + n)).replace("{offset}", str(n * paging.size)).replace("{token}", token)  # noqa: E731, B023
         answer = fetch(put(url)) if body is None else fetch(put(url), put(body))
         items = _items(answer, paging.items_key)
-        mark = json.dumps(items, sort_keys=True)
-        if not items or mark in seen:
+        if not items:
+            empty += 1
+            if empty >= paging.empty_pages or not wanted or "{token}" in wanted:
+                return
+            continue
+        empty, mark = 0, fingerprint(items, paging.id_key)
+        if mark in seen:
             return
         seen.add(mark)
         got += len(items)
         yield n, answer, paging.max_pages is not None and n == paging.max_pages - 1
         state = json.loads(answer)
         state = state if isinstance(state, dict) else {}
-        single = not any(mark in url + (body or "") for mark in ("{page}", "{offset}"))
-        if single or (paging.more_key and not state.get(paging.more_key)) or (paging.total_key and got >= int(state.get(paging.total_key) or 0)) or (paging.size and len(items) < paging.size):
+        token = str(state.get(paging.token_key or "") or "")
+        if not wanted or ("{token}" in wanted and not token) or (paging.more_key and not state.get(paging.more_key)) or (paging.total_key and got >= int(state.get(paging.total_key) or 0)) or (paging.size and len(items) < paging.size):
             return
 
 
@@ -79,3 +105,116 @@ def fetched(requests: DataFrame, fetch: Fetch, paging: Paging = Paging(), url_co
 
     schema = T.StructType(list(requests.schema.fields)).add("page", T.IntegerType()).add("answer" if body_col == "body" else "body", T.StringType()).add("cut", T.BooleanType())
     return requests.mapInArrow(run, schema)
+
+
+def followed(requests: DataFrame, answers: DataFrame, paging: Paging = Paging(), keys: tuple[str, ...] = ("request",)) -> DataFrame:
+    """(keys, page, url, body, n): every page of requests (keys, url) that landed answers (url, body) hold.
+
+    A round joins the pages that are asked for with the answers and finds what follows, by the rules of :class:`Paging`
+    (``max_pages`` cuts, ``empty_pages`` isn't used: an empty or missing answer ends a request). Rounds are written tables, as
+    many as the longest request has pages.
+    """
+    work, key = WorkTables(requests.sparkSession), list(keys)
+    asked = requests.select(*key, F.col("url").alias("_template"), F.lit(0).alias("page"), F.lit("").alias("_token"), F.lit(0).cast("long").alias("_got"))
+    put = lambda text: F.replace(F.replace(F.replace(text, F.lit("{page}"), (F.col("page") + paging.first).cast("string")), F.lit("{offset}"), (F.col("page") * paging.size).cast("string")), F.lit("{token}"), F.col("_token"))
+    rounds: list[DataFrame] = []
+    while paging.max_pages is None or len(rounds) < paging.max_pages:
+        met = asked.withColumn("url", put(F.col("_template"))).join(answers.select("url", "body"), "url")
+        met = met.withColumn("_items", records.record_array(F.col("body"), paging.items_key)).where(F.size("_items") > 0)
+        ids = F.array_sort(F.transform("_items", lambda r: F.coalesce(records.value(r, paging.id_key), r)))
+        met = met.withColumns({"n": F.size("_items").cast("long"), "_mark": F.sha2(F.to_json(ids).cast("binary"), 256)})
+        value = lambda name: records.value(F.col("body"), name)
+        more = F.col("_template").rlike(r"\{(page|offset|token)\}")
+        if paging.token_key:
+            more = more & (F.coalesce(value(paging.token_key), F.lit("")) != "")
+        if paging.more_key:
+            more = more & F.coalesce(value(paging.more_key), F.lit("")).isin("true", "1")
+        if paging.total_key:
+            more = more & (F.col("_got") + F.col("n") < F.coalesce(value(paging.total_key).try_cast("long"), F.lit(0)))
+        if paging.size:
+            more = more & (F.col("n") >= paging.size)
+        met = met.withColumns({"_more": more, "_next": F.coalesce(value(paging.token_key), F.lit("")) if paging.token_key else F.lit("")}).drop("_items")
+        for earlier in rounds:
+            met = met.join(earlier.select(*key, "_mark"), [*key, "_mark"], "left_anti")
+        found = work.written(met, "pages")
+        if found.isEmpty():
+            break
+        rounds.append(found)
+        asked = found.where("_more").select(*key, "_template", (F.col("page") + 1).alias("page"), F.col("_next").alias("_token"), (F.col("_got") + F.col("n")).alias("_got"))
+    columns = [*key, "page", "url", "body", "n"]
+    if rounds:
+        out = reduce(DataFrame.unionByName, [r.select(*columns) for r in rounds])
+    else:
+        out = asked.join(answers.select("url", "body"), F.lit(False)).select(*key, "page", "url", "body", F.col("_got").alias("n"))
+    out = written(out, "followed")
+    work.drop()
+    return out
+
+
+def dependent(catalog: DataFrame, answers: DataFrame, template: str, id_key: str = "id", items_key: str | None = None, paging: Paging = Paging()) -> DataFrame:
+    """Pages of the requests that another answer lists: one for each record of ``catalog`` (body), by ``template`` with {id}."""
+    listed = catalog.select(F.explode(records.record_array(F.col("body"), items_key)).alias("record")).select(records.value(F.col("record"), id_key).alias("request")).where("request IS NOT NULL").distinct()
+    return followed(listed.withColumn("url", F.replace(F.lit(template), F.lit("{id}"), F.col("request"))), answers, paging)
+
+
+class _Request(InputPartition):
+    def __init__(self, at: int, request: str) -> None:
+        super().__init__(at)
+        self.at, self.request = at, request
+
+
+def paged_source(name: str, fetch: Fetch, paging: Paging = Paging()) -> type[DataSource]:
+    """A data source to register with ``spark.dataSource``: each partition is one request, followed page after page.
+
+    Option ``requests``: a JSON list of URLs. Rows: (at, url, page, body, cut). As a stream, a batch takes ``step`` requests
+    (option, 100 if unset); its offset is how many have been taken, so that with a checkpoint a stopped run goes on there.
+    """
+
+    def read(partition: _Request) -> Iterator[tuple]:
+        for page, body, cut in pages(partition.request, fetch, paging):
+            yield partition.at, partition.request, page, body, cut
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict) -> None:
+            self.requests = json.loads(options["requests"])
+
+        def partitions(self) -> list[InputPartition]:
+            return [_Request(k, url) for k, url in enumerate(self.requests)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return read(partition)
+
+    class StreamReader(DataSourceStreamReader):
+        def __init__(self, options: dict) -> None:
+            self.requests, self.step, self.asked = json.loads(options["requests"]), int(options.get("step", "100")), None
+
+        def initialOffset(self) -> dict:
+            return {"taken": 0}
+
+        def latestOffset(self) -> dict:
+            taken = 0 if self.asked is None else self.asked
+            self.asked = min(len(self.requests), taken + self.step)
+            return {"taken": self.asked}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            self.asked = max(self.asked or 0, end["taken"])
+            return [_Request(k, self.requests[k]) for k in range(start["taken"], end["taken"])]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return read(partition)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "at int, url string, page int, body string, cut boolean"
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return Reader(self.options)
+
+        def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+            return StreamReader(self.options)
+
+    return Source
