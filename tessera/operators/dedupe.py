@@ -22,14 +22,15 @@ TILE = 5000
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in order; rows with a blank part of the key all stay.
+    """The first row of each key in order (ascending); rows with a blank part of the key all stay.
 
-    Rows with a blank part don't meet in one window: only complete keys are partitioned.
+    Each task keeps its own first row of a key before they meet, so a key that many rows have isn't gathered in one place.
     """
     cols = {f"_k{n}": F.trim(k.cast("string")) for n, k in enumerate(keys)}
     keyed = df.withColumns(cols)
     whole = reduce(lambda a, b: a & b, [~X.blank(F.col(c)) for c in cols], F.lit(True))
-    first = keyed.where(whole).withColumn("_n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where("_n = 1").drop("_n")
+    row = F.struct(*[F.col(f"`{c}`") for c in keyed.columns])
+    first = keyed.where(whole).groupBy(*[F.col(c).alias(f"_g{c}") for c in cols]).agg(F.min_by(row, F.struct(*[o.alias(f"o{n}") for n, o in enumerate(order)])).alias("_row")).select("_row.*")
     return first.unionByName(keyed.where(~whole)).drop(*cols)
 
 
@@ -70,8 +71,17 @@ def rank_key() -> list[Column]:
     return [F.desc("is_premium"), F.size(B.tokens(F.col("brands"))).desc(), F.length(F.trim("name")).desc(), F.desc("updated_at"), F.asc("handle")]
 
 
+def rank_struct() -> Column:
+    """The order of :func:`rank_key` as one value, the best one being the least."""
+    down = lambda v: (v.isNull(), -v)
+    parts = [*down(F.col("is_premium").cast("int")), *down(F.size(B.tokens(F.col("brands")))), *down(F.length(F.trim("name"))), *down(F.unix_micros(F.col("updated_at").cast("timestamp"))), F.col("handle")]
+    return F.struct(*[p.alias(f"r{n}") for n, p in enumerate(parts)])
+
+
 def survivors(df: DataFrame, group: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*rank_key()))).where("_r = 1").drop("_r")
+    """The best row of each group, by partial aggregates."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(F.col(group).alias("_g")).agg(F.min_by(row, rank_struct()).alias("_row")).select("_row.*")
 
 
 def with_keys(df: DataFrame) -> DataFrame:

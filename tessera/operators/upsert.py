@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brands as B
@@ -116,7 +116,8 @@ def matched(updates: DataFrame, places: DataFrame) -> DataFrame:
 def inserted(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
     """The table with the rows whose handles it doesn't have; of rows with one handle the first in order."""
     fresh = incoming.join(existing.select("handle"), "handle", "left_anti")
-    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("handle").orderBy(order))).where("_n = 1").drop("_n")
+    row = F.struct(*[F.col(f"`{c}`") for c in fresh.columns])
+    first = fresh.groupBy(F.col("handle").alias("_h")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return existing.unionByName(first.select(*existing.columns))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brands as B
@@ -13,7 +13,7 @@ from ..functions import geo, records
 from ..functions import text as X
 from ..functions.country import normalized_country
 from ..functions.generate import grid
-from ..operators import analytics, audits, dedupe, joins, ranking, reads, similarity, upsert, validation
+from ..operators import analytics, audits, dedupe, joins, ranking, reads, similarity, upsert, validation, verification
 from . import cases
 from .places import NOW, places
 from .places import sql as places_sql
@@ -340,6 +340,32 @@ def merged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.merged(p, dedupe.merge_plans(p)).select("handle", "name", "brands", "is_premium")
 
 
+def _geocodes(p: DataFrame, shift: Column) -> verification.Geocode:
+    """A geocoder of landed answers: the least latitude of an address, shifted; none for addresses in every fifth city."""
+    known = p.groupBy(verification.stamp().alias("stamp"), "city").agg((F.min("lat") + shift).alias("new_lat"), F.min("lon").alias("new_lon")).where("city NOT LIKE '%0' AND city NOT LIKE '%5'").drop("city")
+    return lambda asked: asked.select("stamp").join(known, "stamp")
+
+
+_STAMPED = "st AS (SELECT *, substr(handle, 2) :: INT AS k, lower(trim(line1)) || '|' || lower(city) || '|' || coalesce(lower(country), '') AS stamp FROM places), codes AS (SELECT stamp, min(lat) + 0.0015 :: DOUBLE * (count(*) % 2 + 1) AS new_lat, min(lon) AS new_lon FROM st WHERE NOT regexp_matches(city, '[05]$') GROUP BY 1)"
+
+
+@query(f", {_STAMPED} SELECT handle, CASE WHEN new_lat IS NULL THEN 'no_geocode' WHEN far > 225 THEN 'replace' ELSE 'keep' END AS decision, CASE WHEN new_lat IS NOT NULL THEN CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END END :: INT AS run, round(CASE WHEN far > 225 THEN new_lat ELSE lat END, 6) AS lat FROM (SELECT q.handle, k, q.lat, new_lat, {_meters('q', 'n')} AS far FROM st q LEFT JOIN (SELECT stamp, new_lat, new_lat AS lat, new_lon AS lon FROM codes) n USING (stamp))")
+def verified_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a third of the places, then one over all of them, which asks for the other two thirds only."""
+    p, path = places(spark, sf_dir), new_path(spark, "ledger")
+    geocode = _geocodes(p, 0.0015 * (F.count(F.lit(1)) % 2 + 1))
+    verification.verify(p.where("cast(substring(handle, 2) as int) % 3 = 0"), geocode, path)
+    verification.verify(p, geocode, path)
+    return verification.applied(p, verification.read_ledger(p, path)).select("handle", "decision", "run", F.round("lat", 6).alias("lat"))
+
+
+@query(f", {MERGES} SELECT 0 :: BIGINT AS n_updated, count(*) FILTER (NOT regexp_matches(city, '[05]$')) :: BIGINT AS n_confirmed, count(*) FILTER (regexp_matches(city, '[05]$')) :: BIGINT AS n_failed, (SELECT count(*) - count(DISTINCT plan) FROM plans) :: BIGINT AS n_merged, (count(*) - (SELECT count(*) - count(DISTINCT plan) FROM plans)) :: BIGINT AS n_remaining FROM places")
+def verify_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of a brand verified, none of them moved by more than the drift, and merged among themselves."""
+    p = places(spark, sf_dir)
+    return verification.verify_and_merge(p, F.contains(F.lower("brands"), F.lit("brand")), _geocodes(p, F.lit(0.0001)), new_path(spark, "ledger"))[1]
+
+
 #: One key holds the other (of eight characters or more), and not just by digits that go on.
 _HOLDS = "(length(p.{0}) >= 8 AND length(q.{0}) >= 8 AND (contains(p.{0}, q.{0}) OR contains(q.{0}, p.{0})))"
 

@@ -20,9 +20,9 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 
-def csv_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file, header): the first line of each file, by partial aggregates over the files' first blocks."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+def csv_headers(spark: SparkSession, path: str, names: str = "*.csv") -> DataFrame:
+    """(path, file, header): the first line of each of a folder's files, by partial aggregates over the files' first blocks."""
+    lines = spark.read.option("pathGlobFilter", names).text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
     return lines.where("_start = 0").groupBy("path", "file").agg(F.min_by("value", "_at").alias("header"))
 
 
@@ -32,10 +32,10 @@ def header_names(header: str) -> list[str]:
     return [name.strip() for name in found]
 
 
-def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[tuple[str, str]]]:
+def _by_header(spark: SparkSession, path: str, names: str) -> dict[tuple[str, ...], list[tuple[str, str]]]:
     """Files (path, name) by their header's names. One short row a file reaches the driver, as for any listing of files."""
     out: dict[tuple[str, ...], list[tuple[str, str]]] = {}
-    for row in csv_headers(spark, path).orderBy("path").toLocalIterator():
+    for row in csv_headers(spark, path, names).orderBy("path").toLocalIterator():
         out.setdefault(tuple(header_names(row["header"])), []).append((row["path"], row["file"]))
     return out
 
@@ -47,7 +47,7 @@ def csv_directory(spark: SparkSession, path: str, names: str = "*.csv") -> DataF
     header repeats the last column counts. A folder without files has the file's name as its only column and no rows.
     """
     parts = []
-    for header, files in _by_header(spark, f"{path}/{names}").items():
+    for header, files in _by_header(spark, path, names).items():
         kept = [n not in header[k + 1 :] and n != "" for k, n in enumerate(header)]
         schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(header))])
         rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True).csv([p for p, _ in files])
@@ -59,7 +59,7 @@ def csv_directory(spark: SparkSession, path: str, names: str = "*.csv") -> DataF
 
 def header_faults(spark: SparkSession, path: str, known: tuple[str, ...], names: str = "*.csv") -> DataFrame:
     """(file, severity, issue) of every file's header: repeated and missing names are errors, unknown ones warnings."""
-    faults = [(file, *fault) for header, files in _by_header(spark, f"{path}/{names}").items() for fault in header_issues(list(header), known) for _, file in files]
+    faults = [(file, *fault) for header, files in _by_header(spark, path, names).items() for fault in header_issues(list(header), known) for _, file in files]
     return spark.createDataFrame(faults, "file string, severity string, issue string")
 
 
