@@ -420,6 +420,22 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upserted(p, _incoming(p))
 
 
+def bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as a stream of several files, into a table of 16 buckets."""
+    from ..sources import buckets
+    from ..streaming import events as S
+
+    folder, p = new_path(spark, "buckets"), places(spark, sf_dir)
+    changes = _incoming(p)
+    changes.repartition(3).write.parquet(f"{folder}/changes")
+    buckets.create(p, f"{folder}/places", "handle", 16)
+    S.upsert_buckets(S.stream(spark, f"{folder}/changes", changes.schema, 1), f"{folder}/places", f"{folder}/checkpoint").awaitTermination()
+    return buckets.read(spark, f"{folder}/places")
+
+
+QUERIES["bucketed_upserts"], ORACLE_SQL["bucketed_upserts"] = bucketed_upserts, ORACLE_SQL["upsert_snapshot"]
+
+
 @query(f"SELECT before, after, count(*) :: BIGINT AS n FROM (SELECT country_raw AS before, {COUNTRY} AS after FROM places) WHERE before <> after GROUP BY 1, 2 ORDER BY n DESC, before, after LIMIT 20")
 def country_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir)
@@ -565,6 +581,46 @@ def stream_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.latest(spark, S.store_counts(source), "store", new_path(spark, "stores"))
 
 
+def stream_retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest stores from a stream of several files, one a batch."""
+    from ..streaming import events as S
+
+    folder, source = new_path(spark, "retailers"), events(spark, sf_dir)
+    source.repartition(4).write.parquet(f"{folder}/events")
+    stats = S.store_stats(S.stream(spark, f"{folder}/events", source.schema, 1), {"taps": "click", "views": "view", "calls": "signup", "directions": "purchase"})
+    return S.latest(spark, stats, "store", folder).orderBy(F.desc("taps"), "store").limit(50)
+
+
+QUERIES["stream_retailers"], ORACLE_SQL["stream_retailers"] = stream_retailers, ORACLE_SQL["ana_retailers"]
+
+
+_SENT_EVENTS = "SELECT event_id // 120 AS r, CASE WHEN (event_id // 120) % 5 <> 1 OR event_type <> 'error' THEN event_type END AS event, user_id FROM events WHERE (event_id // 120) % 3 = 0 OR event_id % 120 < 100"
+
+
+@query(f"""WITH sent AS ({_SENT_EVENTS}), judged AS (SELECT r, CASE WHEN count(*) > 100 THEN 'Maximum 100 events per batch' WHEN count(event) < count(*) THEN 'Each event must have an "event" string field' END AS reason FROM sent GROUP BY r)
+SELECT reason, CASE WHEN reason IS NULL THEN event END AS event, count(DISTINCT r) :: BIGINT AS n_requests, CASE WHEN reason IS NULL THEN count(*) :: BIGINT END AS n_events, CASE WHEN reason IS NULL THEN count(DISTINCT user_id) :: BIGINT END AS n_sessions FROM sent JOIN judged USING (r) GROUP BY reason, 2""", False)
+def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of up to 120 events, all sent twice, and what became of them."""
+    from ..sources import buckets
+    from ..streaming import events as S
+    from ..streaming import ingest
+
+    folder = new_path(spark, "ingest")
+    r = F.expr("event_id div 120")
+    name = F.when((r % 5 != 1) | (F.col("event_type") != "error"), F.col("event_type"))
+    sent = table(spark, sf_dir, "events").where((r % 3 == 0) | (F.col("event_id") % 120 < 100))
+    one = F.struct(name.alias("event"), F.col("user_id").cast("string").alias("sessionId"), F.struct("value").alias("properties"))
+    bodies = sent.groupBy(r.cast("string").alias("request_id")).agg(F.to_json(F.struct(F.collect_list(one).alias("events"))).alias("body"))
+    for _ in range(2):
+        bodies.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    buckets.create(spark.createDataFrame([], ingest.STORED), f"{folder}/events", "request_id", 8)
+    ingest.ingest(S.stream(spark, f"{folder}/landed", bodies.schema, 1), folder, f"{folder}/checkpoint").awaitTermination()
+    long = lambda c: c.cast("long")
+    stored = buckets.read(spark, f"{folder}/events").groupBy("event").agg(long(F.countDistinct("request_id")).alias("n_requests"), long(F.count(F.lit(1))).alias("n_events"), long(F.countDistinct("session_id")).alias("n_sessions"))
+    refused = spark.read.schema("request_id string, reason string").parquet(f"{folder}/refused/*").groupBy("reason").agg(long(F.countDistinct("request_id")).alias("n_requests"))
+    return stored.withColumn("reason", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+
 # Functions, each over texts of every customer
 
 for _name in cases.CASES:
