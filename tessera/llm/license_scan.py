@@ -8,6 +8,10 @@ stops become one blank, no blanks or full stops at the ends. Known normalised se
 matched against ordered rules: a rule that finds its sequence of neighbours gives its licence and uses these up, so later
 (more general) rules don't see them. One row for each input row, no shuffle.
 
+Before that, names that vary are made alike: whoever's name isn't to endorse a product (up to 200 characters), whatever program
+"is free software" (up to 60 characters on its line). A tag with an expression (OR, AND, WITH, +, brackets) is a tag for each licence in it;
+exceptions aren't told. That all rights are reserved, where it follows a copyright on its line or the line before, counts only if no licence is found.
+
 Defined results: a null or empty text has no identifiers and no licences (empty strings, zeros); a licence is named once
 however often its rule applies, in the order of rules; repeated rows and equal texts get equal results; a very long text
 is scanned whole, in time in proportion to its length; an empty table gives no rows; other columns are ignored, whatever
@@ -45,10 +49,11 @@ SENTENCES = {
     "cc-by-sa-ref": "licensed under cc by sa 4.0",
     "cc-by-ref": "licensed under cc by 4.0",
     "rights": "all rights reserved",
+    "rights-notice": "all rights reserved beside copyright",
     "gpl2-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
-    "lgpl21-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
-    "lgpl3-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl-warranty": "see the gnu lesser general public license for more details",
     "agpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "agpl-warranty": "see the gnu affero general public license for more details",
@@ -66,8 +71,11 @@ SENTENCES = {
     "spdx-gpl3": "spdx license identifier gpl 3.0 or later",
 }
 #: Other identifiers that a tag may name; their sentences follow from them.
-TAGGED = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
+TAGGED = ("0BSD", "BSL-1.0", "BSD-4-Clause", "CC-BY-NC-4.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
 SENTENCES |= {f"spdx-{name.lower()}": "spdx license identifier " + name.lower().replace("-", " ") for name in TAGGED}
+#: Older identifiers of tags that name no choice of versions.
+BARE = ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+SENTENCES |= {f"spdx-{name.lower()}": "spdx license identifier " + name.lower().replace("-", " ") for name in BARE}
 #: Ordered rules, licence and sequence of identifiers.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy")),
@@ -110,11 +118,23 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     *[(name, (f"spdx-{name.lower()}",)) for name in TAGGED],
+    *[(f"{name}-only", (f"spdx-{name.lower()}",)) for name in BARE],
     ("Proprietary", ("rights",)),
+    ("Proprietary", ("rights-notice",)),
 )
+#: Sequences that name their licence only where no rule before has found one; they are used up all the same.
+ONLY_ALONE = (("rights-notice",),)
 #: Every known sentence has one of these, so other sentences need no normalising.
 CUES = ("licen", "permission", "redistribut", "warrant", "copyright", "rights reserved", "noninfringement", "unencumbered", "advertising")
 WRAPPED = "\n[ \t#*/;]*([a-z])"
+#: Names that vary are replaced before sentences are looked up: (condition on the lower-case text, pattern, replacement).
+SLOTS = (
+    ("nor the name", r"(?i)neither[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]+of[^a-z0-9][\s\S]{1,200}?[^a-z0-9]nor[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]+of[^a-z0-9]+(?:(?:its|their|the|any)[^a-z0-9]+)?contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("rights reserved", r"(?i)(copyright[^\n]{0,300}(?:\n[^\n]{0,300})?[^a-z0-9])all[^a-z0-9]+rights[^a-z0-9]+reserved", "{1}\n\nall rights reserved beside copyright\n\n"),
+    ("is free software", r"(?i)(?:[^\n.;:]|\.[0-9]){1,60}?[^a-z0-9\n]is[^a-z0-9\n]+free[^a-z0-9\n]+software[^a-z0-9]+you[^a-z0-9]+can[^a-z0-9]+redistribute", " this program is free software you can redistribute"),
+)
+#: Within the line of a tag: older marks of later versions, exceptions and brackets, and what stands between licences.
+TAG, TAG_PARTS = "spdx-license-identifier:", ((r"(?i)(gpl-[0-9.]+)\+", "{1}-or-later"), (r"(?i)[ \t]+with[ \t]+[a-z0-9.-]+", ""), (r"[()]", " "), (r"(?i)[ \t]+(?:or|and)[ \t]+", "\n\nspdx-license-identifier: "))
 #: A tag ends with its line, whatever the next one begins with.
 TAG_LINE = r"((?i)spdx-license-identifier:[^\n]*)\n"
 #: In lower case, hard boundaries become E, and anything else but soft ones (line ends, semicolons) a blank.
@@ -128,6 +148,25 @@ def _known() -> str:
     return "(?:^|[\nE;])[ .]*(" + "|".join(s.replace(".", "\\.").replace(" ", "[ \n;]+") for s in longest) + ")[ .]*(?=$|[\nE;])"
 
 
+def tags_apart(text: Column) -> Column:
+    """A text in which a tag that names several licences is a tag for each."""
+
+    def apart(line: Column) -> Column:
+        out = line
+        for pattern, put in TAG_PARTS:
+            out = F.regexp_replace(out, pattern, put.replace("{1}", "$1"))
+        return F.when(F.contains(F.lower(line), F.lit(TAG)), out).otherwise(line)
+
+    return F.when(F.contains(F.lower(text), F.lit(TAG)), F.array_join(F.transform(F.split(text, "\n"), apart), "\n")).otherwise(text)
+
+
+def named_alike(text: Column) -> Column:
+    """A text in which holders and programs have the names that the known sentences have."""
+    for sign, pattern, put in SLOTS:
+        text = F.when(F.contains(F.lower(text), F.lit(sign)), F.regexp_replace(text, pattern, put.replace("{1}", "$1"))).otherwise(text)
+    return text
+
+
 def _sequence(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -141,8 +180,8 @@ def _cue(text: Column) -> Column:
 
 def found_sentences(text: Column) -> Column:
     """Known sentences in order, normalised."""
-    lines = F.regexp_replace(F.regexp_replace(text, TAG_LINE, "$1\n\n"), WRAPPED, " $1")
-    marked = F.regexp_replace(F.lower(lines), HARD, "E")
+    lines = F.regexp_replace(F.regexp_replace(tags_apart(text), TAG_LINE, "$1\n\n"), WRAPPED, " $1")
+    marked = F.regexp_replace(F.lower(named_alike(lines)), HARD, "E")
     found = F.regexp_extract_all(F.regexp_replace(marked, OTHER, " "), F.lit(_known()), F.lit(1))
     return F.transform(found, lambda s: F.regexp_replace(s, "[ \n;]+", " "))
 
@@ -153,10 +192,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col)
     ids = F.transform(found_sentences(text), lambda s: F.try_element_at(known, s))
     found = F.when(_cue(F.lower(text)), ids).otherwise(F.array().cast("array<string>"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq"), F.lit(seq in ONLY_ALONE).alias("alone")) for name, seq in RULES])
     start = F.struct(F.concat(F.lit(""), F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))).alias("left"), F.array().cast("array<string>").alias("names"))
+    named = lambda acc, rule: F.when(rule["alone"] & (F.size(acc["names"]) > 0), acc["names"]).otherwise(F.concat(acc["names"], F.array(rule["name"])))
     step = lambda acc, rule: F.when(
-        F.contains(acc["left"], rule["seq"]), F.struct(F.replace(acc["left"], rule["seq"], F.lit("#")).alias("left"), F.concat(acc["names"], F.array(rule["name"])).alias("names"))
+        F.contains(acc["left"], rule["seq"]), F.struct(F.replace(acc["left"], rule["seq"], F.lit("#")).alias("left"), named(acc, rule).alias("names"))
     ).otherwise(acc)
     matched = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("ids")).withColumn("m", F.when(F.size("ids") > 0, F.aggregate(rules, start, step)))
     return matched.select(
@@ -178,8 +218,15 @@ def sql() -> str:
     steps = ["s0 AS (SELECT doc_id, ids, coalesce(list_reduce(list_prepend('', list_transform(ids, lambda i: '<' || i || '>')), lambda a, b: a || b), '') AS l, [] :: VARCHAR[] AS names FROM found)"]
     for k, (name, seq) in enumerate(RULES):
         q = _quote(_sequence(seq))
-        steps.append(f"s{k + 1} AS (SELECT doc_id, ids, replace(l, {q}, '#') AS l, CASE WHEN contains(l, {q}) AND NOT list_contains(names, {_quote(name)}) THEN list_append(names, {_quote(name)}) ELSE names END AS names FROM s{k})")
-    return f"""WITH cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(spdx-license-identifier:[^\\n]*)\\n', '\\1' || chr(10) || chr(10), 'g'), '\\n[ \\t#*/;]*([a-z])', ' \\1', 'g'), '[.!?]+[ \\t\\r\\n]+|\\n+') AS parts FROM documents),
+        steps.append(f"s{k + 1} AS (SELECT doc_id, ids, replace(l, {q}, '#') AS l, CASE WHEN contains(l, {q}) AND NOT list_contains(names, {_quote(name)}){" AND len(names) = 0" if seq in ONLY_ALONE else ""} THEN list_append(names, {_quote(name)}) ELSE names END AS names FROM s{k})")
+    line = "l"
+    for pattern, put in TAG_PARTS:
+        line = f"regexp_replace({line}, {_quote(pattern)}, {_quote(put.replace('{1}', chr(92) + '1'))}, 'g')"
+    apart = f"array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: CASE WHEN contains(lower(l), {_quote(TAG)}) THEN {line} ELSE l END), chr(10))"
+    lines = f"regexp_replace(regexp_replace({apart}, '(?i)(spdx-license-identifier:[^\\n]*)\\n', '\\1' || chr(10) || chr(10), 'g'), '\\n[ \\t#*/;]*([a-z])', ' \\1', 'g')"
+    for _, pattern, put in SLOTS:
+        lines = f"regexp_replace({lines}, {_quote(pattern)}, {_quote(put.replace('{1}', chr(92) + '1'))}, 'g')"
+    return f"""WITH cut AS (SELECT doc_id, regexp_split_to_array({lines}, '[.!?]+[ \\t\\r\\n]+|\\n+') AS parts FROM documents),
 found AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), ' .')]), lambda i: i IS NOT NULL) AS ids FROM cut),
 {", ".join(steps)}
 SELECT doc_id, len(ids) :: BIGINT AS n_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(names, ' ') AS licenses,

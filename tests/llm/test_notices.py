@@ -137,3 +137,53 @@ def test_tags_before_code(spark):
     texts = [(n, f"// SPDX-License-Identifier: {name}\n#include <x>\nint main() {{ return 0; }}\n") for n, name in enumerate(names)]
     rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.licenses for r in rows] == names
+
+
+HOLDERS = ("Google Inc.", "the University of California, Berkeley", "The Regents;\n   of X v. 2. Foo")
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_holders_and_programs(spark, prefix):
+    """Whoever the holder and whatever the program: the same licence, no other."""
+    cases = []
+    for holder in HOLDERS:
+        head = f"Copyright (c) 2020 {holder}. All rights reserved.\n\n"
+        cases += [("BSD-3-Clause", head + BSD.replace("the copyright holder nor", f"{holder} nor")), ("BSD-4-Clause", head + MORE["BSD-4-Clause"].replace("the copyright holder nor", f"{holder} nor")), ("BSD-2-Clause", head + MORE["BSD-2-Clause"]), ("MIT", head + MIT)]
+    for program in ("Foo", "GNU Foo 2.1", "This file, like all of Foo,"):
+        of = lambda text, p=program: f"This file is part of Foo.\n\n{text.replace('This program is free', p + ' is free').replace('This library is free', p + ' is free')}"
+        cases += [(name, of(text)) for name, text in (("GPL-3.0-or-later", GPL), ("LGPL-2.1-or-later", LGPL), ("GPL-2.0-or-later", MORE["GPL-2.0-or-later"]), ("AGPL-3.0-or-later", MORE["AGPL-3.0-or-later"]))]
+    texts = [(n, "".join(f"{prefix}{line}".rstrip() + "\n" for line in text.split("\n"))) for n, (_, text) in enumerate(cases)]
+    rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.licenses, r.n_unmatched) for r in rows] == [(n, name, 0) for n, (name, _) in enumerate(cases)]
+
+
+def test_tag_expressions(spark):
+    cases = {
+        "GPL-2.0-only OR MIT": "MIT GPL-2.0-only", "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "Apache-2.0 WITH LLVM-exception": "Apache-2.0", "(MIT or Apache-2.0) AND BSD-4-Clause": "Apache-2.0 MIT BSD-4-Clause",
+        "MIT OR (ISC AND (0BSD OR LGPL-2.1+))": "MIT 0BSD ISC LGPL-2.1-or-later", "MIT": "MIT", "Unknown-1.0 OR MIT": "MIT",
+    }
+    texts = [(n, f"/* SPDX-License-Identifier: {tag} */\nint a = b or c;\n// this or that\n") for n, tag in enumerate(cases)]
+    rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == list(cases.values())
+
+
+def test_rights_of_a_copyright_line(spark):
+    """A copyright line's reserved rights say nothing where a licence is given; a statement of its own does."""
+    line = "Copyright (c) 2020 Jane Doe. All rights reserved."
+    cases = {line: ("Proprietary", 0), "(C) Copyright Jane\n * All Rights Reserved\n": ("Proprietary", 0), f"{line}\nReleased under the MIT License.": ("MIT", 0), f"Released under the MIT License. {line}": ("MIT", 0), "All rights reserved. Licensed under CC BY-NC 4.0.": ("CC-BY-NC-4.0 Proprietary", 0)}
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.n_unmatched) for r in rows] == list(cases.values())
+
+
+def test_sql_reads_names_and_tags_alike(spark):
+    """The SQL gives the same rows for notices on one line, any holder and program, and tags with expressions."""
+    import duckdb
+
+    one = lambda text: " ".join(text.split())
+    bodies = [one(BSD.replace("the copyright holder nor", "Google Inc. nor")).replace("3. Neither", "\nNeither").replace("2. Red", "\nRed").replace("1. Red", "\nRed"), one(GPL.replace("This program is", "GNU Foo 2.1 is")), "x\n// SPDX-License-Identifier: (GPL-2.0+ OR MIT) AND ISC\ny or z", "Copyright 2020 Jane Doe. All rights reserved.\nReleased under the MIT License.", "All rights reserved.", "", None]
+    rows = list(enumerate(bodies))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.sql(license_scan.sql()).order("doc_id").fetchall()
