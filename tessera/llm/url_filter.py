@@ -2,10 +2,11 @@
 
 The list's URLs set bits in a blocked Bloom filter: a hash picks a block of 512 bits (eight longs), a second hash one bit
 in each long. The filter is a DataFrame of at most ``n_blocks`` rows (about 90 bytes each), a number that follows the
-list's size up to a bound, so it may be broadcast; a list beyond the bound gets no filter, and all URLs without a rule go
-to the join. URLs that miss a bit are certainly not listed; only possible hits go to an exact hash join with the list.
-Equal hits are counted first, and a URL with more than HEAVY different ones is salted, in the list as well. Hits that the
-join doesn't confirm are false positives of the filter.
+list's size. Up to a bound (25 MB) it is broadcast; beyond it equal rows are counted and meet the filter by block in a shuffle of both. URLs that
+miss a bit are certainly not listed; only possible hits go to an exact hash join with the list. Equal hits are counted
+first. A URL with more than HEAVY different ones is salted, in the list as well, and so is a block of the filter with
+more rows. Hits that the join doesn't confirm are false positives of the filter. URLs are parsed once, and so is the list:
+both are written to the shared folder.
 
 Defined results: a null or empty URL or one without ``://`` has an empty host and path, no rule, and isn't listed (allow);
 a very long URL is judged whole; repeated rows (also with null ids) keep their number; of rules that fit the longest wins;
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import repeated
+from .common import repeated, written
 
 WORDS = 8
 #: Different rows with one URL that a task takes in the join.
@@ -35,9 +36,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Bloom:
-    """``n_blocks``: rows of the filter at most (2**15 rows are 3 MB). With 0 blocks every row is a possible hit."""
+    """``n_blocks``: rows of the filter at most (2**15 rows are 3 MB). With 0 blocks every row is a possible hit.
+
+    A filter that isn't ``small`` isn't broadcast; its rows are joined by a shuffle.
+    """
 
     n_blocks: int = 1 << 15
+    small: bool = True
+
+    @classmethod
+    def of(cls, n_keys: int, most: int = 1 << 18) -> Bloom:
+        """A filter for any number of keys, which is broadcast up to ``most`` blocks; for narrow rows, which may move."""
+        blocks = max(64, 1 << (n_keys // 32).bit_length())
+        return cls(blocks, blocks <= most)
 
     @classmethod
     def sized(cls, n_keys: int, most: int = 1 << 18) -> Bloom:
@@ -62,8 +73,9 @@ class Bloom:
         masks = keys.where(F.col(key).isNotNull()).select(self._block(F.col(key)).alias("block"), *[self._mask(F.col(key), k).alias(f"m{k}") for k in range(WORDS)])
         return masks.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(WORDS)])
 
-    def flagged(self, rows: DataFrame, bloom: DataFrame, key: str, flag: str) -> DataFrame:
-        """``rows`` with a boolean: might the key be one of the filter's? (False for null.)"""
+    def flagged(self, rows: DataFrame, bloom: DataFrame, key: str, flag: str, heavy: int = HEAVY) -> DataFrame:
+        """``rows`` with a boolean: might the key be one of the filter's? (False for null.) Blocks with more than ``heavy``
+        rows are salted where rows move."""
         if not self.n_blocks:
             return rows.withColumn(flag, F.col(key).isNotNull())
         hit = F.col("_bloom_0").isNotNull() & F.col(key).isNotNull()
@@ -71,12 +83,23 @@ class Bloom:
             mask = self._mask(F.col(key), k)
             hit = hit & (F.col(f"_bloom_{k}").bitwiseAND(mask) == mask)
         words = bloom.select(F.col("block").alias("_bloom_block"), *[F.col(f"w{k}").alias(f"_bloom_{k}") for k in range(WORDS)])
-        joined = rows.join(F.broadcast(words), self._block(F.col(key)) == F.col("_bloom_block"), "left")
+        placed = rows.withColumn("_bloom_block", self._block(F.col(key)))
+        joined = placed.join(F.broadcast(words), "_bloom_block", "left") if self.small else salted_join(placed, words, "_bloom_block", rows.columns, heavy)
         return joined.select(*[F.col(c) for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
 
 
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: list[str], heavy: int) -> DataFrame:
+    """A left join in which a key with more than ``heavy`` rows is spread over salts by the columns ``spread``."""
+    hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("_salts")).where(f"_salts > 1 AND {key} IS NOT NULL")
+    salts = F.coalesce("_salts", F.lit(1))
+    copies = side.join(hot, key, "left").select(*side.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    placed = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    return placed.join(copies.hint("shuffle_hash"), [key, "_salt"], "left").drop("_salt")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url")))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -102,21 +125,25 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> D
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, bloom: Bloom | None = None, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", heavy: int = HEAVY) -> DataFrame:
-    """page_id, host, path, rule, verdict. ``listed`` has a column ``canonical``; without ``bloom`` its size gives the filter's."""
+    """page_id, host, path, rule, verdict. ``listed`` has a column ``canonical``; without ``bloom`` its size gives the filter's.
+
+    URLs with a rule or without a host need no filter.
+    """
     columns = ["page_id", "host", "path", "rule"]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = parsed(pages, id_col, url_col).withColumns({"rule": rule, "said": verdict})
-    keys = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    bloom = bloom or Bloom.sized(keys.count())
-    flagged = bloom.flagged(rows, bloom.build(keys, "canonical"), "canonical", "maybe")
-    open_hit = F.col("said").isNull() & F.col("maybe")
-    settled = flagged.where(~open_hit).select(*columns, F.coalesce("said", F.lit("allow")).alias("verdict"))
-    hits = flagged.where(open_hit).groupBy(*columns, "canonical").agg(F.count(F.lit(1)).alias("n"))
-    hot = hits.groupBy("canonical").agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("salts")).where("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
-    salted = keys.join(hot, "canonical", "left").select("canonical", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("in_list"))
-    placed = hits.join(hot, "canonical", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), salts).cast("int"))
-    found = placed.join(salted.hint("shuffle_hash"), ["canonical", "salt"], "left").select(*columns, F.when(F.col("in_list"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), "n")
+    rows = written(parsed(pages, id_col, url_col).withColumns({"rule": rule, "said": verdict}), "urls")
+    keys = written(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "listed")
+    bloom = bloom or Bloom.of(keys.count())
+    is_open = F.col("said").isNull() & F.col("canonical").isNotNull()
+    counted = lambda df: df.groupBy(*columns, "canonical").agg(F.sum("n").alias("n"))
+    undecided = rows.where(is_open).select(*columns, "canonical", F.lit(1).cast("long").alias("n"))
+    flagged = bloom.flagged(undecided if bloom.small else counted(undecided), bloom.build(keys, "canonical"), "canonical", "maybe", heavy)
+    ruled = rows.where(~is_open).select(*columns, F.coalesce("said", F.lit("allow")).alias("verdict"))
+    passed = flagged.where("NOT maybe").select(*columns, F.lit("allow").alias("verdict"), "n")
+    settled = ruled.unionByName(passed.drop("n") if bloom.small else repeated(passed, "n"))
+    hits = counted(flagged.where("maybe")) if bloom.small else flagged.where("maybe")
+    joined = salted_join(hits, keys.withColumn("in_list", F.lit(True)), "canonical", columns[:3], heavy)
+    found = joined.select(*columns, F.when(F.col("in_list"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), "n")
     return settled.unionByName(repeated(found, "n"))
 
 

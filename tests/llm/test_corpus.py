@@ -198,7 +198,7 @@ def test_url_filter(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, canonical string")
     listed = spark.createDataFrame([("spam-farm.org/a",), ("spam-farm.org/a",), (None,), ("q.org",), ("long.org/" + "x/" * 49_999 + "x",)], "canonical string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, listed, url_filter.Bloom(4)).collect()}
-    for bloom in (None, url_filter.Bloom(0)):  # a filter by the list's size, none at all; URLs in many rows, salted
+    for bloom in (None, url_filter.Bloom(0), url_filter.Bloom(4, small=False), url_filter.Bloom.of(5, most=1)):  # by the list's size, none at all, not broadcast; URLs in many rows, salted
         many = spark.createDataFrame(rows + rows[5:7] * 40 + [(None, *rows[5][1:])] * 30 + [(100 + k, *rows[6][1:]) for k in range(50)], pages.schema)
         found = Counter(tuple(r) for r in url_filter.url_filter(many, listed, bloom, heavy=3).collect())
         assert found == Counter({(k, *v): 1 + 40 * (k in (5, 6)) for k, v in got.items()}) + Counter({(None, *got[5]): 30}) + Counter({(100 + k, *got[6]): 1 for k in range(50)})
@@ -213,6 +213,16 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, listed.limit(0)).where("rule IS NULL").collect()} == {"allow"}
 
 
+def test_large_filters_are_joined(spark):
+    """A filter beyond the bound flags the same keys, in hot blocks too, and isn't broadcast."""
+    keys = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("key"))
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise(F.col("id").cast("string")).alias("key"))
+    small, large = url_filter.Bloom.of(2000), url_filter.Bloom.of(2000, most=32)
+    assert small.small and not large.small and small.n_blocks == large.n_blocks == url_filter.Bloom.sized(2000).n_blocks
+    flagged = large.flagged(rows, large.build(keys, "key"), "key", "hit", heavy=100)
+    assert sorted(flagged.collect()) == sorted(small.flagged(rows, small.build(keys, "key"), "key", "hit").collect())
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("key"))
     bloom = url_filter.Bloom(128)
