@@ -9,8 +9,8 @@ from ..functions import geo, html, records
 from ..functions import text as X
 from ..functions.country import normalized_country
 from ..functions.generate import focused_grid, prefixes, viewport_url
-from ..operators import audits, dedupe, inference, joins, reads, upsert, validation
-from ..sources import fanout, files, sinks
+from ..operators import audits, dedupe, inference, joins, reads, runs, upsert, validation
+from ..sources import fanout, files, manual, sinks
 from .places import places
 from .queries import COUNTRY, KEYED, MERGES, _meters, query, table
 from .work import new_path, written
@@ -458,6 +458,69 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# Uploads, jobs, entries by hand
+
+
+@query(f", {PK} SELECT handle, 'Stores_' || (k % 3) || '.csv' AS filename FROM pk0 WHERE k % 4 IN (1, 2)")
+def listed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(_k() % 4 == 0, "MASTER_Stores.csv").when(_k() % 4 != 3, F.concat(F.lit("Stores_"), (_k() % 3).cast("string"), F.lit(".csv")))
+    return runs.listed(places(spark, sf_dir).select("handle", name.alias("filename")))
+
+
+@query(f", {PK} SELECT handle, name, city FROM pk0 WHERE k % 9 = 3 ORDER BY name, handle")
+def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploaded = places(spark, sf_dir).withColumn("upload_id", F.concat(F.lit("u"), (_k() % 9).cast("string")))
+    return runs.of_upload(uploaded, "u3").select("handle", "name", "city")
+
+
+@query(f""", {PK} SELECT reason, count(*) :: BIGINT AS n, min(handle) AS first FROM (SELECT handle, CASE WHEN k % 11 = 0 THEN 'meta' WHEN k % 7 = 0 THEN 'enabled false' WHEN k % 5 = 0 THEN 'template url' WHEN k % 3 = 0 THEN 'non-json (use --include-heavy)'
+WHEN k % 13 = 0 AND k % 2 = 1 THEN 'expansion geohash_prefix_expansion' WHEN coalesce(website, '') LIKE '%shop%.example.com%' THEN 'viewport url' END AS reason FROM pk0) GROUP BY 1""")
+def skipped_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _k()
+    shop = F.coalesce(F.col("website"), F.lit(""))
+    url = F.concat(F.when(k % 5 == 0, "https://api.yourbrand/").otherwise("https://"), shop, F.when(F.contains(shop, F.lit(".example.com")), "?northEastLat=1").otherwise(""))
+    config = F.to_json(F.struct(url.alias("url"), (k % 7 != 0).alias("enabled"), F.when(k % 3 == 0, "html").otherwise("json").alias("type"), F.when(k % 13 == 0, F.array_repeat(F.lit("d"), (k % 2).cast("int"))).alias("geohash_prefix_expansion")))
+    brand = F.concat(F.when(k % 11 == 0, "_").otherwise(""), F.col("handle"))
+    found = places(spark, sf_dir).select("handle", runs.skip_reason(brand, config).alias("reason"))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).cast("long").alias("n"), F.min("handle").alias("first"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS u FROM orders),
+d AS (SELECT j.*, CASE WHEN o_orderstatus <> 'F' THEN 'Only completed jobs have viewable records' WHEN u IS NULL THEN 'No upload linked to this job' WHEN u % 3 <> 0 AND u % 5 >= 2 THEN 'Job CSV file not found' END AS problem FROM j),
+e AS (SELECT *, CASE WHEN problem IS NULL THEN CASE WHEN u % 3 = 0 AND u % 2 = 0 THEN 'csv' WHEN u % 5 < 2 THEN 'db' ELSE 'csv' END END AS source FROM d)
+SELECT source, problem, count(*) :: BIGINT AS n_jobs, coalesce(sum(CASE source WHEN 'csv' THEN 2 WHEN 'db' THEN 1 END), 0) :: BIGINT AS n_rows FROM e GROUP BY 1, 2""", False)
+def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    jobs = orders.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("upload_id"))
+    uploads = c.select(key.alias("upload_id"), F.concat(F.lit("f"), key.cast("string")).alias("filename"), F.when(key % 2 == 0, "scraper").otherwise("admin").alias("uploaded_by"))
+    stored = c.where(key % 5 < 2).select(key.alias("upload_id"), F.col("c_name").alias("name"))
+    landed = c.where(key % 3 == 0).select(F.concat(F.lit("f"), key.cast("string")).alias("filename"), F.explode(F.array("c_name", "c_mktsegment")).alias("name"))
+    sources = runs.job_sources(jobs, uploads, stored, landed.select("filename"))
+    shown = runs.job_rows(sources, stored, landed).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    by = sources.join(shown, "job_id", "left").groupBy("source", "problem")
+    return by.agg(F.count(F.lit(1)).cast("long").alias("n_jobs"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query(f""", {PK}, m AS (SELECT *, CASE WHEN k % 11 = 5 THEN 'Request body must be a JSON object' WHEN k % 11 = 0 THEN 'name is required' WHEN k % 11 = 1 THEN 'city is required' WHEN country IS NULL THEN 'country is required'
+WHEN k % 11 = 3 THEN 'latitude and longitude must be valid numbers' WHEN k % 11 = 4 THEN 'At least one of addressLine1 or addressLine2 is required' END AS problem FROM pk0)
+SELECT handle AS request_id, problem, CASE WHEN problem IS NULL THEN handle END AS handle, CASE WHEN problem IS NULL THEN name END AS name, CASE WHEN problem IS NULL THEN lat END AS lat, CASE WHEN problem IS NULL THEN coalesce(phone, '') END AS phone, CASE WHEN problem IS NULL THEN status END AS status, CASE WHEN problem IS NULL THEN CASE WHEN k % 3 = 0 THEN 'A ' || k || ', B' ELSE brands END END AS brands FROM m""")
+def manual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place entered by hand, some of them badly."""
+    k, p = _k(), places(spark, sf_dir)
+    texts = [
+        F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "name", F.lit("\n"))).alias("name"), F.when(k % 11 != 1, F.col("city")).alias("city"), F.col("country"), F.col("lon").alias("longitude"),
+        F.when(k % 11 == 4, "").otherwise(F.col("line1")).alias("addressLine1"), F.col("phone"), F.col("status"), F.col("handle"),
+    ]
+    lat = F.when(k % 11 == 3, '"north"').when(k % 2 == 0, F.concat(F.lit('"'), F.col("lat").cast("string"), F.lit(' deg"'))).otherwise(F.col("lat").cast("string"))
+    brands = F.when(k % 3 == 0, F.concat(F.lit('[" A '), k.cast("string"), F.lit('", "", "B"]'))).otherwise(F.to_json(F.struct("brands")).substr(F.lit(11), F.length(F.to_json(F.struct("brands"))) - 11))
+    whole = F.concat(F.regexp_replace(F.to_json(F.struct(*texts)), r"\}$", ""), F.lit(', "latitude": '), lat, F.lit(', "brands": '), brands, F.lit("}"))
+    requests = p.select(F.col("handle").alias("request_id"), F.when(k % 11 == 5, "[1]").otherwise(whole).alias("body"))
+    good = F.col("problem").isNull()
+    shown = {"handle": F.col("Handle"), "name": F.col("Name"), "lat": F.col("Latitude").cast("double"), "phone": F.col("Phone"), "status": F.col("Status") == "true", "brands": F.col("Brands")}
+    return manual.judged(requests).select("request_id", "problem", *[F.when(good, c).alias(n) for n, c in shown.items()])
+
+
 # Others
 
 
