@@ -75,7 +75,10 @@ def _commit(spark: SparkSession, root: str, new: Manifest) -> None:
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    context.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{new.version:08d}.json"), plain)
+    try:
+        context.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{new.version:08d}.json"), plain)
+    finally:  # what a lost race leaves behind
+        fs.delete(draft, False)
 
 
 def _written(spark: SparkSession, root: str, df: DataFrame, m: Manifest) -> dict[str, str]:
@@ -117,20 +120,22 @@ def apply(spark: SparkSession, root: str, batch: DataFrame, merge: Merge, writer
     if number is not None and now.applied.get(writer, -1) >= number:
         return now
     work = WorkTables(spark)
-    rows = work.written(batch.withColumn(BUCKET, now.bucket()), "batch")
-    touched = {str(r[0]) for r in rows.select(BUCKET).distinct().collect()}
-    if touched:
-        new = merge(_rows(spark, root, now, touched), rows.drop(BUCKET)).select(*[F.col(f"`{c}`") for c in StructType.fromJson(json.loads(now.schema)).names])
-        following = Manifest(now.version + 1, now.key, now.n_buckets, now.schema)
-        placed = _written(spark, root, new, following)
-        strangers = sorted(set(placed) - touched)
-        if strangers:
-            raise ValueError(f"a batch may only give rows of its own buckets, not of {strangers[:5]}")
-        folders = {b: f for b, f in now.folders.items() if b not in touched} | placed
-        applied = now.applied | ({writer: number} if number is not None else {})
-        now = Manifest(following.version, now.key, now.n_buckets, now.schema, folders, applied)
-        _commit(spark, root, now)
-    work.drop()
+    try:
+        rows = work.written(batch.withColumn(BUCKET, now.bucket()), "batch")
+        touched = {str(r[0]) for r in rows.select(BUCKET).distinct().collect()}
+        if touched:
+            new = merge(_rows(spark, root, now, touched), rows.drop(BUCKET)).select(*[F.col(f"`{c}`") for c in StructType.fromJson(json.loads(now.schema)).names])
+            following = Manifest(now.version + 1, now.key, now.n_buckets, now.schema)
+            placed = _written(spark, root, new, following)
+            strangers = sorted(set(placed) - touched)
+            if strangers:
+                raise ValueError(f"a batch may only give rows of its own buckets, not of {strangers[:5]}")
+            folders = {b: f for b, f in now.folders.items() if b not in touched} | placed
+            applied = now.applied | ({writer: number} if number is not None else {})
+            now = Manifest(following.version, now.key, now.n_buckets, now.schema, folders, applied)
+            _commit(spark, root, now)
+    finally:
+        work.drop()
     return now
 
 
