@@ -83,8 +83,10 @@ class Bloom:
             mask = self._mask(F.col(key), k)
             hit = hit & (F.col(f"_bloom_{k}").bitwiseAND(mask) == mask)
         words = bloom.select(F.col("block").alias("_bloom_block"), *[F.col(f"w{k}").alias(f"_bloom_{k}") for k in range(WORDS)])
-        placed = rows.withColumn("_bloom_block", self._block(F.col(key)))
-        joined = placed.join(F.broadcast(words), "_bloom_block", "left") if self.small else salted_join(placed, words, "_bloom_block", rows.columns, heavy)
+        if self.small:
+            joined = rows.join(F.broadcast(words), self._block(F.col(key)) == F.col("_bloom_block"), "left")
+        else:
+            joined = salted_join(rows.withColumn("_bloom_block", self._block(F.col(key))), words, "_bloom_block", rows.columns, heavy)
         return joined.select(*[F.col(c) for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
 
 
