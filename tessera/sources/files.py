@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import records
 from ..functions import text as X
 from ..operators.validation import header_issues
+from ..plans.work import written
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +73,13 @@ def line_count(spark: SparkSession, path: str) -> DataFrame:
 def numbered_rows(df: DataFrame, first: int = 2) -> DataFrame:
     """File row numbers (the header is row 1): numbers within partitions, shifted by the sizes of those before.
 
-    One count for each partition comes to the driver and is broadcast (16 bytes each, so it grows with partitions, not
-    rows); rows aren't moved.
+    Rows are written with their partition's number before they are counted: read twice, a plan may be cut into other
+    partitions (Spark joins small ones as it goes), and counts of one cut don't fit another. One count for each partition
+    comes to the driver and is broadcast (16 bytes each, so it grows with partitions, not rows); rows aren't moved.
     """
     spark = df.sparkSession
-    at = df.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    at = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    at = at.withColumns({"_p": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND((1 << 33) - 1)})
     sizes = sorted(map(tuple, at.groupBy("_p").agg(F.max("_n") + 1).collect()))
     shifts, total = [], first
     for p, n in sizes:

@@ -175,6 +175,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert spark.read.parquet(one).count() == 2
 
 
+def test_row_numbers_hold_however_partitions_are_joined(spark):
+    """Counted without its wide column, a sorted table is cut into fewer partitions than when it is read whole."""
+    own = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {key: spark.conf.get(key, None) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        rows = spark.range(2000, numPartitions=4).select((1999 - F.col("id")).alias("at"), F.repeat(F.sha2(F.col("id").cast("string").cast("binary"), 512), F.lit(8)).alias("wide")).orderBy("at")
+        found = files.numbered_rows(rows).select("row", "at", F.length("wide").alias("size")).collect()
+        assert sorted((r.row, r.at, r.size) for r in found) == [(k + 2, k, 1024) for k in range(2000)]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_answers(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": {"stores": [{"id": 1, "name": "x"}, {"id": 1, "name": "y"}, {"name": "z"}]}}')
     (tmp_path / "b.json").write_text('cb({"groups": [{"retailers": [{"id": 7}]}, {"retailers": [{"id": 8}, {"id": 9}]}]});')
