@@ -29,3 +29,8 @@ def agree(spark, sf_dir, tmp_path):
 def test_phone_numbers_that_are_too_long(agree):
     """Case 0 takes every sixth key; its number has more than fifteen digits from six digits of the key on."""
     assert ("600000", "+41 22 600000000000 ext. 5") in agree("phone_international", [6, 99996, 100002, 600000, 4, 100000, 600004, 600000000 + 4])
+
+def test_places_moved_by_verification(agree):
+    """Addresses come again after 12 600 places: the later ones are far from the geocode and moved to it."""
+    (got,) = agree("verify_and_merge", [*range(3, 60), *range(3 * 12601, 3 * 12606)])
+    assert int(got[4]) > 0
