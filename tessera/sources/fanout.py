@@ -2,7 +2,7 @@
 
 Live answers come through a fetch function, either in one run (:func:`fetched`) or as a data source with a partition for
 each request (:func:`paged_source`), whose stream goes on where a stopped run ended. Landed answers, a table of URL and
-body, are followed by joins (:func:`followed`): all requests take their next page in one round.
+body, are followed by joins (:func:`followed`): all pages of all requests are found together.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import count
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -107,45 +106,130 @@ def fetched(requests: DataFrame, fetch: Fetch, paging: Paging = Paging(), url_co
     return requests.mapInArrow(run, schema)
 
 
-def followed(requests: DataFrame, answers: DataFrame, paging: Paging = Paging(), keys: tuple[str, ...] = ("request",)) -> DataFrame:
-    """(keys, page, url, body, n): every page of requests (keys, url) that landed answers (url, body) hold.
+PLACEHOLDER = r"\{(?:page|offset|token)\}"
+
+
+def _put(paging: Paging, page: Column, token: Column) -> Column:
+    """The URL that a template gives for a page and a token."""
+    text = F.col("_template")
+    for mark, value in (("{page}", (page + paging.first).cast("string")), ("{offset}", (page * paging.size).cast("string")), ("{token}", token)):
+        text = F.replace(text, F.lit(mark), value)
+    return text
+
 
-    A round joins the pages that are asked for with the answers and finds what follows, by the rules of :class:`Paging`
-    (``max_pages`` cuts, ``empty_pages`` isn't used: an empty or missing answer ends a request). Rounds are written tables, as
-    many as the longest request has pages.
+def _judged(met: DataFrame, paging: Paging) -> DataFrame:
+    """Of answers (body): how many records, a mark of their ids, the next token, the total that is said, may a page follow?"""
+    value = lambda name: records.value(F.col("body"), name)
+    met = met.withColumn("_items", F.coalesce(records.record_array(F.col("body"), paging.items_key), F.array().cast("array<string>")))
+    ids = F.array_sort(F.transform("_items", lambda r: F.coalesce(records.value(r, paging.id_key), r)))
+    more = F.col("_template").rlike(PLACEHOLDER)
+    if paging.token_key:
+        more = more & (F.coalesce(value(paging.token_key), F.lit("")) != "")
+    if paging.more_key:
+        more = more & F.coalesce(value(paging.more_key), F.lit("")).isin("true", "1")
+    n = F.size("_items").cast("long")
+    if paging.size:
+        more = more & (n >= paging.size)
+    following = F.coalesce(value(paging.token_key), F.lit("")) if paging.token_key else F.lit("")
+    total = F.coalesce(value(paging.total_key).try_cast("long"), F.lit(0)) if paging.total_key else F.lit(None)
+    return met.withColumns({"n": n, "_mark": F.sha2(F.to_json(ids).cast("binary"), 256), "_next": following, "_total": total.cast("long"), "_more": more}).drop("_items", "body")
+
+
+def _candidates(asked: DataFrame, urls: DataFrame, paging: Paging) -> DataFrame:
+    """(_request, url, page, _token): landed URLs that templates give, page null where a token says where it stands.
+
+    A URL meets templates by what stands before the first and behind the last placeholder. What it has between them must
+    give the URL again. Of these two lengths there are few pairs; each URL is cut once for each.
     """
-    work, key = WorkTables(requests.sparkSession), list(keys)
-    asked = requests.select(*key, F.col("url").alias("_template"), F.lit(0).alias("page"), F.lit("").alias("_token"), F.lit(0).cast("long").alias("_got"))
-    put = lambda text: F.replace(F.replace(F.replace(text, F.lit("{page}"), (F.col("page") + paging.first).cast("string")), F.lit("{offset}"), (F.col("page") * paging.size).cast("string")), F.lit("{token}"), F.col("_token"))
-    rounds: list[DataFrame] = []
-    while paging.max_pages is None or len(rounds) < paging.max_pages:
-        met = asked.withColumn("url", put(F.col("_template"))).join(answers.select("url", "body"), "url")
-        met = met.withColumn("_items", records.record_array(F.col("body"), paging.items_key)).where(F.size("_items") > 0)
-        ids = F.array_sort(F.transform("_items", lambda r: F.coalesce(records.value(r, paging.id_key), r)))
-        met = met.withColumns({"n": F.size("_items").cast("long"), "_mark": F.sha2(F.to_json(ids).cast("binary"), 256)})
-        value = lambda name: records.value(F.col("body"), name)
-        more = F.col("_template").rlike(r"\{(page|offset|token)\}")
-        if paging.token_key:
-            more = more & (F.coalesce(value(paging.token_key), F.lit("")) != "")
-        if paging.more_key:
-            more = more & F.coalesce(value(paging.more_key), F.lit("")).isin("true", "1")
-        if paging.total_key:
-            more = more & (F.col("_got") + F.col("n") < F.coalesce(value(paging.total_key).try_cast("long"), F.lit(0)))
-        if paging.size:
-            more = more & (F.col("n") >= paging.size)
-        met = met.withColumns({"_more": more, "_next": F.coalesce(value(paging.token_key), F.lit("")) if paging.token_key else F.lit("")}).drop("_items")
-        for earlier in rounds:
-            met = met.join(earlier.select(*key, "_mark"), [*key, "_mark"], "left_anti")
+    literal = F.length(F.regexp_replace("_template", PLACEHOLDER, ""))
+    several = F.col("_template").rlike(PLACEHOLDER)
+    head = F.when(several, F.regexp_extract("_template", f"(?s)^(.*?){PLACEHOLDER}", 1)).otherwise(F.col("_template"))
+    tail = F.when(several, F.regexp_extract("_template", f"(?s)^.*{PLACEHOLDER}(.*)$", 1)).otherwise(F.lit(""))
+    cut = asked.withColumns({"_head": head, "_tail": tail}).withColumns({"_h": F.length("_head"), "_t": F.length("_tail"), "_literal": literal})
+    lengths = cut.select("_h", "_t").distinct()
+    ends = urls.crossJoin(F.broadcast(lengths)).where(F.length("url") >= F.col("_h") + F.col("_t")).withColumns({"_head": F.left("url", F.col("_h")), "_tail": F.right("url", F.col("_t"))})
+    met = ends.join(cut, ["_h", "_t", "_head", "_tail"])
+    count = F.regexp_count("_template", F.lit(r"\{token\}"))
+    token = F.when(count > 0, F.substring("url", F.col("_h") + 1, F.floor((F.length("url") - F.col("_literal")) / count).cast("int"))).otherwise(F.lit(""))
+    digits = F.regexp_extract(F.substring("url", F.col("_h") + 1, F.length("url")), r"^\d{1,18}", 0)
+    number = lambda size: F.left(digits, size).cast("long")
+    by_offset = F.regexp_extract("_template", PLACEHOLDER, 0) == "{offset}"
+    page = lambda size: F.when(by_offset, F.floor(number(size) / max(paging.size, 1)).cast("long")).otherwise(number(size) - paging.first)
+    single = F.array(F.lit(0).cast("long"))
+    pages_of = F.when((count > 0) | ~several, single).otherwise(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(digits))), lambda size: F.when(digits != "", page(size))), lambda p: p.between(0, 2**31 - 1)))
+    found = met.select("_request", "url", "_template", token.alias("_token"), F.explode(pages_of).alias("page"), (count > 0).alias("_by_token"))
+    found = found.where(_put(paging, F.col("page"), F.col("_token")) == F.col("url"))
+    return found.select("_request", "_template", "url", F.when(~F.col("_by_token"), F.col("page")).cast("int").alias("page"), "_token").distinct()
+
+
+def _chained(nodes: DataFrame, work: WorkTables) -> DataFrame:
+    """(_request, _token, page): how many tokens lead from the first, empty one to each.
+
+    Steps double: from all tokens within n steps the next n are reached at once, so rounds grow with the logarithm of the
+    longest request. A token that comes again keeps its first place.
+    """
+    steps, size = 1, 0
+    jumps = work.written(nodes.where("_more AND n > 0").select("_request", "_token", F.col("_next").alias("_to")), "jumps")
+    reached = work.written(nodes.where("_token = ''").select("_request", "_token", F.lit(0).cast("long").alias("page")), "reached")
+    while (now := reached.count()) > size:
+        size = now
+        ahead = reached.join(jumps, ["_request", "_token"]).select("_request", F.col("_to").alias("_token"), (F.col("page") + steps).alias("page"))
+        reached = work.written(reached.unionByName(ahead).groupBy("_request", "_token").agg(F.min("page").alias("page")), "reached")
+        further = jumps.select("_request", F.col("_token").alias("_from"), F.col("_to").alias("_token")).join(jumps, ["_request", "_token"])
+        jumps, steps = work.written(further.select("_request", F.col("_from").alias("_token"), "_to"), "jumps"), 2 * steps
+    return reached
+
+
+def _in_rounds(asked: DataFrame, answers: DataFrame, paging: Paging, work: WorkTables) -> DataFrame:
+    """(_request, page, url, n) of templates with a token beside a page or offset: a round for each page of the longest."""
+    spark, paths, turn = asked.sparkSession, [], 0
+    state = asked.withColumns({"page": F.lit(0), "_token": F.lit(""), "_got": F.lit(0).cast("long")})
+    columns = "_request string, page int, url string, n long, _mark string"
+    while paging.max_pages is None or turn < paging.max_pages:
+        met = _judged(state.withColumn("url", _put(paging, F.col("page"), F.col("_token"))).join(answers, "url"), paging).where("n > 0")
+        if paths:
+            met = met.join(spark.read.schema(columns).parquet(*paths).select("_request", "_mark"), ["_request", "_mark"], "left_anti")
         found = work.written(met, "pages")
         if found.isEmpty():
             break
-        rounds.append(found)
-        asked = found.where("_more").select(*key, "_template", (F.col("page") + 1).alias("page"), F.col("_next").alias("_token"), (F.col("_got") + F.col("n")).alias("_got"))
-    columns = [*key, "page", "url", "body", "n"]
-    if rounds:
-        out = reduce(DataFrame.unionByName, [r.select(*columns) for r in rounds])
-    else:
-        out = asked.join(answers.select("url", "body"), F.lit(False)).select(*key, "page", "url", "body", F.col("_got").alias("n"))
+        paths.append(work.paths[-1])
+        follow = F.col("_more") & (F.col("_got") + F.col("n") < F.col("_total") if paging.total_key else F.lit(True))
+        state = found.where(follow).select("_request", "_template", (F.col("page") + 1).alias("page"), F.col("_next").alias("_token"), (F.col("_got") + F.col("n")).alias("_got"))
+        turn += 1
+    found = spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)
+    return found.select("_request", "page", "url", "n")
+
+
+def followed(requests: DataFrame, answers: DataFrame, paging: Paging = Paging(), keys: tuple[str, ...] = ("request",)) -> DataFrame:
+    """(keys, page, url, body, n): every page of requests (keys, url) that landed answers (url, body) hold.
+
+    By the rules of :class:`Paging` (``max_pages`` cuts, ``empty_pages`` isn't used: an empty or missing answer ends a
+    request). All landed pages of a request are found at once, by their numbers or, by doubling steps, by the tokens that
+    lead to them; then windows over short rows (no bodies) tell where it ends. Only templates with a token beside a page
+    or offset are followed page after page. A request or URL that comes twice counts once (of bodies the least).
+    """
+    work, key = WorkTables(requests.sparkSession), list(keys)
+    asked = requests.select(*key, F.col("url").alias("_template")).distinct()
+    asked = work.written(asked.withColumn("_request", F.md5(F.to_json(F.struct(*key, "_template"), {"ignoreNullFields": "false"}).cast("binary"))), "asked")
+    once = work.written(answers.groupBy("url").agg(F.min("body").alias("body")), "answers")
+    mixed = F.contains("_template", F.lit("{token}")) & F.col("_template").rlike(r"\{(page|offset)\}")
+    plain = asked.where(~mixed).select("_request", "_template")
+    nodes = work.written(_judged(_candidates(plain, once.select("url"), paging).join(once, "url"), paging), "nodes")
+    at = _chained(nodes.where("page IS NULL"), work)
+    paged = nodes.where("page IS NOT NULL").unionByName(nodes.where("page IS NULL").drop("page").join(at.withColumn("page", F.col("page").cast("int")), ["_request", "_token"]))
+    if paging.max_pages is not None:
+        paged = paged.where(F.col("page") < paging.max_pages)
+    in_turn = Window.partitionBy("_request").orderBy("page")
+    before = in_turn.rowsBetween(Window.unboundedPreceding, -1)
+    again = Window.partitionBy("_request", "_mark").orderBy("page")
+    paged = paged.withColumns({"_first": F.row_number().over(again) == 1, "_at": F.row_number().over(in_turn) - 1, "_got": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    taken = F.col("_first") & (F.col("_at") == F.col("page")) & (F.col("n") > 0)
+    follow = F.col("_more") & (F.col("_got") + F.col("n") < F.col("_total") if paging.total_key else F.lit(True))
+    paged = paged.withColumns({"_taken": taken, "_open": F.coalesce(F.min((taken & follow).cast("int")).over(before), F.lit(1)) == 1}).where("_taken AND _open")
+    found = paged.select("_request", "page", "url", "n")
+    if not asked.where(mixed).isEmpty():
+        found = found.unionByName(_in_rounds(asked.where(mixed).select("_request", "_template"), once, paging, work))
+    out = found.join(asked, "_request").join(once, "url").select(*key, "page", "url", "body", "n")
     out = written(out, "followed")
     work.drop()
     return out
