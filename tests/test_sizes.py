@@ -34,3 +34,13 @@ def test_places_moved_by_verification(agree):
     """Addresses come again after 12 600 places: the later ones are far from the geocode and moved to it."""
     (got,) = agree("verify_and_merge", [*range(3, 60), *range(3 * 12601, 3 * 12606)])
     assert int(got[4]) > 0
+
+
+def test_rows_are_spread_over_tasks(spark, tmp_path):
+    """A file that a reader would give to one task is spread by its rows; small ones stay as they are."""
+    from tessera.plans import places as P
+
+    for n, tasks in ((10, 1), (2 * P.TASK_ROWS + 1, 3)):
+        spark.range(n).coalesce(1).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/{n}/customer.parquet")
+        found = P.customers(spark, f"{tmp_path}/{n}")
+        assert found.rdd.getNumPartitions() == tasks and found.distinct().count() == n
