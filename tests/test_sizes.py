@@ -44,3 +44,13 @@ def test_rows_are_spread_over_tasks(spark, tmp_path):
         spark.range(n).coalesce(1).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/{n}/customer.parquet")
         found = P.customers(spark, f"{tmp_path}/{n}")
         assert found.rdd.getNumPartitions() == tasks and found.distinct().count() == n
+
+
+def test_records_are_made_once(spark):
+    """Paths are counted with their records in one pass; the total of a second one would be broadcast."""
+    from tessera.operators import inference
+
+    rows = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',), ('{"a": 2}',), ("broken",), (None,)], "record string")
+    found = inference.paths(rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.n, r.share) for r in found.collect()} == {("a", 2, 0.5), ("b.c", 1, 0.25)}
