@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.work import WorkTables, written
+from ..plans.work import WorkTables, by_key, written
 
 #: Letters of a gram where no least length of keys is given.
 GRAM = 6
@@ -29,12 +29,12 @@ def contained(short: DataFrame, long: DataFrame, by: list[str], key: str, least:
     """
     every = grams(long, key, least)
     common = every.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("_n"))
-    asked = grams(short, key, least).join(common, [*by, "gram"], "left")
+    asked = grams(short, key, least).join(by_key(common), [*by, "gram"], "left")
     rarest = asked.groupBy(*short.columns).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_g")).where("_g.n > 0")
     a, b = rarest.select(*short.columns, F.col("_g.gram").alias("gram")).alias("a"), every.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "gram")]
     holds = (F.length(f"a.{key}") < F.length(f"b.{key}")) & F.contains(F.col(f"b.{key}"), F.col(f"a.{key}"))
-    return a.join(b, [*on, holds] if extra is None else [*on, holds, extra])
+    return a.join(by_key(b), [*on, holds] if extra is None else [*on, holds, extra])
 
 
 def classes_of(df: DataFrame, keys: list[str], top: int) -> DataFrame:

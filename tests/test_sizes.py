@@ -65,3 +65,38 @@ def test_updates_at_a_crowded_point(spark):
     places = made("p", 10.0).unionByName(made("q", 10.0001).limit(1))
     found = upsert.matched(made("u", 10.0003), places).agg(F.count(F.lit(1)), F.min("match"), F.max("match")).first()
     assert tuple(found) == (20000, "q0", "q0")
+
+
+def test_work_tables_are_not_broadcast(spark):
+    """Files of few MB may hold hundreds of MB of rows: what is joined with them is sorted, not sent through the driver."""
+    from tessera.operators import components, joins, similarity
+    from tessera.plans.work import written
+
+    rows = written(spark.range(40).selectExpr("'x' AS g", "concat('street number ', id) AS k", "cast(id AS string) AS handle"), "rows")
+    plans = [similarity.contained(rows, rows, ["g"], "k", 8), joins.block_stars(rows, ["g"]), components.components(rows.selectExpr("handle AS u", "'0' AS v"))]
+    for df in plans:
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_touched_cells_hold_all_in_reach(spark):
+    """Points within reach stand in a cell that the circle touches, at poles and the date line too."""
+    import math
+    import random
+
+    from tessera.functions import geo
+
+    r, rows = random.Random(5), []
+    for n in range(4000):
+        lat, lon = r.choice([(90 - r.random() * 0.05, r.uniform(-180, 180)), (-90 + r.random() * 0.2, r.uniform(-180, 180)), (r.uniform(-89, 89), r.choice([-180.0, 180.0, 179.9999, -179.9999])), (r.uniform(-89.9, 89.9), r.uniform(-180, 180))])
+        east = 300 / 111195 / max(1e-6, math.cos(math.radians(lat)))
+        y, x = lat + r.uniform(-1, 1) * 300 / 111195, lon + r.uniform(-1, 1) * min(east, 180)
+        y, x = (180 - y, x + 180) if y > 90 else (-180 - y, x + 180) if y < -90 else (y, x)
+        rows.append((n, lat, lon, y, (x + 180) % 360 - 180))
+    df = spark.createDataFrame(rows, "n int, lat double, lon double, y double, x double").where(geo.haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) <= 300)
+    assert df.count() > 1500
+    for width in (1500, 5000):
+        row, col = geo.cells(F.col("y"), F.col("x"), width)
+        touched = geo.touched_cells(F.col("lat"), F.col("lon"), 300, width)
+        own = F.struct(row.cast("long").alias("row"), col.alias("col"))
+        assert df.where(~F.array_contains(touched, own)).count() == 0
+        assert df.agg(F.avg(F.size(touched))).first()[0] < 100
