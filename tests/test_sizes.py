@@ -100,3 +100,10 @@ def test_touched_cells_hold_all_in_reach(spark):
         own = F.struct(row.cast("long").alias("row"), col.alias("col"))
         assert df.where(~F.array_contains(touched, own)).count() == 0
         assert df.agg(F.avg(F.size(touched))).first()[0] < 100
+
+
+def test_near_pairs_of_a_crowded_point(agree):
+    """A point's places hang on the least of them: n - 1 pairs, and one for each pair of points."""
+    crowd = [3 * g + v for g in range(7, 25 * 40, 25) for v in range(3)]
+    got = agree("near_pairs", [*crowd, 3, 4, 5])
+    assert len(got) == len(crowd) - 1 + 3
