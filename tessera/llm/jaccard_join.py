@@ -16,7 +16,7 @@ A document is the set of its distinct word shingles (64-bit hashes). Documents w
 4. Candidates. The matrix holds (shingle, group) for the groups' prefix shingles once; a family within a group is one
    row, however many nodes and blocks it has. A node queries the groups that hold enough of its prefix shingles and sets
    of fitting size, but not those of its own family. Rows are (node, group), never pairs of nodes. One of two groups
-   queries the other.
+   queries the other: one that isn't a family queries families, so a family's many nodes don't query every group near it.
 5. Bound, then open. A task gets a block of a group and some of its queries, builds the union of the members' shingles,
    and drops queries that share less than t|x| with the union; for the others it counts exact intersections with the
    members. Links within a task are reduced to a forest.
@@ -302,15 +302,26 @@ def _block_links(sets: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("grp", "blk").applyInArrow(lambda table: _linked(table, False, s.percent), "u long, v long")
 
 
+def _asking(held: DataFrame, columns: DataFrame, s: Settings) -> DataFrame:
+    """Nodes (``held``: tok, node, n, fam, comp) with the groups of another family (``columns``: tok, to, to_comp, lo_n, hi_n)
+    that share a shingle, one row for each; one of two groups asks.
+
+    A family is asked by what isn't one: its nodes may be many, and each would ask every group near the family.
+    """
+    single, to_single = F.col("comp").isNull(), F.col("to_comp").isNull()
+    asks = F.when(single == to_single, F.col("to") > F.col("fam")).otherwise(single)
+    fits = asks & (100 * F.col("hi_n") >= s.percent * F.col("n")) & (s.percent * F.col("lo_n") <= 100 * F.col("n"))
+    foreign = single | to_single | (F.col("comp") != F.col("to_comp"))
+    return held.join(columns, "tok").where(fits & foreign)
+
+
 def _cross_links(nodes: DataFrame, entries: DataFrame, sets: DataFrame, work: WorkTables, s: Settings) -> DataFrame:
     """Links between different groups. ``nodes`` has node, hi, n, its group ``fam`` and family ``comp`` (null: none)."""
     held = entries.select("tok", F.col("sig").alias("hi")).join(nodes.select("node", "hi", "n", "fam", "comp"), "hi")
     matrix = held.groupBy("tok", "fam", "comp").agg(F.min("n").alias("lo_n"), F.max("n").alias("hi_n"))
     several = matrix.groupBy("tok").agg(F.min("fam").alias("a"), F.max("fam").alias("b")).where("a < b").select("tok")
     columns = matrix.join(several, "tok").select("tok", F.col("fam").alias("to"), F.col("comp").alias("to_comp"), "lo_n", "hi_n")
-    fits = (F.col("to") > F.col("fam")) & (100 * F.col("hi_n") >= s.percent * F.col("n")) & (s.percent * F.col("lo_n") <= 100 * F.col("n"))
-    foreign = F.col("comp").isNull() | F.col("to_comp").isNull() | (F.col("comp") != F.col("to_comp"))
-    asked_for = held.join(columns, "tok").where(fits & foreign).groupBy("node", "hi", "n", "to").agg(F.count(F.lit(1)).alias("in_common"))
+    asked_for = _asking(held, columns, s).groupBy("node", "hi", "n", "to").agg(F.count(F.lit(1)).alias("in_common"))
     queries = work.written(asked_for.where(F.col("in_common") >= _enough(s)).select("node", "hi", "n", "to"), "queries")
 
     count = lambda total, size: F.greatest(F.lit(1), F.ceil(F.sum("n") / size)).cast("int").alias(total)

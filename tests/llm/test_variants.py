@@ -180,3 +180,15 @@ def test_sql(name, spark, sf_dir):
     want = c.sql(queries.ORACLE_SQL[name])
     assert df.columns == want.columns
     assert Counter(map(tuple, df.collect())) == Counter(want.fetchall())
+
+
+def test_a_family_is_asked(spark):
+    """Of a family of many nodes and a group without one, the few nodes ask, whatever the groups' order."""
+    from tessera.llm import jaccard_join as J
+
+    columns = "tok long, hi long, node long, n long, fam long, comp long"
+    for fam, other in ((1, 2), (2, 1)):
+        held = spark.createDataFrame([(t, k, k, 20, fam, 100) for t in range(3) for k in range(100, 140)] + [(t, 7, 7, 20, other, None) for t in range(3)], columns)
+        groups = held.selectExpr("tok", "fam AS to", "comp AS to_comp", "n AS lo_n", "n AS hi_n").distinct()
+        got = J._asking(held, groups, J.Settings()).select("node", "to", "tok").collect()
+        assert sorted(tuple(r) for r in got) == [(7, fam, t) for t in range(3)]
