@@ -119,7 +119,8 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir)
     key = dedupe.record_key(F.col("lat"), F.col("lon"), F.col("country"), F.col("line1"), F.col("city"), F.col("handle"))
-    return dedupe.keep_first(p.withColumn("key", key), [F.col("key")], [F.col("lat"), F.col("handle")]).select("handle")
+    rows = p.select("handle", "lat", key.alias("key"))  # a first row is taken whole, so with these columns alone
+    return dedupe.keep_first(rows, [F.col("key")], [F.col("lat"), F.col("handle")]).select("handle")
 
 
 @query(f", {KEYED}, seeds AS (SELECT * FROM pk WHERE is_premium AND k % 10 = 0), near AS (SELECT q.* FROM seeds p JOIN pk q ON p.city = q.city AND p.k_country = q.k_country WHERE abs(p.lat - q.lat) <= 500 / 111320.0 :: DOUBLE AND abs(p.lon - q.lon) <= 500 / (111320.0 :: DOUBLE * greatest(0.01, cos(radians(p.lat))))), found AS (SELECT * FROM seeds UNION SELECT * FROM near) SELECT DISTINCT handle FROM (SELECT handle FROM found UNION ALL SELECT q.handle FROM found p JOIN pk q ON p.k_addr = q.k_addr AND p.city = q.city AND p.k_country = q.k_country)")

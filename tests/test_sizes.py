@@ -107,3 +107,9 @@ def test_near_pairs_of_a_crowded_point(agree):
     crowd = [3 * g + v for g in range(7, 25 * 40, 25) for v in range(3)]
     got = agree("near_pairs", [*crowd, 3, 4, 5])
     assert len(got) == len(crowd) - 1 + 3
+
+
+def test_record_keys_take_few_columns(spark, sf_dir):
+    """Only what the key and the order need is grouped and sorted."""
+    plan = QUERIES["record_keys"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "website" not in plan and "brands" not in plan
