@@ -2,6 +2,9 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
 from tessera.operators import joins
 
 PLACE = "handle string, name string, line1 string, city string, country string, lat double, lon double, is_premium boolean, brands string, updated_at date"
@@ -37,3 +40,10 @@ def test_address_pairs_meet_in_tiles(spark):
     rows = spark.createDataFrame([(f"h{n:03}", 10 + n * 0.2, 20.0) for n in range(300)], "handle string, lat double, lon double")
     met = joins._tiles_around(rows, 300).alias("a").join(joins._own_tile(rows).alias("b"), ["_row", "_col"])
     assert met.count() == 300 and met.where("a.handle = b.handle").count() == 300
+
+
+def test_stems_are_made_once(spark):
+    """The pattern of organisation suffixes stands once for a name's keys and twice for a pair, not once for each use."""
+    df = spark.createDataFrame([("Omega Ltd", "Omega")], "a string, b string")
+    times = lambda column: df.select(column.alias("k"))._jdf.queryExecution().analyzed().toString().count(X.ORG_SUFFIX)
+    assert times(X.name_keys(F.col("a"), True)) == 1 and times(X.names_similar(F.col("a"), F.col("b"))) == 2
