@@ -113,3 +113,13 @@ def test_record_keys_take_few_columns(spark, sf_dir):
     """Only what the key and the order need is grouped and sorted."""
     plan = QUERIES["record_keys"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "website" not in plan and "brands" not in plan
+
+
+def test_a_brand_is_shown_once(spark):
+    """The rule of a name is in a plan once, not for every place that uses its result, also where lists are merged."""
+    from tessera.functions import brands as B
+
+    rows = spark.createDataFrame([("a_stores,<b>u_boat</b> ,uboat, 88 Wayne Watches", "uboat_retailers,12 Rue du Lac,, C"), (None, " "), ("--", "A ET B")], "a string, b string")
+    df = rows.select(B.normalized_brands(F.col("a")).alias("one"), B.merged_lists(B.normalized_brands(F.col("a")), B.normalized_brands(F.col("b"))).alias("both"))
+    assert [tuple(r) for r in df.collect()] == [("A, U BOAT, U-BOAT, 88 WAYNE WATCHES", "A, U BOAT, U-BOAT, 88 WAYNE WATCHES, C"), (None, None), (None, "A ET B")]
+    assert df._jdf.queryExecution().analyzed().toString().count("_stores|") <= 3
