@@ -123,3 +123,21 @@ def test_a_brand_is_shown_once(spark):
     df = rows.select(B.normalized_brands(F.col("a")).alias("one"), B.merged_lists(B.normalized_brands(F.col("a")), B.normalized_brands(F.col("b"))).alias("both"))
     assert [tuple(r) for r in df.collect()] == [("A, U BOAT, U-BOAT, 88 WAYNE WATCHES", "A, U BOAT, U-BOAT, 88 WAYNE WATCHES, C"), (None, None), (None, "A ET B")]
     assert df._jdf.queryExecution().analyzed().toString().count("_stores|") <= 3
+
+
+def test_buckets_and_files_follow_the_rows(spark, sf_dir, monkeypatch):
+    """Of a larger table, a bucket and a file of changes hold no more rows; there are three batches all the same."""
+    from tessera.plans import queries
+    from tessera.sources import buckets
+
+    def ran(rows):
+        monkeypatch.setattr(queries, "BUCKET_ROWS", rows, raising=False)
+        df = QUERIES["bucketed_upserts"](spark, sf_dir)
+        root = df.inputFiles()[0].split("/data/")[0]
+        files = spark.read.parquet(root.rsplit("/", 1)[0] + "/changes").inputFiles()
+        return df, buckets.versions(spark, root), buckets.manifest(spark, root).n_buckets, len(files)
+
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    (small, *of_small), (large, *of_large) = ran(n), ran(n // 50)
+    assert of_small == [[0, 1, 2, 3], 16, 3] and of_large == [[0, 1, 2, 3], 50, 51]
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
