@@ -109,6 +109,29 @@ def test_near_pairs_of_a_crowded_point(agree):
     assert len(got) == len(crowd) - 1 + 3
 
 
+def test_near_pairs_of_all_rows(agree):
+    """Each two places of a point are a pair, not only its least place with the others."""
+    crowd = [3 * g + v for g in range(7, 25 * 10, 25) for v in range(3)]
+    got = agree("near_pairs", [*crowd, 3, 4, 5])
+    assert len(got) == len(crowd) * (len(crowd) - 1) // 2 + 3
+
+
+def test_rows_of_crowded_points_meet_in_blocks(spark, monkeypatch):
+    """However few rows a block has and pairs a task gives, the pairs are those of the plain join, with its metres."""
+    from tessera.operators import joins
+
+    points = [(10.0, 20.0, 23), (10.0003, 20.0, 11), (10.0009, 20.0, 5), (-0.0, 0.5, 2), (0.0, 0.5, 2), (50.0, 179.9999, 3), (50.0, -179.9999, 1), (0.0, 0.0, 4)]
+    rows = [(f"h{7 * n % 53:02d}", lat, lon) for n, (lat, lon) in enumerate((lat, lon) for lat, lon, many in points for _ in range(many))] + [("h00", 10.0003, 20.0), (None, 10.0, 20.0)]
+    df = spark.createDataFrame(rows, "handle string, lat double, lon double").repartition(3)
+    want = sorted(map(tuple, joins.near_pairs(df, 150).select("u", "v", F.round("meters", 2)).collect()))
+    for block, pairs, tasks in ((1 << 8, 1 << 25, 1), (4, 500, None), (1, 100, None)):
+        monkeypatch.setattr(joins, "BLOCK_ROWS", block)
+        monkeypatch.setattr(joins, "TASK_PAIRS", pairs)
+        got = joins.near_rows(df, 150, 2)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 600
+        assert (got.rdd.getNumPartitions() == 1) == (tasks == 1)
+
+
 def test_record_keys_take_few_columns(spark, sf_dir):
     """Only what the key and the order need is grouped and sorted."""
     plan = QUERIES["record_keys"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
